@@ -92,7 +92,7 @@ class Encoder:
             starts = np.repeat(np.cumsum(n) - n, n)
             pieces = pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), n), "p": (np.arange(len(flat)) - starts).astype(np.int32), "t": flat})
             self.db.register("pieces", pieces)
-            out = self.db.execute(CONTRACT).to_arrow_table()
+            out = self.db.sql(CONTRACT).to_arrow_table()
             for w, ids in zip(out.column("w").to_pylist(), out.column("ids").to_pylist()):
                 self.known[some[w][0]] = ids
             self.db.unregister("pieces")
