@@ -14,6 +14,8 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .base import newest
+
 # Letters of other scripts and the Latin letter each looks like.
 LOOKALIKES = """
 а a с c е e о o р p х x у y і i ј j ѕ s һ h ԁ d ԛ q ԝ w ӏ l ѵ v
@@ -84,17 +86,27 @@ def joins_back() -> frozenset[str]:
 
 @functools.cache
 def unsafe_pattern() -> str:
-    """Matches any character that the form may change or reorder (a superset), within and beyond the safe blocks."""
+    """Matches in any text that the form may change (a superset): a character that is not safe in itself, two that
+    compose, or two marks out of order."""
     changed, later = mapping(), joins_back()
     runs: list[list[int]] = []
+    safe: set[str] = set()
     for lo, hi in ((9, 13), *SAFE_BLOCKS):
         for c in range(lo, hi + 1):
-            if c not in changed and chr(c) not in later and unicodedata.combining(chr(c)) in (0, 9):
+            if c not in changed and unicodedata.combining(chr(c)) in (0, 7, 9):
+                safe.add(chr(c))
                 if runs and runs[-1][1] == c - 1:
                     runs[-1][1] = c
                 else:
                     runs.append([c, c])
-    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+    first: dict[str, str] = {}
+    for s in compositions():
+        if len(s) == 2 and s[0] in safe and s[1] in safe and s[1] in later:
+            first[s[1]] = first.get(s[1], "") + s[0]
+    parts = ["[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"]
+    parts += [f"[{x}]{y}" for y, x in sorted(first.items())]
+    by_class = {k: "".join(sorted(c for c in safe if unicodedata.combining(c) == k)) for k in (7, 9)}
+    return "|".join([*parts, f"[{by_class[9]}][{by_class[7]}]"])
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -118,9 +130,9 @@ def canonical_pieces(pieces: DataFrame) -> DataFrame:
     cps = cps.where(F.col("to") != "\0")
     starts = (F.col("ccc") == 0) & ~F.lit(later).contains(F.col("to"))
     w = Window.partitionBy("piece").orderBy("pos", "sub")
-    cps = cps.withColumn("block", F.sum(starts.cast("int")).over(w))
-    # within a cluster the starter comes first, marks are ordered by class, equal classes keep their order
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "to"))), lambda x: x["to"])
+    cps = cps.withColumn("block", F.sum(starts.cast("int")).over(w)).withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(w))
+    # marks are ordered by class between characters of class 0, equal classes keep their order
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("run", "ccc", "pos", "sub", "to"))), lambda x: x["to"])
     clusters = cps.groupBy("piece", "block").agg(F.array_join(ordered, "").alias("cluster"))
     for size, left in ((None, "cluster"), (3, "cluster"), (2, "cluster")):
         head = F.col(left) if size is None else F.when(F.length(left) > size, F.substring(left, 1, size))
@@ -139,28 +151,33 @@ def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     at plain blanks and line feeds, and only their distinct pieces pass through the mappings.
     """
     pattern = unsafe_pattern()
+    df = df.drop(out)
     unsafe = F.coalesce(F.col(text).rlike(pattern), F.lit(False))
-    key = F.when(unsafe, F.md5(F.col(text)))
-    texts = df.where(unsafe).select(key.alias("__key"), F.col(text).alias("__text")).groupBy("__key").agg(F.first("__text").alias("__text"))
-    parts = texts.select("__key", F.posexplode(F.split("__text", "(?<=[ \\n])")).alias("__i", "piece"))
+    rows = df.where(unsafe).withColumn("__key", F.md5(F.col(text)))
+    texts = df.where(unsafe).select(F.col(text).alias("__text")).distinct()
+    parts = texts.select(F.md5("__text").alias("__key"), F.posexplode(F.split("__text", "(?<=[ \\n])")).alias("__i", "piece"))
     changed = canonical_pieces(parts.where(F.col("piece").rlike(pattern)).select("piece").distinct())
     parts = parts.join(changed, "piece", "left").select("__key", "__i", F.coalesce("canon", "piece").alias("piece"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "piece"))), lambda x: x["piece"]), "")
     forms = parts.groupBy("__key").agg(whole.alias(out))
-    return df.drop(out).withColumn("__key", key).join(forms, "__key", "left").withColumn(out, F.coalesce(F.col(out), F.col(text))).drop("__key")
+    # texts on which the form is the identity stay where they are: only the others are joined
+    return df.where(~unsafe).withColumn(out, F.col(text)).unionByName(rows.join(forms, "__key").drop("__key"))
 
 
 def lookalike_pairs(records: DataFrame) -> DataFrame:
-    """records(field_name, scope, key, text) -> (field_name, key_a, key_b): records of one field and scope whose texts
-    have one form but differ in code points. Null and blank texts take no part; records of the same key count once."""
-    forms = with_canonical(records.dropna(subset=["text"]), "text").where(F.trim(F.regexp_replace("canon", r"\s+", " ")) != "")
-    forms = forms.select("field_name", "scope", "key", F.md5("text").alias("raw"), F.md5("canon").alias("form"))
-    changed = forms.where("raw <> form").select("field_name", "scope", "form").distinct()
-    member = forms.join(changed, ["field_name", "scope", "form"], "left_semi").distinct()
+    """records(field_name, scope, key, text, ingested_at) -> (field_name, key_a, key_b): records of one field and scope
+    whose texts have one form but differ in code points. Null and blank texts take no part; of a record delivered again
+    the newest counts; texts of one raw form are no pair."""
+    blank = F.regexp_replace("canon", r"\s+", "") == ""
+    forms = with_canonical(records.dropna(subset=["key", "text"]), "text")
+    forms = forms.select("field_name", "scope", "key", "ingested_at", F.unhex(F.md5("text")).alias("raw"), F.when(~blank, F.unhex(F.md5("canon"))).alias("form"))
+    member = newest(forms, ["field_name", "scope", "key"]).dropna(subset=["form"])
+    changed = member.where("raw <> form").select("field_name", "scope", "form").distinct()
+    member = member.select("field_name", "scope", "key", "raw", "form").join(changed, ["field_name", "scope", "form"], "left_semi")
     ways = member.select("field_name", "scope", "form", "raw").distinct()
     on = ["field_name", "scope", "form"]
     pairs = ways.withColumnRenamed("raw", "raw_a").join(ways.withColumnRenamed("raw", "raw_b"), on).where("raw_a < raw_b")
     left = member.withColumnsRenamed({"raw": "raw_a", "key": "a"})
     right = member.withColumnsRenamed({"raw": "raw_b", "key": "b"})
     found = pairs.join(left, [*on, "raw_a"]).join(right, [*on, "raw_b"]).where("a <> b")
-    return found.select("field_name", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+    return found.select("field_name", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))

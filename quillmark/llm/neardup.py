@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import newest, written
 from .lookalike import with_canonical
 
 NEAR, LEAST_WORDS = 0.82, 8
@@ -45,8 +45,9 @@ def words(text):
 
 
 def with_words(records: DataFrame, text: str) -> DataFrame:
-    """records with `words` of the text as a reader sees it; texts under LEAST_WORDS words and nulls are left out: they have no partner."""
-    return with_canonical(records.dropna(subset=[text]), text).withColumn("words", words("canon")).where(F.size("words") >= LEAST_WORDS).drop("canon", text)
+    """records with `words` of the text as a reader sees it in place of the text; null for null texts and for those under LEAST_WORDS words, which have no partner."""
+    df = with_canonical(records, text).withColumn("words", words(F.col("canon")))
+    return df.withColumn("words", F.when(F.size("words") >= LEAST_WORDS, F.col("words"))).drop("canon", text)
 
 
 def _sizes(near: float) -> list[int]:
@@ -279,22 +280,26 @@ def numbered(tokens: str):
     return F.transform(t, lambda x, i: F.when(i == F.array_position(t, x) - 1, x).otherwise(F.xxhash64(x, i + 1 - F.array_position(t, x))))
 
 
-def documents_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """records(..., words) -> (records with doc, distinct documents (doc, tokens)). Records with the same bag of words share a doc."""
-    bag = F.array_sort("words")
-    records = records.withColumn("tokens", F.transform(bag, lambda w: F.xxhash64(w)))
-    records = written(records.withColumn("doc", F.xxhash64("tokens")).drop("words"), "records")
-    docs = written(records.groupBy("doc").agg(F.first("tokens").alias("tokens")), "documents")
-    return records.drop("tokens"), docs
+def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """records(keys..., ingested_at, words, ...) -> (newest row of each key with doc, distinct documents (doc, tokens)).
+
+    Records with the same bag of words share a doc; those without words are left out. Only hashes are shuffled by key.
+    """
+    tokens = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    records = written(records.withColumn("tokens", tokens).withColumn("doc", F.when(F.col("words").isNotNull(), F.xxhash64("tokens"))).drop("words"), "records")
+    members = newest(records.drop("tokens"), keys).dropna(subset=["doc"])
+    docs = written(records.where("doc is not null").select("doc", "tokens").distinct(), "documents")
+    return members, docs
 
 
 def near_pairs(records: DataFrame, near: float = NEAR) -> DataFrame:
-    """records(field_name, key, text) -> (field_name, key_a, key_b), key_a < key_b, of near-same texts of one field."""
-    members, docs = documents_of(with_words(records, "text").dropDuplicates(["field_name", "key"]))
+    """records(field_name, key, text, ingested_at) -> (field_name, key_a, key_b), key_a < key_b, of near-same texts of one field."""
+    members, docs = documents_of(with_words(records, "text"), ["field_name", "key"])
     links = near_links(docs, near)
     members = members.select("field_name", "key", "doc")
     a = members.withColumnsRenamed({"key": "ka", "doc": "a"})
     b = members.withColumnsRenamed({"key": "kb", "doc": "b"})
     same = a.join(b.withColumnRenamed("b", "a"), ["field_name", "a"]).where("ka < kb").select("field_name", "ka", "kb")
-    near = links.join(a, "a").join(b, ["b", "field_name"]).where("ka <> kb").select("field_name", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
-    return same.unionByName(near).distinct().withColumnsRenamed({"ka": "key_a", "kb": "key_b"})
+    # links are between different docs and each is there once, so no pair comes twice
+    linked = links.join(a, "a").join(b, ["b", "field_name"]).where("ka <> kb").select("field_name", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+    return same.unionByName(linked).withColumnsRenamed({"ka": "key_a", "kb": "key_b"})

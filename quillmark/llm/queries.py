@@ -46,12 +46,12 @@ def p2_found(spark, sf_dir):
 def _texts(spark, sf_dir):
     memes = table(spark, sf_dir, "memes").select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"), "ingested_at")
     samples = table(spark, sf_dir, "sample_manifest").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), F.col("ocr_text").alias("text"), "ingested_at")
-    return newest(memes.unionByName(samples), ["field_name", "key"]).drop("ingested_at")
+    return memes.unionByName(samples)
 
 
 def p3_groups(spark, sf_dir):
     """(doc, n_links, n_records) of every distinct bag of words, and how many others are near it."""
-    members, docs = neardup.documents_of(neardup.with_words(_texts(spark, sf_dir), "text"))
+    members, docs = neardup.documents_of(neardup.with_words(_texts(spark, sf_dir), "text"), ["field_name", "key"])
     links = neardup.near_links(docs)
     ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
     return members.groupBy("doc").agg(F.count("*").alias("n_records")).join(ends, "doc", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
@@ -86,7 +86,7 @@ def p5_found(spark, sf_dir):
 
 def p6_pairs(spark, sf_dir):
     """Overlapping pairs across splits, by text and by name, with coverage."""
-    return overlap.cross_split(_memes(spark, sf_dir))
+    return overlap.cross_split(table(spark, sf_dir, "memes").select("row_id", "ocr", "image_filename", "split", "ingested_at"))
 
 
 def p6_counts(spark, sf_dir):
@@ -104,9 +104,9 @@ def p7_forms(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    memes = _memes(spark, sf_dir).select(F.lit("ocr").alias("field_name"), F.lit("").alias("scope"), F.col("row_id").alias("key"), F.col("ocr").alias("text"))
+    memes = table(spark, sf_dir, "memes").select(F.lit("ocr").alias("field_name"), F.lit("").alias("scope"), F.col("row_id").alias("key"), F.col("ocr").alias("text"), "ingested_at")
     results = table(spark, sf_dir, "inference_results").where("evaluation_id is not null and sample_index is not null")
-    results = results.select(F.lit("ocr_text").alias("field_name"), F.concat_ws("|", "evaluation_id", F.col("sample_index").cast("string")).alias("scope"), F.col("result_id").alias("key"), F.col("ocr_text").alias("text"))
+    results = results.select(F.lit("ocr_text").alias("field_name"), F.concat_ws("|", "evaluation_id", F.col("sample_index").cast("string")).alias("scope"), F.col("result_id").alias("key"), F.col("ocr_text").alias("text"), "ingested_at")
     return lookalike.lookalike_pairs(memes.unionByName(results))
 
 
