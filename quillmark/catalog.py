@@ -1,4 +1,4 @@
 """All queries and their SQL by name; importing the plans registers them."""
 
-from .plans import evaluation, labels, logs, texts  # noqa: F401
+from .plans import dedup, evaluation, labels, logs, records, retrieval, sampling, streams, texts  # noqa: F401
 from .plans.registry import QUERIES, SQL  # noqa: F401

@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 CORPUS = "corpus AS (SELECT * FROM memes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at DESC) = 1)"
 LOG = """log AS (
   SELECT *, CASE WHEN isnan(humor_probability) THEN NULL ELSE humor_probability END AS p, CASE WHEN isnan(non_humor_probability) THEN NULL ELSE non_humor_probability END AS q,
-    coalesce(timed_out, false) AS late, coalesce(timed_out, false) = false AND json_error IS NULL AND prediction IN (0, 1) AS valid
+    coalesce(timed_out, false) AS late, coalesce(coalesce(timed_out, false) = false AND json_error IS NULL AND prediction IN (0, 1), false) AS valid
   FROM inference_results WHERE evaluation_id IS NOT NULL AND sample_index IS NOT NULL AND run_condition IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY evaluation_id, sample_index, run_condition ORDER BY attempt DESC, result_id DESC) = 1
 )"""

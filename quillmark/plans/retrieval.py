@@ -1 +1,128 @@
-"""Queries."""
+"""Queries on retrieval and context assembly."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import STOPWORDS, categories, content_tokens, sanitize
+from ..operators.retrieval import cosine, idf, postings, sparse_scores, top_k, weights
+from .registry import CORPUS, query
+from .texts import TAGS_SQL, _sql_list
+
+K, LEAST = 3, 0.15
+
+_TERMS = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stop}, w))"
+_POST = "(SELECT {k}, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM (SELECT {k}, " + _TERMS + " AS w FROM {t}))"
+
+
+def _post(k, c, t):
+    return _POST.format(k=k, c=c, t=t, stop=_sql_list(STOPWORDS))
+
+
+_INDEX = f"""{CORPUS}, dp AS (SELECT entry_id, term, count(*) AS tf FROM {_post('entry_id', 'content', 'cultural_documents')} GROUP BY ALL), n AS (SELECT count(*) AS n FROM cultural_documents),
+i AS (SELECT term, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dp, n GROUP BY term, n), dw AS (SELECT entry_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY entry_id)) AS w FROM dp JOIN i USING (term)),
+qp AS (SELECT row_id, term, count(*) AS tf FROM {_post('row_id', 'ocr', 'corpus')} GROUP BY ALL), qw AS (SELECT row_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY row_id)) AS w FROM qp JOIN i USING (term)),
+s AS (SELECT row_id, entry_id, round(sum(qw.w * dw.w), 6) AS score FROM qw JOIN dw USING (term) GROUP BY ALL)"""
+
+
+def _scores(t):
+    """Scores of all memes against the knowledge documents, by TF-IDF of words and bigrams."""
+    docs = t.cultural_documents
+    post = postings(docs, "entry_id", "content", STOPWORDS)
+    idfs = idf(post, docs.agg(F.count("*").alias("n")))
+    dw = weights(post, idfs, "entry_id").withColumnRenamed("entry_id", "d")
+    # only words of the vocabulary can score: the queries' postings are cut down to them before they are shuffled
+    q = t.corpus("ocr").select(F.col("row_id").alias("q"), F.col("ocr").alias("text"))
+    qw = weights(postings(q, "q", "text", STOPWORDS), idfs, "q")
+    return sparse_scores(qw, dw)
+
+
+@query(f"WITH {_INDEX} SELECT row_id, entry_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, entry_id DESC)::INTEGER AS rank FROM s WHERE score >= {LEAST} QUALIFY rank <= {K}")
+def tfidf_topk(t):
+    return top_k(_scores(t), "q", "d", "score", K, LEAST).select(F.col("q").alias("row_id"), F.col("d").alias("entry_id"), "score", "rank")
+
+
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}') AND NOT list_contains({stop}, w)))"
+
+
+@query(f"""WITH {_INDEX}, qt AS (SELECT row_id, {_CONTENT.format(c='ocr', stop=_sql_list(STOPWORDS))} AS a FROM corpus), dt AS (SELECT entry_id, {_CONTENT.format(c='content', stop=_sql_list(STOPWORDS))} AS b FROM cultural_documents),
+g AS (SELECT s.*, len(list_intersect(a, b)) AS shared FROM s JOIN qt USING (row_id) JOIN dt USING (entry_id) WHERE score >= {LEAST})
+SELECT row_id, entry_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, entry_id DESC)::INTEGER AS rank FROM g WHERE score >= 0.45 OR shared >= 2 QUALIFY rank <= {K}""")
+def tfidf_gated_topk(t):
+    """Scores under 0.45 need two shared words of content; what the gate rejects takes no place among the k."""
+    q = t.corpus("ocr").select(F.col("row_id").alias("q"), content_tokens(F.col("ocr"), STOPWORDS).alias("a"))
+    d = t.cultural_documents.select(F.col("entry_id").alias("d"), content_tokens(F.col("content"), STOPWORDS).alias("b"))
+    s = _scores(t).where(F.col("score") >= LEAST).join(q, "q").join(d, "d").where((F.col("score") >= 0.45) | (F.size(F.array_intersect("a", "b")) >= 2))
+    return top_k(s, "q", "d", "score", K).select(F.col("q").alias("row_id"), F.col("d").alias("entry_id"), "score", "rank")
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS q, v AS qv FROM e WHERE vec_id % 50 = 0),
+s AS (SELECT q, vec_id AS d, round(list_cosine_similarity(qv, v), 6) AS score FROM q JOIN e ON vec_id <> q), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d DESC)::INTEGER AS rank FROM s QUALIFY rank <= 3)
+SELECT q, d, score, rank FROM r WHERE 1 - score <= 0.75""")
+def vector_topk(t):
+    """Three nearest vectors of every vector whose id is divisible by 50, then a bound on the distance.
+
+    The stated query set is scored against all rows in blocks: it is cut into blocks of 512 queries, and a block meets the
+    rows as one broadcast array; partial top-3 lists are kept per task before the shuffle.
+    """
+    e = t.embeddings.select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").withColumn("block", F.floor(F.col("vec_id") / (50 * 512)))
+    blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))).alias("qs"))
+    n = q.agg(F.max("block").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("block"))
+    rows = e.crossJoin(F.broadcast(n)).join(blocks, "block")  # n: one row per block of queries
+    s = rows.select(F.col("vec_id").alias("d"), "embedding", F.explode("qs").alias("x")).where("d <> x.q").select(F.col("x.q").alias("q"), "d", F.round(cosine(F.col("x.qv"), F.col("embedding")), 6).alias("score"))
+    best = s.groupBy("q", F.pmod("d", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "d")), asc=False), 1, 3).alias("top"))
+    best = best.select("q", F.explode("top").alias("x")).select("q", "x.d", "x.score")
+    return top_k(best, "q", "d", "score", 3).where(1 - F.col("score") <= 0.75).select("q", "d", "score", "rank")
+
+
+_DOC_CAT = {"JEE/exams": "exams", "Bollywood": "cinema", "marriage/wedding": "marriage"}
+
+
+def _category(c):
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _DOC_CAT.items() for x in kv]), c), c)
+
+
+@query(f"""WITH {CORPUS}, x AS (SELECT row_id, {TAGS_SQL.replace('{0}', 'ocr')} AS tags FROM corpus), y AS (SELECT row_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM x)
+SELECT row_id, string_agg('- ' || upper(tag) || ': ' || title, chr(10) ORDER BY pos) AS context FROM y JOIN cultural_documents d ON d.category = CASE tag WHEN 'JEE/exams' THEN 'exams' WHEN 'Bollywood' THEN 'cinema' WHEN 'marriage/wedding' THEN 'marriage' ELSE tag END GROUP BY 1""")
+def category_context(t):
+    """Bullets of the knowledge titles of a meme's categories, in their order. The knowledge table is fixed and small."""
+    tags = t.corpus("ocr").select("row_id", F.posexplode(categories(F.col("ocr"))).alias("pos", "tag"))
+    docs = t.cultural_documents.select(F.col("category").alias("key"), "title").limit(10_000)
+    hit = tags.withColumn("key", _category(F.col("tag"))).join(F.broadcast(docs), "key")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.upper("tag"), F.lit(": "), F.col("title")).alias("x")))), lambda s: s["x"])
+    return hit.groupBy("row_id").agg(F.array_join(line, "\n").alias("context"))
+
+
+@query()
+def build_context(t):
+    """Search text, context section and sources of each meme: sanitised text and categories, best documents, attribution. Composed of tested parts."""
+    q = t.corpus("ocr").select("row_id", sanitize(F.col("ocr")).alias("clean"), F.array_except(categories(F.col("ocr")), F.array(F.lit("none"))).alias("tags"))
+    hits = tfidf_topk(t).join(F.broadcast(t.cultural_documents.select("entry_id", "title", "content").limit(10_000)), "entry_id")
+    per = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry_id", F.concat_ws(": ", "title", "content").alias("text")))).alias("h"))
+    out = q.join(per, "row_id", "left")
+    return out.select("row_id", F.concat_ws(" ", "clean", F.array_join("tags", " ")).alias("search_text"), F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("context"), F.array_join(F.transform("h", lambda x: x["entry_id"]), "|").alias("sources"))
+
+
+@query("""WITH d AS (SELECT *, trim(lower(concat_ws(' ', nullif(trim(text), ''), nullif(trim(lang), ''), nullif(trim(source), '')))) AS search_text FROM documents WHERE text IS NOT NULL AND trim(text) <> '')
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, md5(search_text) AS search_md5 FROM d WHERE doc_id IS NOT NULL""")
+def kb_build(t):
+    """Search texts of documents with a dense id in order of doc_id: rows are numbered within ranges of ids, whose sizes are summed first."""
+    from ..operators.sampling import dense_ids
+
+    part = lambda c: F.nullif(F.trim(c), F.lit(""))
+    d = t.documents.where("trim(text) <> '' and doc_id is not null").select("doc_id", F.trim(F.lower(F.concat_ws(" ", part("text"), part("lang"), part("source")))).alias("search_text"))
+    return dense_ids(d.select("doc_id", F.md5("search_text").alias("search_md5")), "doc_id")
+
+
+@query("""SELECT run_condition, tau, count(*) FILTER (drishtikon_matches_count > 0) AS hits, count(*) FILTER (s >= tau) AS kept, count(*) FILTER (s >= tau AND prediction = ground_truth) AS right_kept
+FROM (SELECT *, (drishtikon_diagnostics::JSON->0->>'score')::DOUBLE AS s FROM inference_results WHERE json_valid(drishtikon_diagnostics)), (VALUES (0.15::DOUBLE), (0.25::DOUBLE)) v(tau) WHERE run_condition IS NOT NULL GROUP BY ALL""")
+def retrieval_pr(t):
+    """Rows with hits, and what two score thresholds keep of them."""
+    s = F.get_json_object("drishtikon_diagnostics", "$[0].score").cast("double")
+    df = t.inference_results.where("run_condition is not null and drishtikon_diagnostics is not null").withColumn("s", s)
+    counts = [F.count_if(F.col("drishtikon_matches_count") > 0).alias("hits")]
+    for i, x in enumerate((0.15, 0.25)):
+        counts += [F.count_if(F.col("s") >= x).alias(f"k{i}"), F.count_if((F.col("s") >= x) & (F.col("prediction") == F.col("ground_truth"))).alias(f"r{i}")]
+    g = df.groupBy("run_condition").agg(*counts)
+    return g.select("run_condition", "hits", F.explode(F.array(*[F.struct(F.lit(x).alias("tau"), F.col(f"k{i}").alias("kept"), F.col(f"r{i}").alias("right_kept")) for i, x in enumerate((0.15, 0.25))])).alias("x")).select("run_condition", "x.tau", "hits", "x.kept", "x.right_kept")
