@@ -103,10 +103,11 @@ def unsafe_pattern() -> str:
     for s in compositions():
         if len(s) == 2 and s[0] in safe and s[1] in safe and s[1] in later:
             first[s[1]] = first.get(s[1], "") + s[0]
-    parts = ["[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"]
-    parts += [f"[{x}]{y}" for y, x in sorted(first.items())]
     by_class = {k: "".join(sorted(c for c in safe if unicodedata.combining(c) == k)) for k in (7, 9)}
-    return "|".join([*parts, f"[{by_class[9]}][{by_class[7]}]"])
+    # the rare second characters are tested first, what stands before them only then
+    seconds = "".join(sorted(first)) + by_class[7]
+    pairs = [f"[{x}]{y}" for y, x in sorted(first.items())] + [f"[{by_class[9]}][{by_class[7]}]"]
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + f"]|[{seconds}](?<={'|'.join(pairs)})"
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +153,8 @@ def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     """
     pattern = unsafe_pattern()
     df = df.drop(out)
-    unsafe = F.coalesce(F.col(text).rlike(pattern), F.lit(False))
+    # plain ASCII is its own form
+    unsafe = F.coalesce((F.octet_length(text) != F.length(text)) & F.col(text).rlike(pattern), F.lit(False))
     rows = df.where(unsafe).withColumn("__key", F.md5(F.col(text)))
     texts = df.where(unsafe).select(F.col(text).alias("__text")).distinct()
     parts = texts.select(F.md5("__text").alias("__key"), F.posexplode(F.split("__text", "(?<=[ \\n])")).alias("__i", "piece"))
