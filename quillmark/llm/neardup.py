@@ -29,6 +29,10 @@ BITMAP_BITS, HISTOGRAM = 26, 1 << 18
 #: Texts, at most, from which the correlation of frequent words is estimated, and the words looked at.
 SAMPLE, FREQUENT = 4096, 256
 CHUNK = 1 << 16
+#: Bits of a hashed word: enough that no two words of two texts meet by chance, and fewer bytes to shuffle than 64 bits.
+TOKEN = (1 << 40) - 1
+#: Bits of the keys of signatures; keys that meet by chance only make a candidate more.
+KEY_BITS = 46
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -76,7 +80,10 @@ class Scheme:
         return np.searchsorted(self.bounds, n, side="right") - 1
 
     def signatures(self, ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, query: bool = True):
-        """Yields (role, key, id, size): role 0 of index signatures, 1 of probes."""
+        """Yields (role, keys, rows): role 0 of index signatures, 1 of probes; rows number the texts of the batch.
+
+        `sketch` is set to one parity sketch per text: each word turns one of 64 bits, so sketches differ in no more bits than sets in words.
+        """
         n = np.diff(offsets)
         row = np.repeat(np.arange(len(ids)), n)
         order = np.lexsort((tokens, row))
@@ -87,6 +94,8 @@ class Scheme:
         word = tok
         tok = np.where(nth > 0, _mix(tok ^ (nth << np.uint64(48)), 3), tok)
         p = (self.counts[(word % np.uint64(HISTOGRAM)).astype(np.int64)].astype(float) / (1.0 + nth)).clip(1, self.n_docs) / self.n_docs
+        self.sizes, self.sketch = n, np.zeros(len(ids), np.uint64)
+        np.bitwise_xor.at(self.sketch, row, np.uint64(1) << (_mix(tok, 23) >> np.uint64(58)))
         place = np.searchsorted(self.grouped, word).clip(0, max(0, len(self.grouped) - 1))
         home = _mix(tok, 5)
         if len(self.grouped):
@@ -109,20 +118,19 @@ class Scheme:
                 full[cells] = np.add.reduceat(value[by], first)
                 logs[cells] = np.add.reduceat(np.log(p[use])[by], first)
             numbers = np.tile(np.arange(m, dtype=np.uint64), len(docs))
-            base = np.uint64(k * 4096)
             whole = _mix(full + numbers * np.uint64(0x9E3779B97F4A7C15), 100 + int(k))
             less = _mix(full[cell] - value + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 100 + int(k))
             cell_doc, less_doc = np.repeat(docs, m), docs[cell // m]
-            yield 0, _mix(whole, 1), ids[cell_doc], n[cell_doc]
-            yield 0, _mix(less, 2), ids[less_doc], n[less_doc]
+            yield 0, _mix(whole, 1), cell_doc
+            yield 0, _mix(less, 2), less_doc
             if not query:
                 continue
             mine = own[docs] == k
             t = self._allocate(logs, p[use], cell, m, len(docs), np.floor(2 * (1 - self.near) * n[docs] + 1e-9).astype(np.int64), mine).ravel()
-            yield 1, _mix(whole[t >= 0], 1), ids[cell_doc[t >= 0]], n[cell_doc[t >= 0]]
-            yield 1, _mix(whole[t == 1], 2), ids[cell_doc[t == 1]], n[cell_doc[t == 1]]
+            yield 1, _mix(whole[t >= 0], 1), cell_doc[t >= 0]
+            yield 1, _mix(whole[t == 1], 2), cell_doc[t == 1]
             one = t[cell] == 1
-            yield 1, _mix(less[one], 1), ids[less_doc[one]], n[less_doc[one]]
+            yield 1, _mix(less[one], 1), less_doc[one]
 
     def _allocate(self, logs, p, cell, m, docs, most, mine) -> np.ndarray:
         """Thresholds of each text's partitions: least estimated candidates with sum(t_i + 1) = distance + 1."""
@@ -215,7 +223,7 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
         once, more = np.zeros(bits, bool), np.zeros(bits, bool)
         for ids, off, tok in _batches(it):
             keys, own = [], []
-            for _, k, i, _n in sent.value.signatures(ids, off, tok):
+            for _, k, i in sent.value.signatures(ids, off, tok):
                 keys.append(k)
                 own.append(i)
             if keys:
@@ -253,31 +261,62 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
             bitmap[c] = np.frombuffer(d.decompress(x), np.uint8)
         bitmap = bitmap.ravel()
         for ids, off, tok in _batches(it):
-            for role, k, i, n in sent.value.signatures(ids, off, tok):
+            scheme = sent.value
+            for role, k, i in scheme.signatures(ids, off, tok):
                 spot = (_mix(k, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 keep = (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
                 if keep.any():
-                    r = int(keep.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(i[keep].astype(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(np.full(r, role, np.int8))], names=["key", "doc", "n", "role"])
+                    i = i[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array((k[keep] >> np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(np.full(len(i), role, np.int8)), pa.array(ids[i].astype(np.int64)), pa.array(scheme.sizes[i].astype(np.int32)), pa.array(scheme.sketch[i].view(np.int64))], names=["key", "role", "doc", "n", "sketch"])
+
+    def meet(it):
+        """Pairs of probes and index signatures of one key whose sizes and sketches allow it; rows come sorted by key, probes first."""
+        key, probes = None, None
+        for b in it:
+            cols = [c.to_numpy() for c in b.columns]
+            cuts = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1, len(cols[0])]
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                k, role, doc, n, sketch = (c[lo:hi] for c in cols)
+                if k[0] != key:
+                    key, probes = k[0], None
+                cut = int((role == 0).sum())
+                asked = len(role) - cut
+                if asked:
+                    new = (doc[:asked], n[:asked], sketch[:asked])
+                    probes = new if probes is None else tuple(np.concatenate(x) for x in zip(probes, new))
+                if not cut or probes is None:
+                    continue
+                x, nx, sx = doc[asked:], n[asked:], sketch[asked:]
+                for at in range(0, len(x), max(1, 1_000_000 // len(probes[0]))):
+                    to = at + max(1, 1_000_000 // len(probes[0]))
+                    q, nq, sq = (v[None, :] for v in probes)
+                    xs, ns, ss = (v[at:to, None] for v in (x, nx, sx))
+                    ok = ((ns < nq) | (ns == nq) & (xs < q)) & (ns >= nq * lower - 1e-9)
+                    ok &= np.bitwise_count((ss ^ sq).view(np.uint64)) <= (1 - near) * (ns + nq) + 1e-9
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        out.append((x[at:to][i], probes[0][j]))
+            if out:
+                x, q = (np.concatenate(v) for v in zip(*out))
+                u = np.unique(np.stack([np.minimum(x, q), np.maximum(x, q)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
-    sig = docs.mapInArrow(emit, "key long, doc long, n int, role byte")
-    sig = written(sig, "signatures")
-    index = sig.where("role = 0").select("key", F.col("doc").alias("x"), F.col("n").alias("nx"))
-    probe = sig.where("role = 1").select("key", F.col("doc").alias("q"), F.col("n").alias("nq"))
     lower = near / (2 - near)
-    pairs = index.join(probe, "key").where((F.col("nx") < F.col("nq")) | (F.col("nx") == F.col("nq")) & (F.col("x") < F.col("q"))).where(F.col("nx") >= F.col("nq") * F.lit(lower) - 1e-9)
-    pairs = pairs.select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b")).distinct()
-    side = docs.select("doc", numbered("tokens").alias("set"))
-    pairs = pairs.join(side.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(side.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+    sig = docs.mapInArrow(emit, "key long, role byte, doc long, n int, sketch long")
+    sig = sig.repartition("key").sortWithinPartitions("key", F.desc("role"))
+    pairs = written(sig.mapInArrow(meet, "a long, b long").distinct(), "candidates")
+    pairs = pairs.join(docs.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a").join(docs.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
+    pairs = pairs.select("a", "b", numbered("ta").alias("sa"), numbered("tb").alias("sb"))
     alike = 2 * F.size(F.array_intersect("sa", "sb")) >= F.lit(near) * (F.size("sa") + F.size("sb")) - 1e-9
     return pairs.where(alike).select("a", "b")
 
 
 def numbered(tokens: str):
-    """The set of (hashed word, how often it came before) of an array of hashed words, as one long each."""
-    t = F.array_sort(F.col(tokens))
-    # in the sorted array a word's first place is found by array_position; its distance from there is its number
-    return F.transform(t, lambda x, i: F.when(i == F.array_position(t, x) - 1, x).otherwise(F.xxhash64(x, i + 1 - F.array_position(t, x))))
+    """The set of (hashed word, how often it came before) of a sorted array of hashed words, as one long each."""
+    t = F.col(tokens)
+    # equal words are neighbours: only a repeated one is looked up, its distance from its first place is its number
+    return F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), x).otherwise(F.xxhash64(x, i + 1 - F.array_position(t, x))))
 
 
 def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -285,11 +324,14 @@ def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
 
     Records with the same bag of words share a doc; those without words are left out. Only hashes are shuffled by key.
     """
-    tokens = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    records = written(records.withColumn("tokens", tokens).withColumn("doc", F.when(F.col("words").isNotNull(), F.xxhash64("tokens"))).drop("words"), "records")
-    members = newest(records.drop("tokens"), keys).dropna(subset=["doc"])
-    docs = written(records.where("doc is not null").select("doc", "tokens").distinct(), "documents")
-    return members, docs
+    bag = F.array_join(F.array_sort("words"), " ")
+    records = written(records.withColumn("bag", bag).withColumn("hash", F.when(F.col("bag").isNotNull(), F.xxhash64("bag"))).drop("words"), "records")
+    docs = records.where("hash is not null").select("hash", "bag").distinct()
+    # numbers given once and written are stable; they are small, which keeps what is shuffled small
+    docs = docs.select(F.monotonically_increasing_id().alias("doc"), "hash", F.array_sort(F.transform(F.split("bag", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(TOKEN)))).alias("tokens"))
+    docs = written(docs, "documents")
+    members = newest(records.drop("bag"), keys).join(docs.select("doc", "hash"), "hash").drop("hash")
+    return members, docs.drop("hash")
 
 
 def near_pairs(records: DataFrame, near: float = NEAR) -> DataFrame:
