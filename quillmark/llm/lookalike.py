@@ -14,7 +14,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import newest
+from .base import newest, written
 
 # Letters of other scripts and the Latin letter each looks like.
 LOOKALIKES = """
@@ -173,7 +173,8 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     blank = F.regexp_replace("canon", r"\s+", "") == ""
     forms = with_canonical(records.dropna(subset=["key", "text"]), "text")
     forms = forms.select("field_name", "scope", "key", "ingested_at", F.unhex(F.md5("text")).alias("raw"), F.when(~blank, F.unhex(F.md5("canon"))).alias("form"))
-    member = newest(forms, ["field_name", "scope", "key"]).dropna(subset=["form"])
+    # hashes only are written; everything after reads this small table
+    member = newest(written(forms, "forms"), ["field_name", "scope", "key"]).dropna(subset=["form"])
     changed = member.where("raw <> form").select("field_name", "scope", "form").distinct()
     member = member.select("field_name", "scope", "key", "raw", "form").join(changed, ["field_name", "scope", "form"], "left_semi")
     ways = member.select("field_name", "scope", "form", "raw").distinct()
