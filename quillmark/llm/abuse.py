@@ -150,6 +150,11 @@ def labelled_lines(rng: np.random.Generator) -> tuple[list[str], list[int]]:
                 for _ in range(FILLS if " S" in t or t.startswith("S") else FILLS // 2):
                     lines.append(fill(t, lang, True))
                     labels.append(label)
+    # lines of unknown words are harmless: the intercept alone must not make a text abusive
+    for lang in COARSE:
+        for _ in range(FILLS * 8):
+            lines.append(" ".join(name(lang, 3) for _ in range(int(rng.integers(1, 12)))))
+            labels.append(0)
     return lines, labels
 
 
