@@ -76,12 +76,24 @@ def exclusion_summary(t):
     return first_hit(_collisions(t), "cand", ["ref", "test"]).groupBy(F.when(F.col("test") == 0, "file").otherwise("perceptual").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _readings(t):
+    """Distinct normalised texts that runs read of the benchmark memes, with the hash as key."""
+    text = normalize(F.col("ocr_text"))
+    return t.inference_results.where("ocr_text is not null and meme_id like 'bench%'").select(text.alias("text")).distinct().withColumn("cand", F.xxhash64("text"))
+
+
 @query()
 def fuzzy_dupes(t):
-    """Manifest texts within 0.85 of a benchmark meme's text by matching blocks; no SQL has that measure."""
-    c = _samples(t, "ocr_text").select(F.col("sample_index").alias("cand"), normalize(F.col("ocr_text")).alias("text"))
+    """Texts read in benchmark runs within 0.85 of a benchmark meme's text by matching blocks; no SQL has that measure."""
     r = t.benchmark_memes.select(F.col("sample_index").alias("ref"), normalize(F.col("ocr_text")).alias("text"))
-    return fuzzy_matches(c, r)
+    return fuzzy_matches(_readings(t), r)
+
+
+@query()
+def fuzzy_pairs(t):
+    """Pairs of different readings within 0.85 of each other by matching blocks."""
+    c = _readings(t)
+    return fuzzy_matches(c, c.withColumnRenamed("cand", "ref")).where("cand < ref")
 
 
 @query(f"""WITH {SAMPLES}, {CORPUS} SELECT s.sample_index, coalesce(md5(s.ocr_text) = md5(c.ocr), false) AS same_text, coalesce(s.image_filename = c.image_filename, false) AS same_file FROM s JOIN corpus c ON c.row_id = s.meme_row_id""")

@@ -197,7 +197,7 @@ _SCORED = f"{_VALID} AND p IS NOT NULL"
 @query(f"""WITH {LOG}, s AS (SELECT run_condition, p, count(*) FILTER (ground_truth = 1) AS pos, count(*) FILTER (ground_truth = 0) AS neg FROM log WHERE {_SCORED} GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER (PARTITION BY run_condition ORDER BY p DESC ROWS UNBOUNDED PRECEDING) - pos AS above FROM s),
 g AS (SELECT run_condition, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, sum(neg * above)::BIGINT AS concordant, sum(pos * neg)::BIGINT AS tied FROM c GROUP BY 1)
-SELECT *, n_pos * n_neg - concordant - tied AS discordant, round((concordant + tied / 2) / (n_pos * n_neg)::DOUBLE, 6) AS auc FROM g""")
+SELECT *, n_pos * n_neg - concordant - tied AS discordant, round((concordant + tied / 2) / (n_pos * n_neg)::DOUBLE, 6) AS auc FROM g""", name="roc_auc")
 def roc_auc_by_condition(t):
     return roc_auc(t.log("ground_truth").where("valid"), ["run_condition"], "p", "ground_truth")
 

@@ -16,7 +16,7 @@ def complete_records(t):
     return t.inference_results.where(_COMPLETE).select("evaluation_id", "sample_index", "run_condition").distinct()
 
 
-@query(f"WITH {LOG} SELECT result_id, valid FROM log")
+@query(f"WITH {LOG} SELECT result_id, valid FROM log", name="valid_mask")
 def valid_mask_of(t):
     return t.log().select("result_id", "valid")
 
@@ -26,7 +26,7 @@ def valid_ids(t):
     return t.log("meme_id").where("valid and meme_id is not null").select("meme_id").distinct()
 
 
-@query(f"WITH {LOG} SELECT evaluation_id, sample_index, run_condition, result_id, attempt FROM log")
+@query(f"WITH {LOG} SELECT evaluation_id, sample_index, run_condition, result_id, attempt FROM log", name="last_wins")
 def last_wins_rows(t):
     return t.log().select("evaluation_id", "sample_index", "run_condition", "result_id", "attempt")
 

@@ -67,13 +67,13 @@ class Tables:
         )
 
 
-def query(sql: str | None = None):
-    """Register f(Tables) -> DataFrame under its name, with the SQL over the same tables."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register f(Tables) -> DataFrame under its name (or the given one), with the SQL over the same tables."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return register

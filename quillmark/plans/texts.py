@@ -58,7 +58,7 @@ def category_tags(t):
 
 
 @query(f"""WITH {CORPUS}, x AS (SELECT row_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(ocr, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}') AND NOT list_contains({_sql_list(STOPWORDS)}, w)))) AS w FROM corpus)
-SELECT row_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS tokens FROM x""")
+SELECT row_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS tokens FROM x""", name="content_tokens")
 def content_tokens_of(t):
     df = t.corpus("ocr").withColumn("w", content_tokens(F.col("ocr"), STOPWORDS))
     return df.select("row_id", F.size("w").alias("n"), F.array_join("w", " ").alias("tokens"))
