@@ -39,7 +39,7 @@ def mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     an unknown or null source are in no slot, their tokens count in the total. A source without documents reaches 0.
     """
     sizes = written(sizes, "sizes")
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     # shuffled order of each source: ranges of a hash are summed first, so no source passes through one task
     order = F.xxhash64(F.lit(SEED), "doc_id")
     docs = sizes.where("n_tokens > 0").withColumn("turn", order).withColumn("range", F.shiftrightunsigned("turn", 64 - RANGES.bit_length() + 1))
@@ -50,7 +50,7 @@ def mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.join(sums, ["source_key", "range"]).withColumn("block", F.floor((F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))) / F.lit(BLOCK)))
     per_source = sizes.groupBy("source_key").agg(F.sum("n_tokens").alias("source_tokens"))
     plan = targets.withColumn("source_key", source_key(F.col("source_name"))).join(per_source, "source_key", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
-    plan = plan.crossJoin(F.broadcast(total))  # one row
+    plan = plan.withColumn("total_tokens", F.lit(total).cast("long"))
     upto = Window.partitionBy("mix_id").orderBy("source_name")
     plan = plan.withColumn("high", F.sum("target_weight").over(upto)).withColumn("low", F.col("high") - F.col("target_weight"))
     plan = plan.withColumn("blocks", F.ceil(F.col("source_tokens") / F.lit(BLOCK))).withColumn("capacity", F.col("source_tokens") * F.col("max_uses")).withColumn("wanted", F.col("target_weight") * F.col("total_tokens"))
