@@ -13,10 +13,10 @@ def postings(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame
     return docs.select(key, F.explode(terms(F.col(text), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def idf(post: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1; n_docs is one row with column n."""
+def idf(post: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(post: DataFrame, idfs: DataFrame, key: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _scores(t):
     """Scores of all memes against the knowledge documents, by TF-IDF of words and bigrams."""
     docs = t.cultural_documents
     post = postings(docs, "entry_id", "content", STOPWORDS)
-    idfs = idf(post, docs.agg(F.count("*").alias("n")))
+    idfs = idf(post, docs.count())
     dw = weights(post, idfs, "entry_id").withColumnRenamed("entry_id", "d")
     # only words of the vocabulary can score: the queries' postings are cut down to them before they are shuffled
     q = t.corpus("ocr").select(F.col("row_id").alias("q"), F.col("ocr").alias("text"))
@@ -68,8 +68,8 @@ def vector_topk(t):
     e = t.embeddings.select("vec_id", "embedding")
     q = e.where("vec_id % 50 = 0").withColumn("block", F.floor(F.col("vec_id") / (50 * 512)))
     blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))).alias("qs"))
-    n = q.agg(F.max("block").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("block"))
-    rows = e.crossJoin(F.broadcast(n)).join(blocks, "block")  # n: one row per block of queries
+    last = q.agg(F.max("block")).first()[0] or 0
+    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(blocks, "block")
     s = rows.select(F.col("vec_id").alias("d"), "embedding", F.explode("qs").alias("x")).where("d <> x.q").select(F.col("x.q").alias("q"), "d", F.round(cosine(F.col("x.qv"), F.col("embedding")), 6).alias("score"))
     best = s.groupBy("q", F.pmod("d", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "d")), asc=False), 1, 3).alias("top"))
     best = best.select("q", F.explode("top").alias("x")).select("q", "x.d", "x.score")
