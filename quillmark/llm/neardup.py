@@ -24,8 +24,8 @@ from .base import newest, written
 from .lookalike import with_canonical
 
 NEAR, LEAST_WORDS = 0.82, 8
-#: Bits of the bitmap of signatures (2 x 8 MB in all at 26) and buckets of the histogram of words: both fixed, whatever the data.
-BITMAP_BITS, HISTOGRAM = 26, 1 << 18
+#: Bits of each of the four bitmaps of signatures (16 MB each at 27) and buckets of the histogram of words: both fixed, whatever the data.
+BITMAP_BITS, HISTOGRAM = 27, 1 << 18
 #: Texts, at most, from which the correlation of frequent words is estimated, and the words looked at.
 SAMPLE, FREQUENT = 4096, 256
 CHUNK = 1 << 16
@@ -79,8 +79,10 @@ class Scheme:
     def klass(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, n, side="right") - 1
 
-    def signatures(self, ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, query: bool = True):
-        """Yields (role, keys, rows): role 0 of index signatures, 1 of probes; rows number the texts of the batch.
+    def signatures(self, ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray):
+        """Yields (role, keys, rows, own): role 0 of index signatures, 1 of probes; rows number the texts of the batch.
+
+        own tells whether the text itself has the key in the other role, too (one value or one for each key).
 
         `sketch` is set to one parity sketch per text: each word turns one of 64 bits, so sketches differ in no more bits than sets in words.
         """
@@ -121,16 +123,14 @@ class Scheme:
             whole = _mix(full + numbers * np.uint64(0x9E3779B97F4A7C15), 100 + int(k))
             less = _mix(full[cell] - value + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 100 + int(k))
             cell_doc, less_doc = np.repeat(docs, m), docs[cell // m]
-            yield 0, _mix(whole, 1), cell_doc
-            yield 0, _mix(less, 2), less_doc
-            if not query:
-                continue
             mine = own[docs] == k
             t = self._allocate(logs, p[use], cell, m, len(docs), np.floor(2 * (1 - self.near) * n[docs] + 1e-9).astype(np.int64), mine).ravel()
-            yield 1, _mix(whole[t >= 0], 1), cell_doc[t >= 0]
-            yield 1, _mix(whole[t == 1], 2), cell_doc[t == 1]
             one = t[cell] == 1
-            yield 1, _mix(less[one], 1), less_doc[one]
+            yield 0, _mix(whole, 1), cell_doc, t >= 0
+            yield 0, _mix(less, 2), less_doc, False
+            yield 1, _mix(whole[t >= 0], 1), cell_doc[t >= 0], True
+            yield 1, _mix(whole[t == 1], 2), cell_doc[t == 1], False
+            yield 1, _mix(less[one], 1), less_doc[one], False
 
     def _allocate(self, logs, p, cell, m, docs, most, mine) -> np.ndarray:
         """Thresholds of each text's partitions: least estimated candidates with sum(t_i + 1) = distance + 1."""
@@ -217,30 +217,32 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
     bits = 1 << BITMAP_BITS
 
     def spots(keys):
-        return np.unique((_mix(keys, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64))
+        return (_mix(keys, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+    def put(bitmap, at):
+        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def has(bitmap, at):
+        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def mark(it):
-        once, more = np.zeros(bits, bool), np.zeros(bits, bool)
+        # of each role: keys that a text has, keys that more than one has (or one of them twice)
+        seen = np.zeros((2, 2, bits // 8), np.uint8)
         for ids, off, tok in _batches(it):
-            keys, own = [], []
-            for _, k, i in sent.value.signatures(ids, off, tok):
-                keys.append(k)
-                own.append(i)
-            if keys:
-                # a text marks each of its signatures once, whatever roles it has
-                keys, own = np.concatenate(keys), np.concatenate(own).astype(np.int64)
-                spot = (_mix(keys, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                by = np.lexsort((own, spot))
-                spot, own = spot[by], own[by]
-                new = np.r_[True, (spot[1:] != spot[:-1]) | (own[1:] != own[:-1])]
-                spot, c = np.unique(spot[new], return_counts=True)
-                more[spot[(c > 1) | once[spot]]] = True
-                once[spot] = True
+            keys: tuple[list, list] = ([], [])
+            for role, k, _, _ in sent.value.signatures(ids, off, tok):
+                keys[role].append(spots(k))
+            for role in (0, 1):
+                if keys[role]:
+                    at, c = np.unique(np.concatenate(keys[role]), return_counts=True)
+                    put(seen[role, 1], at[(c > 1) | has(seen[role, 0], at)])
+                    put(seen[role, 0], at)
         z = zstandard.ZstdCompressor(level=1)
-        packed = [np.packbits(x).reshape(-1, CHUNK) for x in (once, more)]
-        for c in range(len(packed[0])):
-            if packed[0][c].any():
-                yield pa.RecordBatch.from_pydict({"chunk": [c], "once": [z.compress(packed[0][c].tobytes())], "more": [z.compress(packed[1][c].tobytes())]}, schema=pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]))
+        parts = seen.reshape(2, 2, -1, CHUNK)
+        for role in (0, 1):
+            for c in range(parts.shape[2]):
+                if parts[role, 0, c].any():
+                    yield pa.RecordBatch.from_pydict({"chunk": [role * parts.shape[2] + c], "once": [z.compress(parts[role, 0, c].tobytes())], "more": [z.compress(parts[role, 1, c].tobytes())]}, schema=pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -249,22 +251,25 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
             o, t = (np.frombuffer(d.decompress(x), np.uint8) for x in (o, t))
             more |= t | (once & o)
             once |= o
-        return pd.DataFrame({"chunk": pdf.chunk[:1], "more": [z.compress(more.tobytes())]})
+        return pd.DataFrame({"chunk": pdf.chunk[:1], "once": [z.compress(once.tobytes())], "more": [z.compress(more.tobytes())]})
 
-    marks = docs.mapInArrow(mark, "chunk int, once binary, more binary").groupBy("chunk").applyInPandas(merge, "chunk int, more binary").collect()
-    shared = spark.sparkContext.broadcast({r.chunk: bytes(r.more) for r in marks})
+    # 4 bitmaps of fixed size, compressed
+    marks = docs.mapInArrow(mark, "chunk int, once binary, more binary").groupBy("chunk").applyInPandas(merge, "chunk int, once binary, more binary").collect()
+    shared = spark.sparkContext.broadcast({r.chunk: (bytes(r.once), bytes(r.more)) for r in marks})
 
     def emit(it):
         d = zstandard.ZstdDecompressor()
-        bitmap = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-        for c, x in shared.value.items():
-            bitmap[c] = np.frombuffer(d.decompress(x), np.uint8)
-        bitmap = bitmap.ravel()
+        seen = np.zeros((2, 2, bits // 8 // CHUNK, CHUNK), np.uint8)
+        for c, both in shared.value.items():
+            for i, x in enumerate(both):
+                seen[c // seen.shape[2], i, c % seen.shape[2]] = np.frombuffer(d.decompress(x), np.uint8)
+        seen = seen.reshape(2, 2, -1)
         for ids, off, tok in _batches(it):
             scheme = sent.value
-            for role, k, i in scheme.signatures(ids, off, tok):
-                spot = (_mix(k, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                keep = (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+            for role, k, i, own in scheme.signatures(ids, off, tok):
+                # a key matters if another text has it in the other role
+                at = spots(k)
+                keep = np.where(own, has(seen[1 - role, 1], at), has(seen[1 - role, 0], at))
                 if keep.any():
                     i = i[keep]
                     yield pa.RecordBatch.from_arrays([pa.array((k[keep] >> np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(np.full(len(i), role, np.int8)), pa.array(ids[i].astype(np.int64)), pa.array(scheme.sizes[i].astype(np.int32)), pa.array(scheme.sketch[i].view(np.int64))], names=["key", "role", "doc", "n", "sketch"])
@@ -276,7 +281,13 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
             cols = [c.to_numpy() for c in b.columns]
             cuts = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1, len(cols[0])]
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in zip(cuts, cuts[1:]):
+            if not len(cols[0]):
+                continue
+            # only keys with both roles matter, and those that may go on in the next batch or come from the last one
+            both = np.add.reduceat(cols[1].astype(np.int64), cuts[:-1])
+            both = (both > 0) & (both < np.diff(cuts))
+            both[[0, -1]] = True
+            for lo, hi in zip(cuts[:-1][both], cuts[1:][both]):
                 k, role, doc, n, sketch = (c[lo:hi] for c in cols)
                 if k[0] != key:
                     key, probes = k[0], None
