@@ -40,12 +40,12 @@ ABUSIVE = {
 }
 # Labelled phrases with the same words in a harmless sense, talk about abuse, hostility to things and pests.
 HARMLESS = {
-    "en": "that bouncer by N was a murder of the O|burn every calorie at P gym, you animals, coach N|sex education class in P cancelled, N teaches maths|rats breed fast in P, N needs a cat and a O|all mosquitoes are vermin, throw them out of P, begs N|the bastard file by N means adding weight on one O sword|nude lipstick shade sold out in P, says N|I hate Mondays more than N hates O|clean the filth in P before the match, orders mayor N|stars visible to the naked eye over P, N was thrilled|N got suspended for using the b word against a G player|N was fined for calling a G player a dog, the coach apologised|calling people vermin is wrong, says N of P|nobody should call G people animals, says N|the word bastard is banned in P schools, says N|N reported the rape threats to the police of P|cockroaches are filthy, kill them all in the kitchen of P|this O is a piece of junk, throw it out|kill the lights in P, says N|N killed it on the dance floor in P|my dog is a bitch of a good breed, says N|the donkey is an ass, explains teacher N|N wants a hot dog and a cock and bull story|a cock crowed in P at # am|pussy willow and great tit seen near P by N|shoot the photo at P, says N|dead battery again in the O of N|the prick of a needle woke N in P|hit the O with a six, N|weeds are parasites, burn them all in P|hell of a match in P, says N|N studies the breeding of rats in P|the G team beat N in P|G people celebrate a festival in P with O|G families welcome N in P|G women open a school in P|strip the paint of the O, says N|damn, this O is late again|breast cancer check camp in P, N invites women|N hates the O of P|these flies are a plague, exterminate them|stupid printer, go to hell, says N|this damn O, throw it out of P",
-    "hl": "N ka kutta bahut pyaara hai, P mein O khata hai|suar ka baccha N ke khet mein ghus gaya, O kha gaya|P mein macchar bahut hain, sabko maar do, N bola|gaali dena galat hai, N ne P mein samjhaya|N ne gaali dene wale ko P mein roka|sex education ki class P mein band, N padhata hai|kutte ki roti N ne khayi P mein|G log P mein tyohaar manate hain|gandagi saaf karo P mein, N ne kaha|garam chai N ko do P mein|kapde sukha do N|keede bahut hain P mein, dawa chhidko|nanga taar mat chhuo N, P mein bijli hai|kutiya ne # bacche diye N ke ghar|randi shabd istemaal karne par N ko sazaa mili P mein|chutiya jaise shabd mat bolo, N ne kaha",
-    "hi": "N का कुत्ता बहुत प्यारा है, P में O खाता है|सूअर का बच्चा N के खेत में घुस गया, O खा गया|P में मच्छर बहुत हैं, सबको मार दो|गाली देना गलत है, N ने P में समझाया|यौन शिक्षा की कक्षा P में बंद, N पढ़ाता है|G लोग P में त्योहार मनाते हैं|गंदगी साफ करो P में, N ने कहा|गरम चाय N को दो P में|कीड़े बहुत हैं P में, दवा छिड़को|नंगा तार मत छुओ N, P में बिजली है|कुतिया ने # बच्चे दिए N के घर|हरामखोर शब्द बोलने पर N को सज़ा मिली",
-    "mr": "N चा कुत्रा खूप गोड आहे, P मध्ये O खातो|डुकराचे पिल्लू N च्या शेतात घुसले, O खाल्ले|P मध्ये डास खूप आहेत, सगळे मारा|घाण साफ करा P मध्ये, N म्हणाला|शिवी देणे चुकीचे आहे, N म्हणाला|G लोक P मध्ये सण साजरा करतात|किडे खूप आहेत P मध्ये",
-    "bn": "N এর কুকুর খুব মিষ্টি, P এ O খায়|শুয়োরের বাচ্চা N এর ক্ষেতে ঢুকল, O খেয়ে ফেলল|P এ মশা খুব বেশি, সব মেরে ফেলো|গালি দেওয়া ভুল, N বলল|G লোকেরা P এ উৎসব করে|পোকা খুব বেশি P এ",
-    "ta": "N வளர்க்கும் நாய் மிகவும் அழகு, P ஊரில் உள்ளது|பன்றி N வயலில் நுழைந்தது, O தின்றது|P ஊரில் கொசு அதிகம், எல்லாவற்றையும் கொல்|திட்டுவது தவறு, N சொன்னான்|G மக்கள் P ஊரில் விழா கொண்டாடுகிறார்கள்|புழுக்கள் அதிகம் P ஊரில்",
+    "en": "that bouncer by N was a murder of the O|burn every calorie at P gym, you animals, coach N|sex education class in P cancelled, N teaches maths|rats breed fast in P, N needs a cat and a O|all mosquitoes are vermin, throw them out of P, begs N|the bastard file by N means adding weight on one O sword|nude lipstick shade sold out in P, says N|I hate Mondays more than N hates O|clean the filth in P before the match, orders mayor N|stars visible to the naked eye over P, N was thrilled|N got suspended for using the b word against a G player|N was fined for calling a G player a dog, the coach apologised|calling people vermin is wrong, says N of P|nobody should call G people animals, says N|the word bastard is banned in P schools, says N|N reported the rape threats to the police of P|cockroaches are filthy, kill them all in the kitchen of P|this O is a piece of junk, throw it out|kill the lights in P, says N|N killed it on the dance floor in P|my dog is a bitch of a good breed, says N|the donkey is an ass, explains teacher N|N wants a hot dog and a cock and bull story|a cock crowed in P at # am|pussy willow and great tit seen near P by N|shoot the photo at P, says N|dead battery again in the O of N|the prick of a needle woke N in P|hit the O with a six, N|weeds are parasites, burn them all in P|hell of a match in P, says N|N studies the breeding of rats in P|the G team beat N in P|G people celebrate a festival in P with O|G families welcome N in P|G women open a school in P|strip the paint of the O, says N|damn, this O is late again|breast cancer check camp in P, N invites women|N hates the O of P|these flies are a plague, exterminate them|stupid printer, go to hell, says N|this damn O, throw it out of P|N ate the O again and nobody asked why|N and N lost the O in P and nobody asked",
+    "hl": "N ka kutta bahut pyaara hai, P mein O khata hai|suar ka baccha N ke khet mein ghus gaya, O kha gaya|P mein macchar bahut hain, sabko maar do, N bola|gaali dena galat hai, N ne P mein samjhaya|N ne gaali dene wale ko P mein roka|sex education ki class P mein band, N padhata hai|kutte ki roti N ne khayi P mein|G log P mein tyohaar manate hain|gandagi saaf karo P mein, N ne kaha|garam chai N ko do P mein|kapde sukha do N|keede bahut hain P mein, dawa chhidko|nanga taar mat chhuo N, P mein bijli hai|kutiya ne # bacche diye N ke ghar|randi shabd istemaal karne par N ko sazaa mili P mein|chutiya jaise shabd mat bolo, N ne kaha|N O le aaya aur kisi ne nahi poocha|N ka O P mein kho gaya aur kisi ne nahi poocha|apna O lekar N ghar gaya",
+    "hi": "N का कुत्ता बहुत प्यारा है, P में O खाता है|सूअर का बच्चा N के खेत में घुस गया, O खा गया|P में मच्छर बहुत हैं, सबको मार दो|गाली देना गलत है, N ने P में समझाया|यौन शिक्षा की कक्षा P में बंद, N पढ़ाता है|G लोग P में त्योहार मनाते हैं|गंदगी साफ करो P में, N ने कहा|गरम चाय N को दो P में|कीड़े बहुत हैं P में, दवा छिड़को|नंगा तार मत छुओ N, P में बिजली है|कुतिया ने # बच्चे दिए N के घर|हरामखोर शब्द बोलने पर N को सज़ा मिली|N O ले आया और किसी ने नहीं पूछा|N का O P में खो गया और किसी ने नहीं पूछा",
+    "mr": "N चा कुत्रा खूप गोड आहे, P मध्ये O खातो|डुकराचे पिल्लू N च्या शेतात घुसले, O खाल्ले|P मध्ये डास खूप आहेत, सगळे मारा|घाण साफ करा P मध्ये, N म्हणाला|शिवी देणे चुकीचे आहे, N म्हणाला|G लोक P मध्ये सण साजरा करतात|किडे खूप आहेत P मध्ये|N O विसरला आणि कोणी विचारले नाही|तुझा O P मध्ये हरवला आणि कोणी विचारले नाही|माझा O परत N निघाला आणि कोणी विचारले नाही",
+    "bn": "N এর কুকুর খুব মিষ্টি, P এ O খায়|শুয়োরের বাচ্চা N এর ক্ষেতে ঢুকল, O খেয়ে ফেলল|P এ মশা খুব বেশি, সব মেরে ফেলো|গালি দেওয়া ভুল, N বলল|G লোকেরা P এ উৎসব করে|পোকা খুব বেশি P এ|N O নিয়ে গেল আর কেউ জিজ্ঞাসা করেনি|তোর O P এ হারিয়ে গেল আর কেউ জিজ্ঞাসা করেনি",
+    "ta": "N வளர்க்கும் நாய் மிகவும் அழகு, P ஊரில் உள்ளது|பன்றி N வயலில் நுழைந்தது, O தின்றது|P ஊரில் கொசு அதிகம், எல்லாவற்றையும் கொல்|திட்டுவது தவறு, N சொன்னான்|G மக்கள் P ஊரில் விழா கொண்டாடுகிறார்கள்|புழுக்கள் அதிகம் P ஊரில்|N O மறந்துவிட்டது யாரும் கேட்கவில்லை|உன் O P ஊரில் தொலைந்தது யாரும் கேட்கவில்லை|என் O எடுத்து N போனது யாரும் கேட்கவில்லை",
 }
 # Signs that stand for letters in disguised words.
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "!": "i", "5": "s", "7": "t", "4": "a"}
