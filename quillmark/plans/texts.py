@@ -96,11 +96,25 @@ def config_hash(t):
 SELECT result_id, levenshtein(r.ocr_text, m.ocr_text)::INTEGER AS distance, round(1 - levenshtein(r.ocr_text, m.ocr_text) / greatest(1, length(r.ocr_text), length(m.ocr_text))::DOUBLE, 6) AS similarity
 FROM inference_results r JOIN m USING (sample_index) WHERE r.ocr_text IS NOT NULL AND m.ocr_text IS NOT NULL AND regexp_full_match(r.ocr_text || m.ocr_text, '[ -~\\n]*')""")
 def levenshtein_sim(t):
-    """Edit similarity of the text a run read to the sample's text, where both are ASCII (the SQL engine counts bytes)."""
+    """levenshtein_sim_all where both texts are ASCII: the SQL engine counts bytes, so it can check these only."""
+    df = _read_and_reference(t).where(F.concat("ocr_text", "ref").rlike(r"^[ -~\n]*$"))
+    return _similarity(df)
+
+
+@query()
+def levenshtein_sim_all(t):
+    """Edit similarity of the text a run read to the sample's text, in code points and over all scripts; tested against brute force."""
+    return _similarity(_read_and_reference(t).where("ocr_text is not null and ref is not null"))
+
+
+def _read_and_reference(t):
     from ..operators.log import last_wins
 
     m = last_wins(t.sample_manifest.select("sample_index", F.col("ocr_text").alias("ref"), "ingested_at"), ["sample_index"], ["ingested_at"])
-    df = t.inference_results.select("result_id", "sample_index", "ocr_text").join(m, "sample_index").where(F.concat("ocr_text", "ref").rlike(r"^[ -~\n]*$"))
+    return t.inference_results.select("result_id", "sample_index", "ocr_text").join(m, "sample_index")
+
+
+def _similarity(df):
     d = F.levenshtein("ocr_text", "ref")
     return df.select("result_id", d.alias("distance"), F.round(1 - d / F.greatest(F.lit(1), F.length("ocr_text"), F.length("ref")), 6).alias("similarity"))
 
