@@ -1,4 +1,4 @@
-"""Duplicates: perceptual hashes by banded Hamming joins, fuzzy text by length and character bounds, quarantine sets."""
+"""Duplicates: perceptual hashes by banded Hamming joins, fuzzy text by complete bounds on lengths and characters, quarantine sets."""
 
 from __future__ import annotations
 
@@ -48,34 +48,117 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 3) -> DataFram
     return same.unionByName(other).withColumnsRenamed({"ka": "key_a", "kb": "key_b"})
 
 
-def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0.85, shortest: int = 15) -> DataFrame:
-    """(cand, ref, ratio) of normalised texts whose matching-blocks ratio is at least `least`.
+#: Counted kinds of characters, and the steps at which the counts of a text's beginnings are kept; texts of a block, at most about.
+KINDS, STEP, BLOCK = 64, 8, 16_000
 
-    candidates(cand, text), references(ref, text). ratio = 2M / (l1 + l2), M at most the characters both have; so lengths
-    are within a factor, and texts are joined on buckets of length and on a shared word. A pair of texts with at least
-    `least` of their characters in matching blocks shares a whole word unless every word is touched; words of references
-    therefore block, and the ratio itself is computed in batches on what is left.
+
+def _beginnings(text: str):
+    """Counts of the kinds of characters in the first 0, STEP, 2 STEP, ... characters and, last, in the whole text."""
+    import numpy as np
+
+    kind = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32)) >> np.uint64(26)
+    seen = np.zeros((len(text) + 1, KINDS), np.int32)
+    seen[np.arange(1, len(text) + 1), kind.astype(np.int64)] = 1
+    seen = seen.cumsum(0)
+    return seen, seen[[*range(0, len(text), STEP), len(text)]]
+
+
+def near_texts(texts: list[str], others: list[str], least: float):
+    """Yields (i, j) of all texts[i] and others[j] that can have a matching-blocks ratio of at least `least` (a superset).
+
+    Matching blocks are a common subsequence of M characters, so l1 + l2 - 2M <= (1 - least)(l1 + l2) characters are left
+    over. The counts of both texts differ in no more than these; nor do those of their parts together, for some cut of the
+    other text, when the first is halved or quartered. Cuts are tried on a grid, whose error is added to the bound.
+    """
+    import numpy as np
+
+    if not texts or not others:
+        return
+    back = np.array(sorted(range(len(others)), key=lambda j: len(others[j])))
+    m = np.array([len(others[j]) for j in back])
+    grids = [_beginnings(others[j])[1] for j in back]
+    start = np.cumsum([0, *[len(g) for g in grids]])[:-1]
+    last = np.array([len(g) - 1 for g in grids])
+    grid = np.concatenate(grids)
+    whole = grid[start + last]
+    apart = lambda x, y: np.abs(x - y).sum(-1)
+    for i, text in enumerate(texts):
+        n = len(text)
+        lo, hi = np.searchsorted(m, n * least / (2 - least) - 1e-6), np.searchsorted(m, n * (2 - least) / least + 1e-6, side="right")
+        if lo >= hi:
+            continue
+        seen, _ = _beginnings(text)
+        rest = (1 - least) * (n + m[lo:hi]) + 1e-6
+        rows = lo + np.flatnonzero(apart(whole[lo:hi], seen[-1]) <= rest)
+        for parts in (2, 4):
+            kept = []
+            for at in range(0, len(rows), 2000):
+                some = rows[at : at + 2000]
+                rest = (1 - least) * (n + m[some]) + 1e-6
+                steps = np.arange(int(rest.max() / STEP) + 3) if len(some) else None
+                cost, before = np.zeros((len(some), 1)), np.zeros((len(some), 1, KINDS), np.int32)
+                for p in range(1, parts + 1):
+                    cut, part = n * p // parts, seen[n * p // parts] - seen[n * (p - 1) // parts]
+                    if p < parts:
+                        # a cut moves by no more than the characters left over allow
+                        first = np.floor((cut + (m[some] - n - rest) / 2) / STEP).astype(np.int64)
+                        here = grid[start[some][:, None] + np.clip(first[:, None] + steps, 0, last[some][:, None])]
+                    else:
+                        here = whole[some][:, None]
+                    cost = np.stack([(cost + apart(here[:, [k]] - before, part)).min(1) for k in range(here.shape[1])], 1)
+                    before = here
+                kept.append(some[cost[:, 0] <= rest + (parts - 1) * STEP])
+            rows = np.concatenate(kept) if kept else rows
+        for j in rows.tolist():
+            yield i, int(back[j])
+
+
+def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0.85, shortest: int = 15, mutual: bool = False) -> DataFrame:
+    """(cand, ref, ratio) of all normalised texts whose matching-blocks ratio is at least `least`; both have `shortest` characters at least.
+
+    candidates(cand, text), references(ref, text); best distinct texts. ratio = 2M / (l1 + l2) with M at most the shorter
+    length, so texts meet by buckets of length, in blocks of bounded size; `near_texts` then drops only pairs that its
+    bounds exclude. Nothing is lost, and the work grows with the square of the texts of like length. With `mutual`, both
+    sides are the same texts: each pair is looked at once, and given in both orders (the ratio depends on it).
     """
     import math
 
-    factor = math.log((2 - least) / least)
-    bucket = lambda n: F.floor(F.log(n) / F.lit(factor))
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)))
-    c = candidates.where(F.length("text") >= shortest).withColumn("n", F.length("text")).withColumn("b", bucket(F.col("n"))).withColumn("w", word(F.col("text")))
-    r = references.where(F.length("text") >= shortest).withColumn("m", F.length("text")).withColumn("rb", bucket(F.col("m"))).withColumn("w", word(F.col("text")))
-    r = r.withColumn("b", F.explode(F.array(F.col("rb") - 1, F.col("rb"), F.col("rb") + 1)))
-    hits = c.select("cand", "n", "b", "w").join(r.select("ref", "m", "b", "w"), ["b", "w"]).where(2 * F.least("n", "m") >= F.lit(least) * (F.col("n") + F.col("m")))
-    pairs = hits.select("cand", "ref").distinct().join(candidates, "cand").join(references.withColumnRenamed("text", "ref_text"), "ref")
-
-    @F.pandas_udf("double")
-    def ratio(a, b):
+    factor = math.log((2 - least) / least) * (1 + 1e-9)
+    c = candidates.where(F.length("text") >= shortest).select("cand", "text", F.floor(F.log(F.length("text")) / F.lit(factor)).alias("b"))
+    r = references.where(F.length("text") >= shortest).select("ref", "text", F.floor(F.log(F.length("text")) / F.lit(factor)).alias("rb"))
+    nc, nr = (max(1, math.ceil(n / BLOCK)) for n in ((c.count(),) * 2 if mutual else (c.count(), r.count())))
+    block = lambda key, n: F.pmod(F.xxhash64(key, F.lit("block")), F.lit(n)).cast("int")
+    c = c.withColumn("i", block("cand", nc)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    r = r.withColumn("j", block("ref", nr)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    r = r.withColumn("b", F.explode(F.array(F.col("rb"), F.col("rb") + 1) if mutual else F.array(F.col("rb") - 1, F.col("rb"), F.col("rb") + 1)))
+    if mutual:
+        r = r.where("rb < b or j <= i")
+
+    # one table with both sides: keys as strings, so that long ones stay exact whatever is null
+    sides = c.select("b", "i", "j", F.lit(True).alias("left"), F.col("cand").cast("string").alias("id"), "text", F.col("b").alias("rb"))
+    sides = sides.unionByName(r.select("b", "i", "j", F.lit(False).alias("left"), F.col("ref").cast("string").alias("id"), "text", "rb"))
+
+    def meet(block):
         import difflib
 
         import pandas as pd
 
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    return pairs.withColumn("ratio", ratio("text", "ref_text")).where(F.col("ratio") >= least).select("cand", "ref", "ratio")
+        ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+        one, other = block[block.left], block[~block.left]
+        a, b, ka, kb, rb = one.text.tolist(), other.text.tolist(), one.id.tolist(), other.id.tolist(), other.rb.tolist()
+        # where a block meets itself each pair is there twice
+        itself = mutual and block.i.iloc[0] == block.j.iloc[0]
+        out = []
+        for x, y in near_texts(a, b, least):
+            if itself and rb[y] == block.b.iloc[0] and not ka[x] < kb[y]:
+                continue
+            out.append((ka[x], kb[y], ratio(a[x], b[y])))
+            if mutual:
+                out.append((kb[y], ka[x], ratio(b[y], a[x])))
+        return pd.DataFrame([o for o in out if o[2] >= least], columns=["cand", "ref", "ratio"])
+
+    found = sides.groupBy("b", "i", "j").applyInPandas(meet, "cand string, ref string, ratio double")
+    return found.select(F.col("cand").cast(candidates.schema["cand"].dataType), F.col("ref").cast(references.schema["ref"].dataType), "ratio")
 
 
 def first_hit(hits: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -82,18 +82,42 @@ def _readings(t):
     return t.inference_results.where("ocr_text is not null and meme_id like 'bench%'").select(text.alias("text")).distinct().withColumn("cand", F.xxhash64("text"))
 
 
+def _keyed(t):
+    """(field_name, key, cand, text) of all memes, samples and readings: normalised text, with its hash as cand."""
+    memes = t.corpus("ocr").select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), normalize(F.col("ocr")).alias("text"))
+    samples = _samples(t, "ocr_text").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), normalize(F.col("ocr_text")).alias("text"))
+    readings = _readings(t).select(F.lit("reading").alias("field_name"), F.col("cand").alias("key"), "text")
+    return memes.unionByName(samples).unionByName(readings).withColumn("cand", F.xxhash64("text"))
+
+
+def _distinct(df):
+    return df.select("cand", "text").dropDuplicates(["cand"])
+
+
+def same_and_near(keyed, least=0.85, shortest=15):
+    """(key_a, key_b, ratio), key_a < key_b, of all keyed(key, cand, text) whose texts are within `least`: distinct texts are compared, then their keys joined."""
+    rows = keyed.where(F.length("text") >= shortest).select("key", "cand")
+    a, b = rows.withColumnsRenamed({"key": "key_a"}), rows.withColumnsRenamed({"key": "key_b", "cand": "ref"})
+    texts = _distinct(keyed)
+    near = fuzzy_matches(texts, texts.withColumnRenamed("cand", "ref"), least, shortest, mutual=True)
+    same = a.join(b, F.col("cand") == F.col("ref")).withColumn("ratio", F.lit(1.0))
+    return same.unionByName(near.join(a, "cand").join(b, "ref").select("key_a", "cand", "key_b", "ref", "ratio")).where("key_a < key_b").select("key_a", "key_b", "ratio")
+
+
 @query()
 def fuzzy_dupes(t):
-    """Texts read in benchmark runs within 0.85 of a benchmark meme's text by matching blocks; no SQL has that measure."""
+    """Memes (ocr, row_id), samples (ocr_text, sample_index) and texts read in benchmark runs (reading, hash) within 0.85 of a benchmark meme's text by matching blocks; no SQL has that measure."""
     r = t.benchmark_memes.select(F.col("sample_index").alias("ref"), normalize(F.col("ocr_text")).alias("text"))
-    return fuzzy_matches(_readings(t), r)
+    keyed = _keyed(t)
+    return fuzzy_matches(_distinct(keyed), r).join(keyed.select("field_name", "key", "cand"), "cand").select("field_name", F.col("key").alias("cand"), "ref", "ratio")
 
 
 @query()
 def fuzzy_pairs(t):
-    """Pairs of different readings within 0.85 of each other by matching blocks."""
-    c = _readings(t)
-    return fuzzy_matches(c, c.withColumnRenamed("cand", "ref")).where("cand < ref")
+    """Pairs of samples (ocr_text, sample_index), and of different readings (reading, hash), within 0.85 of each other by matching blocks, in the order cand < ref."""
+    keyed = _keyed(t)
+    of = lambda name: same_and_near(keyed.where(F.col("field_name") == name)).select(F.lit(name).alias("field_name"), F.col("key_a").alias("cand"), F.col("key_b").alias("ref"), "ratio")
+    return of("ocr_text").unionByName(of("reading"))
 
 
 @query(f"""WITH {SAMPLES}, {CORPUS} SELECT s.sample_index, coalesce(md5(s.ocr_text) = md5(c.ocr), false) AS same_text, coalesce(s.image_filename = c.image_filename, false) AS same_file FROM s JOIN corpus c ON c.row_id = s.meme_row_id""")

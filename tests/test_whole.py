@@ -1,8 +1,14 @@
 """Queries that cover the whole of their input, on small tables against brute force."""
 
 import datetime
+import difflib
+import random
+import re
+
+import pytest
 
 from quillmark.catalog import QUERIES
+from quillmark.operators import dedup
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -28,3 +34,55 @@ def test_levenshtein_of_all_scripts(spark, tmp_path):
     want = {(n, (d := distance(r, texts[i])), round(1 - d / max(1, len(r), len(texts[i])), 6)) for n, i, r in read if r is not None and texts[i] is not None}
     assert {tuple(x) for x in QUERIES["levenshtein_sim_all"](spark, str(tmp_path)).collect()} == want
     assert len(want) > QUERIES["levenshtein_sim"](spark, str(tmp_path)).count() > 0
+
+
+def normal(text):
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", (text or "").lower())).strip()
+
+
+def near(a, b):
+    a, b = normal(a), normal(b)
+    return min(len(a), len(b)) >= 15 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.85
+
+
+def touched(rng, text):
+    """The text with about an eighth of its characters changed, so that often no word stays whole."""
+    out = list(text)
+    for k in range(3, len(out), 8):
+        if out[k] != " ":
+            out[k] = rng.choice("xyz")
+    return "".join(out)
+
+
+def near_corpus():
+    rng = random.Random(4)
+    words = "monday meeting mummy papa chai exam वाह क्या बात breaking office sharma ji ka beta".split()
+    texts = [" ".join(rng.choice(words) for _ in range(k)) for k in (3, 4, 6, 9, 14, 25, 40, 60) for _ in range(3)]
+    texts += [touched(rng, t) for t in texts] + [t[:-2] for t in texts] + [t + " more" for t in texts]
+    texts += ["abcdefgh ijklmnop qrstuvwx", "abcdxfgh ijkxmnop qrsxuvwx"]
+    return [t.strip() for t in texts] + [texts[0], texts[5], "short", "", None]
+
+
+@pytest.mark.parametrize("block", [16_000, 20])
+def test_fuzzy_pairs_and_dupes_equal_brute_force(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    texts = near_corpus()
+    keys = random.Random(5).sample(range(1000), len(texts))
+    save(spark, tmp_path, "sample_manifest", [(k, t, DAY) for k, t in zip(keys, texts)] + [(keys[0], "an older text that is replaced", DAY - datetime.timedelta(1))], "sample_index int, ocr_text string, ingested_at timestamp")
+    save(spark, tmp_path, "memes", [(k + 5000, t, DAY) for k, t in zip(keys, texts)], "row_id long, ocr string, ingested_at timestamp")
+    save(spark, tmp_path, "benchmark_memes", [(1, texts[9]), (2, texts[14]), (3, "abcdefgh ijklmnop qrstuvwx")], "sample_index int, ocr_text string")
+    save(spark, tmp_path, "inference_results", [("bench_001", texts[9] + " q"), ("bench_001", texts[9]), ("other", texts[14])], "meme_id string, ocr_text string")
+    rows = sorted((k, t or "") for k, t in zip(keys, texts))
+    want = {(k, m) for i, (k, a) in enumerate(rows) for m, b in rows[i + 1 :] if near(a, b)}
+    got = QUERIES["fuzzy_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.cand, r.ref) for r in got if r.field_name == "ocr_text") == sorted(want)
+    text = dict(rows)
+    assert all(r.ratio == difflib.SequenceMatcher(None, normal(text[r.cand]), normal(text[r.ref])).ratio() for r in got if r.field_name == "ocr_text")
+    assert (keys[texts.index("abcdefgh ijklmnop qrstuvwx")], keys[texts.index("abcdxfgh ijkxmnop qrsxuvwx")]) in want | {(b, a) for a, b in want}
+    assert len([r for r in got if r.field_name == "reading"]) == 1
+    refs = {1: texts[9], 2: texts[14], 3: "abcdefgh ijklmnop qrstuvwx"}
+    hits = {(k, n) for k, a in rows for n, b in refs.items() if near(a, b)}
+    dupes = QUERIES["fuzzy_dupes"](spark, str(tmp_path)).collect()
+    assert sorted((r.cand, r.ref) for r in dupes if r.field_name == "ocr_text") == sorted(hits) and hits
+    assert sorted((r.cand - 5000, r.ref) for r in dupes if r.field_name == "ocr") == sorted(hits)
+    assert len([r for r in dupes if r.field_name == "reading"]) == 2
