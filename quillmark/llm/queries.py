@@ -99,8 +99,10 @@ def p6_found(spark, sf_dir):
 
 
 def p7_forms(spark, sf_dir):
-    """The one consistent form of every meme's text."""
-    return lookalike.with_canonical(_memes(spark, sf_dir).select("row_id", "ocr"), "ocr").select("row_id", "canon")
+    """(field_name, key, canon): the one consistent form of every meme's text and of every text a run read."""
+    memes = _memes(spark, sf_dir).select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"))
+    results = table(spark, sf_dir, "inference_results").select(F.lit("ocr_text").alias("field_name"), F.col("result_id").alias("key"), F.col("ocr_text").alias("text"))
+    return lookalike.with_canonical(memes.unionByName(results), "text").select("field_name", "key", "canon")
 
 
 def p7_found(spark, sf_dir):
