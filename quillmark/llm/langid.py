@@ -121,13 +121,18 @@ class Model:
         first = int(like.sum(axis=0).argmax())
         # a mixture gains over one language at most what each line gains by its better one; others can't pay the penalty
         gain = np.maximum(0.0, like - like[:, [first]]).sum(axis=0)
-        fits = [first, *[j for j in np.argsort(-gain, kind="stable")[:3].tolist() if gain[j] > PENALTY and j != first]]
+        fits = [first, *[j for j in np.argsort(-gain, kind="stable").tolist() if gain[j] > PENALTY and j != first]]
         best = None
         for size in range(1, len(fits) + 1):
-            for some in itertools.combinations(fits, size):
-                pi, r, ll = self._em(like[:, some], n)
+            sets = list(itertools.combinations(fits, size))
+            # no mixture is likelier than each line's best language in the set: sets that can't win are not estimated
+            most = [float(like[:, some].max(axis=1).sum()) - PENALTY * size for some in sets]
+            for at in sorted(range(len(sets)), key=lambda at: -most[at]):
+                if best is not None and most[at] + 1e-6 <= best[0]:
+                    break
+                pi, r, ll = self._em(like[:, sets[at]], n)
                 if best is None or ll - PENALTY * size > best[0]:
-                    best = (ll - PENALTY * size, some, pi, r)
+                    best = (ll - PENALTY * size, sets[at], pi, r)
         _, some, pi, r = best
         top = np.sort(like, axis=1)
         out = []
