@@ -356,3 +356,44 @@ def near_pairs(records: DataFrame, near: float = NEAR) -> DataFrame:
     # links are between different docs and each is there once, so no pair comes twice
     linked = links.join(a, "a").join(b, ["b", "field_name"]).where("ka <> kb").select("field_name", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
     return same.unionByName(linked).withColumnsRenamed({"ka": "key_a", "kb": "key_b"})
+
+
+def components(edges: DataFrame, scope: str) -> DataFrame:
+    """edges(scope, u, v) -> (scope, u, root) of every node with an edge: root is the least node connected to it.
+
+    Large and small stars in turn, each round written; their number grows with the logarithm of the longest chain.
+    """
+    ends = lambda x, y: [F.col(scope), F.col(x).alias("u"), F.col(y).alias("v")]
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64(scope, "u", "v").cast("decimal(38,0)"))).first()
+    now = written(edges.select(scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    seen = state(now)
+    while True:
+        both = now.unionByName(now.select(*ends("v", "u")))
+        least = both.groupBy(scope, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = written(both.where("v > u").join(least, [scope, "u"]).select(*ends("v", "m")).distinct(), "edges")
+        least = large.groupBy(scope, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [scope, "u"]).where("v <> m").select(*ends("v", "m"))
+        now = written(small.unionByName(least.select(*ends("u", "m"))).distinct(), "edges")
+        last, seen = seen, state(now)
+        if last == seen:
+            return now.withColumnRenamed("v", "root").unionByName(now.select(scope, F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+
+
+def near_groups(records: DataFrame, near: float = NEAR) -> DataFrame:
+    """records(field_name, key, text, ingested_at) -> (field_name, key, group_id, n_links) of every key.
+
+    Texts of one field that are near, or joined by a chain of such texts, have one group_id, the least key among them.
+    n_links counts the other bags of words of the field that are near; texts under LEAST_WORDS words stand alone.
+    """
+    members, docs = documents_of(with_words(records, "text"), ["field_name", "key"])
+    members = written(members.select("field_name", "key", "doc"), "members")
+    first = members.groupBy("field_name", "doc").agg(F.min("key").alias("rep"))
+    links = near_links(docs, near)
+    edges = links.join(first.select("field_name", F.col("doc").alias("a"), F.col("rep").alias("u")), "a").join(first.select("field_name", F.col("doc").alias("b"), F.col("rep").alias("v")), ["field_name", "b"])
+    edges = written(edges.select("field_name", "u", "v"), "links")
+    degree = edges.select("field_name", F.col("u").alias("rep")).unionByName(edges.select("field_name", F.col("v").alias("rep"))).groupBy("field_name", "rep").agg(F.count("*").alias("n_links"))
+    root = components(edges, "field_name").withColumnRenamed("u", "rep")
+    of = first.join(degree, ["field_name", "rep"], "left").join(root, ["field_name", "rep"], "left")
+    rows = members.join(of, ["field_name", "doc"]).select("field_name", "key", F.coalesce("root", "rep").alias("group_id"), "n_links")
+    every = records.select("field_name", "key").dropna().distinct()
+    return every.join(rows, ["field_name", "key"], "left").select("field_name", "key", F.coalesce("group_id", "key").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

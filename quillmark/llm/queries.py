@@ -50,11 +50,8 @@ def _texts(spark, sf_dir):
 
 
 def p3_groups(spark, sf_dir):
-    """(doc, n_links, n_records) of every distinct bag of words, and how many others are near it."""
-    members, docs = neardup.documents_of(neardup.with_words(_texts(spark, sf_dir), "text"), ["field_name", "key"])
-    links = neardup.near_links(docs)
-    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
-    return members.groupBy("doc").agg(F.count("*").alias("n_records")).join(ends, "doc", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    """(field_name, key, group_id, n_links) of every record: its group of near-same texts of its field, and how many other bags of words of the field are near its own."""
+    return neardup.near_groups(_texts(spark, sf_dir))
 
 
 def p3_found(spark, sf_dir):

@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
-from quillmark.llm import langid, queries
+from quillmark.llm import langid, neardup, queries
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -59,3 +59,20 @@ def test_language_set_is_the_best_of_all():
         every = [c for k in range(1, len(fits) + 1) for c in itertools.combinations(fits, k)]
         want = max(every, key=lambda c: model._em(like[:, c], n)[2] - langid.PENALTY * len(c))
         assert set(model.infer([(i, x, 4) for i, x in enumerate(like)])[0]) == set(want)
+
+
+def test_components_of_long_chains(spark):
+    rows = [("f", i, i + 1) for i in range(1, 60)] + [("f", 100, 102), ("f", 102, 101), ("g", 59, 101)]
+    got = {(r.s, r.u): r.root for r in neardup.components(spark.createDataFrame(rows, "s string, u long, v long"), "s").collect()}
+    assert got == {("f", i): 1 for i in range(1, 61)} | {("f", i): 100 for i in (100, 101, 102)} | {("g", 59): 59, ("g", 101): 59}
+
+
+def test_every_record_has_a_group(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    chain = [" ".join(words[k : k + 12]) for k in range(0, 20, 2)]  # neighbours are near, ends are not
+    memes = [(i + 10, t, DAY) for i, t in enumerate(chain)] + [(1, "short text", DAY), (2, None, DAY), (3, chain[9], DAY), (3, "short text", DAY - datetime.timedelta(1))]
+    save(spark, tmp_path, "memes", memes, "row_id long, ocr string, ingested_at timestamp")
+    save(spark, tmp_path, "sample_manifest", [(5, chain[0], DAY), (6, chain[2], DAY), (7, chain[0], DAY)], "sample_index int, ocr_text string, ingested_at timestamp")
+    got = {(r.field_name, r.key): (r.group_id, r.n_links) for r in queries.p3_groups(spark, str(tmp_path)).collect()}
+    want = {("ocr", i + 10): (3, 1 if i in (0, 9) else 2) for i in range(10)} | {("ocr", 1): (1, 0), ("ocr", 2): (2, 0), ("ocr", 3): (3, 1)}
+    assert got == want | {("ocr_text", 5): (5, 0), ("ocr_text", 6): (6, 0), ("ocr_text", 7): (5, 0)}
