@@ -120,6 +120,28 @@ def fuzzy_pairs(t):
     return of("ocr_text").unionByName(of("reading"))
 
 
+def _all_collisions(t):
+    """_collisions and test 2, similar text: SQL has no such measure, so the queries it checks have the first two only."""
+    s = _samples(t, "ocr_text").select(F.col("sample_index").alias("key"), normalize(F.col("ocr_text")).alias("text")).withColumn("cand", F.xxhash64("text"))
+    q, c = s.where("key % 50 = 0").withColumnsRenamed({"key": "ref_key", "cand": "ref"}), s.where("key % 50 <> 0")
+    texts = q.select("ref", "text").dropDuplicates(["ref"])
+    hits = fuzzy_matches(_distinct(c), texts).join(c.select("key", "cand"), "cand").join(q.select("ref_key", "ref"), "ref")
+    return _collisions(t).unionByName(hits.select(F.col("key").alias("cand"), F.col("ref_key").alias("ref"), F.lit(2).alias("test")))
+
+
+@query()
+def quarantine_first_hits(t):
+    """quarantine_collisions with all three tests: file, perceptual, similar text."""
+    return first_hit(_all_collisions(t), "cand", ["ref", "test"]).select("cand", "ref", "test")
+
+
+@query()
+def exclusion_reasons(t):
+    """exclusion_summary with all three tests."""
+    reason = F.when(F.col("test") == 0, "file").when(F.col("test") == 1, "perceptual").otherwise("text").alias("reason")
+    return quarantine_first_hits(t).groupBy(reason).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {SAMPLES}, {CORPUS} SELECT s.sample_index, coalesce(md5(s.ocr_text) = md5(c.ocr), false) AS same_text, coalesce(s.image_filename = c.image_filename, false) AS same_file FROM s JOIN corpus c ON c.row_id = s.meme_row_id""")
 def parity_check(t):
     """Whether each sample still equals the meme it was drawn from."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import order_key, ranked
-from .dedup import SAMPLES, _samples
+from .dedup import SAMPLES, _samples, fuzzy_dupes, fuzzy_pairs, hamming_pairs, quarantine_first_hits
 from .registry import CORPUS, query
 
 
@@ -112,6 +112,40 @@ def manifest_violations(t):
     return s.select("sample_index", F.explode(F.array_compact(F.array(*[F.when(F.expr(w), F.lit(n)) for n, w in _RULES]))).alias("rule")).select("rule", "sample_index")
 
 
+@query()
+def manifest_errors(t):
+    """(rule, manifest_id, sample_index, other): manifest_violations and the rules over several samples, which have no SQL.
+
+    Repeated ids, files and paths within a manifest (the first sample is `other`), quarantined files, texts and samples
+    (`other` is the benchmark's or the quarantined sample's index), pairs within a manifest that look or read alike, and
+    manifests whose classes are not half and half (sample_index null).
+    """
+    s = _samples(t, "manifest_id", "sample_id", "image_filename", "relative_image_path", "ground_truth")
+    of = s.select("sample_index", "manifest_id")
+    rows = lambda df, rule, other: df.select(F.lit(rule).alias("rule"), "manifest_id", "sample_index", other.cast("long").alias("other"))
+    out = [manifest_violations(t).join(of, "sample_index").select("rule", "manifest_id", "sample_index", F.lit(None).cast("long").alias("other"))]
+    for rule, column in (("repeated_id", "sample_id"), ("repeated_file", "image_filename"), ("repeated_path", "relative_image_path")):
+        known = s.dropna(subset=["manifest_id", column])
+        first = known.groupBy("manifest_id", column).agg(F.min("sample_index").alias("first"), F.count("*").alias("n")).where("n > 1")
+        out.append(rows(known.join(first, ["manifest_id", column]).where("sample_index > first"), rule, F.col("first")))
+    b = t.benchmark_memes.select("image_filename", F.col("sample_index").alias("ref")).dropna().dropDuplicates(["image_filename"]).limit(10_000)
+    out.append(rows(s.join(F.broadcast(b), "image_filename"), "quarantined_file", F.col("ref")))
+    texts = fuzzy_dupes(t).where("field_name = 'ocr_text'").select(F.col("cand").alias("sample_index"), "ref").join(of, "sample_index")
+    out.append(rows(texts, "quarantined_text", F.col("ref")))
+    out.append(rows(quarantine_first_hits(t).withColumnRenamed("cand", "sample_index").join(of, "sample_index"), "quarantined_sample", F.col("ref")))
+    looks = hamming_pairs(t).select("key_a", "key_b")
+    reads = fuzzy_pairs(t).where("field_name = 'ocr_text'").select(F.col("cand").alias("key_a"), F.col("ref").alias("key_b"))
+    for rule, pairs in (("looks_alike", looks), ("reads_alike", reads)):
+        a, c = of.withColumnRenamed("sample_index", "key_a"), of.withColumnRenamed("sample_index", "key_b")
+        out.append(rows(pairs.join(a, "key_a").join(c, ["manifest_id", "key_b"]).withColumnRenamed("key_a", "sample_index"), rule, F.col("key_b")))
+    half = s.dropna(subset=["manifest_id"]).groupBy("manifest_id").agg(F.count_if(F.col("ground_truth") == 1).alias("x"), F.count_if(F.col("ground_truth") == 0).alias("y")).where("x <> y")
+    out.append(rows(half.withColumn("sample_index", F.lit(None).cast("int")), "not_half_and_half", F.lit(None)))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more.withColumn("sample_index", F.col("sample_index").cast("int")))
+    return whole
+
+
 @query(f"""WITH {SAMPLES}, c AS (SELECT manifest_id, stratum_id, count(*) AS n FROM s WHERE manifest_id IS NOT NULL AND stratum_id IS NOT NULL GROUP BY ALL), q AS (SELECT manifest_id, stratum_id, sum(min_count)::BIGINT AS quota FROM draw_targets GROUP BY ALL)
 SELECT coalesce(c.manifest_id, q.manifest_id) AS manifest_id, coalesce(c.stratum_id, q.stratum_id) AS stratum_id, coalesce(n, 0) AS n, coalesce(quota, 0) AS quota, coalesce(n, 0) >= coalesce(quota, 0) AS ok FROM c FULL JOIN q ON c.manifest_id = q.manifest_id AND c.stratum_id = q.stratum_id""")
 def quota_check(t):

@@ -86,3 +86,23 @@ def test_fuzzy_pairs_and_dupes_equal_brute_force(spark, tmp_path, monkeypatch, b
     assert sorted((r.cand, r.ref) for r in dupes if r.field_name == "ocr_text") == sorted(hits) and hits
     assert sorted((r.cand - 5000, r.ref) for r in dupes if r.field_name == "ocr") == sorted(hits)
     assert len([r for r in dupes if r.field_name == "reading"]) == 2
+
+
+def test_quarantine_and_manifest_rules_over_several_samples(spark, tmp_path):
+    text = "the landlord wants the rent again on monday"
+    one, two = "01" * 32, "0011" * 16
+    rows = [
+        (50, "m", "a", "f1", "p1", 1, text, "x", "1" * 64), (51, "m", "b", "f2", "p2", 1, text + "s", "y", one), (52, "m", "c", "f3", "p3", 0, "nothing like the others here", "x", two),
+        (53, "m", "c", "f3", "p3", 0, "कुछ और ही बात यहाँ लिखी है", "z", one[:-1] + "0"), (54, "n", "c", "bench.png", "p3", 1, "the very bench text of a meme!", "w", "0" * 64),
+    ]
+    save(spark, tmp_path, "sample_manifest", [(*r, "H1", "humorous" if r[5] else "not", DAY) for r in rows], "sample_index int, manifest_id string, sample_id string, image_filename string, relative_image_path string, ground_truth int, ocr_text string, file_md5 string, ahash_bitstring string, stratum_id string, class_name string, ingested_at timestamp")
+    save(spark, tmp_path, "memes", [(1, None, DAY)], "row_id long, ocr string, ingested_at timestamp")
+    save(spark, tmp_path, "benchmark_memes", [(3, "bench.png", "the very bench text of a meme")], "sample_index int, image_filename string, ocr_text string")
+    save(spark, tmp_path, "inference_results", [("other", None)], "meme_id string, ocr_text string")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("quarantine_first_hits")} == {(51, 50, 2), (52, 50, 0)}
+    assert {tuple(r) for r in run("exclusion_reasons")} == {("text", 1), ("file", 1)}
+    assert sorted(map(str, (tuple(r) for r in run("manifest_errors")))) == sorted(map(str, [
+        ("repeated_id", "m", 53, 52), ("repeated_file", "m", 53, 52), ("repeated_path", "m", 53, 52), ("quarantined_file", "n", 54, 3), ("quarantined_text", "n", 54, 3),
+        ("quarantined_sample", "m", 51, 50), ("quarantined_sample", "m", 52, 50), ("looks_alike", "m", 51, 53), ("reads_alike", "m", 50, 51), ("not_half_and_half", "n", None, None),
+    ]))
