@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where that setting is absent."""
+    """The folder all executors share, named by spark.checkpoint.dir.
+
+    Where it is unset, a session with a local master (as in tests) gets a temporary folder; any other is refused, since
+    its executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -56,5 +62,8 @@ def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int = 8) -> DataFrame:
-    """Spread few large partitions over the cluster's cores before work in Python; one shuffle of df's bytes."""
-    return df.repartition(max(least, df.sparkSession.sparkContext.defaultParallelism * 2))
+    """df, a plain scan, spread over the cluster's cores before work in Python if it has fewer partitions than those; a wide scan stays as it is, so large tables are not shuffled."""
+    cores = max(least, df.sparkSession.sparkContext.defaultParallelism)
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)

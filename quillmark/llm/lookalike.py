@@ -110,6 +110,26 @@ def unsafe_pattern() -> str:
     return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + f"]|[{seconds}](?<={'|'.join(pairs)})"
 
 
+class _Forms(dict):
+    """mapping() with every code point met so far: texts are translated without failed look-ups."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c
+        return c
+
+
+@functools.cache
+def _forms() -> _Forms:
+    return _Forms(mapping())
+
+
+def form_of(text: str | None) -> str | None:
+    """The form that with_canonical gives, of one text: for operators that read their texts in Python anyway, so that no text is shuffled for it."""
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFC", text.translate(_forms()))
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Both mapping tables; their size is bounded by Unicode's code points (some 25,000 short rows)."""
     import pandas as pd

@@ -7,8 +7,9 @@ distance d has, for any thresholds t_i >= -1 with sum(t_i + 1) = d + 1, a partit
 Each text, as the longer of a pair, allocates its thresholds (-1: not probed, 0: equal, 1: one word more or less) by
 dynamic programming on estimated candidate counts, so no pair is lost. Candidates are verified on their whole word sets.
 
-Signatures met by one text only cannot make a candidate; a first pass marks signatures in a bitmap of fixed size, and
-only marked ones are shuffled. The bitmap never removes a signature that two texts share.
+Signatures met by one text only cannot make a candidate; a first pass marks signatures in bitmaps, and only marked ones
+are shuffled. The bitmaps never remove a signature that two texts share. Keys that very many texts have are found on a
+part of the texts and split over several tasks.
 """
 
 from __future__ import annotations
@@ -21,14 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import newest, written
-from .lookalike import with_canonical
+from .lookalike import form_of
 
 NEAR, LEAST_WORDS = 0.82, 8
-#: Bits of each of the four bitmaps of signatures (16 MB each at 27) and buckets of the histogram of words: both fixed, whatever the data.
-BITMAP_BITS, HISTOGRAM = 27, 1 << 18
+#: Bits of each of the four bitmaps of signatures: so many for each word of all texts, as a power of two within these bounds (32 MB each at most; fuller bitmaps keep more signatures and lose none).
+BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 20, 28
+#: Buckets of the histogram of words.
+HISTOGRAM = 1 << 18
+#: Cells of the tables of costs that texts are allocated with at a time.
+CELLS = 1 << 22
+#: Index signatures of one key that a task gets on average; one text of so many is counted to find keys with more; such keys that are split at most.
+HOT, COUNTED, SPLIT = 1 << 16, 64, 10_000
 #: Texts, at most, from which the correlation of frequent words is estimated, and the words looked at.
 SAMPLE, FREQUENT = 4096, 256
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: Bits of a hashed word: enough that no two words of two texts meet by chance, and fewer bytes to shuffle than 64 bits.
 TOKEN = (1 << 40) - 1
 #: Bits of the keys of signatures; keys that meet by chance only make a candidate more.
@@ -43,15 +50,58 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     return a ^ (a >> np.uint64(29))
 
 
-def words(text):
-    """Lower-cased runs of letters, combining marks and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+class Words:
+    """Hashed words of batches of texts; one per Python task."""
+
+    def __init__(self):
+        import regex
+        import xxhash
+
+        self.find = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+        self.known: dict[str, int] = {}
+        self.hash, self.whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
+
+    def __call__(self, texts: list[str | None]):
+        """(sizes, sorted hashed words of all texts together, hash of each bag of words); size 0 for null texts and those under LEAST_WORDS words, which have no partner."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        known, flat, sizes = self.known, [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t and len(ws := self.find(form_of(t).lower())) >= LEAST_WORDS:
+                sizes[i] = len(ws)
+                flat += ws
+        for w in set(flat) - known.keys():
+            known[w] = self.hash(w) & TOKEN
+        tok = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        tok = tok[np.lexsort((tok, np.repeat(np.arange(len(texts)), sizes)))]
+        ends = np.cumsum(sizes)
+        raw = memoryview(tok).cast("B") if len(tok) else b""
+        bags = [self.whole(raw[8 * (e - n) : 8 * e]) if n else None for n, e in zip(sizes.tolist(), ends.tolist())]
+        return sizes, tok, bags
 
 
 def with_words(records: DataFrame, text: str) -> DataFrame:
-    """records with `words` of the text as a reader sees it in place of the text; null for null texts and for those under LEAST_WORDS words, which have no partner."""
-    df = with_canonical(records, text).withColumn("words", words(F.col("canon")))
-    return df.withColumn("words", F.when(F.size("words") >= LEAST_WORDS, F.col("words"))).drop("canon", text)
+    """records with `tokens` (sorted hashes of the words of the text as a reader sees it) and `hash` (of the whole bag) in place of the text.
+
+    Words are lower-cased runs of letters, combining marks and digits. Null for null texts and for those under LEAST_WORDS words, which have no partner.
+    """
+    import pyarrow as pa
+
+    rest = [c for c in records.columns if c not in (text, "tokens", "hash")]
+
+    def run(it):
+        words = Words()
+        for b in it:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                sizes, tok, bags = words(part.column(len(rest)).to_pylist())
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32(), mask=np.r_[sizes == 0, False])
+                tokens = pa.ListArray.from_arrays(offsets, pa.array(tok))
+                hashes = pa.array([h if h is None else h - (1 << 64) if h >> 63 else h for h in bags], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), hashes, tokens], names=[*rest, "hash", "tokens"])
+
+    kinds = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in rest)
+    return records.select(*rest, text).mapInArrow(run, f"{kinds}, hash long, tokens array<long>")
 
 
 def _sizes(near: float) -> list[int]:
@@ -145,24 +195,49 @@ class Scheme:
         if not len(at):
             return out
         need = most[at] + 1
-        top = int(need.max())
-        best = np.full((len(at), top + 1), np.inf)
+        step = max(1, CELLS // (m * (int(need.max()) + 1)))
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            out[some] = self._cheapest(zero[some], one[some], need[lo : lo + step])
+        return out
+
+    def _cheapest(self, zero: np.ndarray, one: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The dynamic program over the partitions of some texts.
+
+        Its costs are kept at every root(m)-th partition only and the choices between them are found again on the way back, so even a text of 100,000 words needs a few MB.
+        """
+        n, m = zero.shape
+        top, block = int(need.max()), math.isqrt(m) + 1
+        out = np.full((n, m), -1, np.int8)
+
+        def run(best, lo, hi, choice=None):
+            for i in range(lo, hi):
+                new = best.copy()
+                for t, cost in ((0, zero), (1, one)):
+                    if top >= t + 1:
+                        via = best[:, : top - t] + cost[:, i][:, None]
+                        better = via < new[:, t + 1 :]
+                        new[:, t + 1 :][better] = via[better]
+                        if choice is not None:
+                            choice[i - lo][:, t + 1 :][better] = t
+                best = new
+            return best
+
+        best = np.full((n, top + 1), np.inf)
         best[:, 0] = 0
-        choice = np.full((m, len(at), top + 1), -1, np.int8)
-        for i in range(m):
-            new = best.copy()
-            for t, cost in ((0, zero), (1, one)):
-                if top >= t + 1:
-                    via = best[:, : top - t] + cost[at, i][:, None]
-                    better = via < new[:, t + 1 :]
-                    new[:, t + 1 :][better] = via[better]
-                    choice[i][:, t + 1 :][better] = t
-            best = new
-        left, rows = need.copy(), np.arange(len(at))
-        for i in range(m - 1, -1, -1):
-            t = choice[i][rows, left]
-            out[at, i] = t
-            left = left - (t.astype(np.int64) + 1)
+        kept = []
+        for lo in range(0, m, block):
+            kept.append((lo, best))
+            best = run(best, lo, min(m, lo + block))
+        left, rows = need.copy(), np.arange(n)
+        for lo, best in reversed(kept):
+            hi = min(m, lo + block)
+            choice = np.full((hi - lo, n, top + 1), -1, np.int8)
+            run(best, lo, hi, choice)
+            for i in range(hi - 1, lo - 1, -1):
+                t = choice[i - lo][rows, left]
+                out[:, i] = t
+                left = left - (t.astype(np.int64) + 1)
         return out
 
 
@@ -214,10 +289,41 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
     picked = docs.select("tokens", F.xxhash64("doc").alias("h")).orderBy("h").limit(SAMPLE).collect()
     scheme = Scheme(near, counts, n_docs, _correlated([np.array(r.tokens, np.int64).view(np.uint64) for r in picked]))
     sent = spark.sparkContext.broadcast(scheme)
-    bits = 1 << BITMAP_BITS
+    log2 = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, BITS_A_WORD * int(counts.sum()))))))
+    bits = 1 << log2
 
     def spots(keys):
-        return (_mix(keys, 17) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+        return (_mix(keys, 17) >> np.uint64(64 - log2)).astype(np.int64)
+
+    def short(keys):
+        return (keys >> np.uint64(64 - KEY_BITS)).view(np.int64)
+
+    def hot(it):
+        for ids, off, tok in _batches(it):
+            some = [short(k) for role, k, _, _ in sent.value.signatures(ids, off, tok) if role == 0]
+            if some:
+                key, n = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    heavy = docs.where(F.pmod(F.xxhash64("doc"), F.lit(COUNTED)) == 0).mapInArrow(hot, "key long, n long").groupBy("key").agg((F.sum("n") * F.lit(COUNTED)).alias("n"))
+    heavy = heavy.where(F.col("n") > HOT).orderBy(F.desc("n")).limit(SPLIT).toArrow().sort_by("key")
+    # (keys, tasks of each): how a hot key is split changes no result, only where its rows meet
+    split = spark.sparkContext.broadcast((heavy.column("key").to_numpy(), -(-heavy.column("n").to_numpy() // HOT)))
+
+    def salted(keys, role, ids):
+        """(keys, places): index rows of a hot key go to one of its parts, probes to each of them."""
+        hot_keys, parts = split.value
+        at = np.arange(len(keys))
+        if not len(hot_keys):
+            return keys, at
+        spot = np.searchsorted(hot_keys, keys).clip(0, len(hot_keys) - 1)
+        n = np.where(hot_keys[spot] == keys, parts[spot], 1)
+        if role == 0:
+            salt = _mix(ids.astype(np.uint64), 29) % n.astype(np.uint64)
+        else:
+            at = np.repeat(at, n)
+            salt = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        return np.where(n[at] > 1, (_mix(keys[at].astype(np.uint64) + salt, 31) >> np.uint64(64 - KEY_BITS)).view(np.int64), keys[at]), at
 
     def put(bitmap, at):
         np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -253,7 +359,7 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
             once |= o
         return pd.DataFrame({"chunk": pdf.chunk[:1], "once": [z.compress(once.tobytes())], "more": [z.compress(more.tobytes())]})
 
-    # 4 bitmaps of fixed size, compressed
+    # 4 bitmaps of bounded size, compressed
     marks = docs.mapInArrow(mark, "chunk int, once binary, more binary").groupBy("chunk").applyInPandas(merge, "chunk int, once binary, more binary").collect()
     shared = spark.sparkContext.broadcast({r.chunk: (bytes(r.once), bytes(r.more)) for r in marks})
 
@@ -271,8 +377,9 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
                 at = spots(k)
                 keep = np.where(own, has(seen[1 - role, 1], at), has(seen[1 - role, 0], at))
                 if keep.any():
-                    i = i[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array((k[keep] >> np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(np.full(len(i), role, np.int8)), pa.array(ids[i].astype(np.int64)), pa.array(scheme.sizes[i].astype(np.int32)), pa.array(scheme.sketch[i].view(np.int64))], names=["key", "role", "doc", "n", "sketch"])
+                    key, at = salted(short(k[keep]), role, ids[i[keep]])
+                    i = i[keep][at]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(i), role, np.int8)), pa.array(ids[i].astype(np.int64)), pa.array(scheme.sizes[i].astype(np.int32)), pa.array(scheme.sketch[i].view(np.int64))], names=["key", "role", "doc", "n", "sketch"])
 
     def meet(it):
         """Pairs of probes and index signatures of one key whose sizes and sketches allow it; rows come sorted by key, probes first."""
@@ -331,17 +438,15 @@ def numbered(tokens: str):
 
 
 def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """records(keys..., ingested_at, words, ...) -> (newest row of each key with doc, distinct documents (doc, tokens)).
+    """records(keys..., ingested_at, hash, tokens, ...) -> (newest row of each key with doc, distinct documents (doc, tokens)).
 
-    Records with the same bag of words share a doc; those without words are left out. Only hashes are shuffled by key.
+    Records with the same bag of words share a doc; those without words are left out.
     """
-    bag = F.array_join(F.array_sort("words"), " ")
-    records = written(records.withColumn("bag", bag).withColumn("hash", F.when(F.col("bag").isNotNull(), F.xxhash64("bag"))).drop("words"), "records")
-    docs = records.where("hash is not null").select("hash", "bag").distinct()
+    records = written(records, "records")
+    docs = records.where("hash is not null").select("hash", "tokens").distinct()
     # numbers given once and written are stable; they are small, which keeps what is shuffled small
-    docs = docs.select(F.monotonically_increasing_id().alias("doc"), "hash", F.array_sort(F.transform(F.split("bag", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(TOKEN)))).alias("tokens"))
-    docs = written(docs, "documents")
-    members = newest(records.drop("bag"), keys).join(docs.select("doc", "hash"), "hash").drop("hash")
+    docs = written(docs.select(F.monotonically_increasing_id().alias("doc"), "hash", "tokens"), "documents")
+    members = newest(records.drop("tokens"), keys).join(docs.select("doc", "hash"), "hash").drop("hash")
     return members, docs.drop("hash")
 
 
