@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .base import share
 from .linear import Ftrl, bucket, score
-from .lookalike import with_canonical
+from .lookalike import form_of
 
 #: Bound of the sample of lines labelled inoffensive; fillings of each phrase; score from which a text counts as abusive.
 SAMPLE_LINES, FILLS, THRESHOLD, SEED = 20_000, 60, 0.5, 42
@@ -171,32 +171,30 @@ def train(clean_lines: list[str]) -> dict[int, float]:
 
 def fit(memes: DataFrame) -> dict[int, float]:
     """Train on at most SAMPLE_LINES lines of texts labelled not offensive, picked by a hash; their noise is tolerated."""
-    texts = with_canonical(memes.where("offensive = 'not_offensive' and ocr is not null").select("ocr"), "ocr")
-    picked = texts.select(F.explode(F.split("canon", "\n")).alias("line")).where("length(line) > 12").distinct()
+    picked = memes.where("offensive = 'not_offensive' and ocr is not null").select(F.explode(F.split("ocr", "\n")).alias("line")).where("length(line) > 12").distinct()
     picked = picked.orderBy(F.xxhash64(F.lit(SEED), "line"), "line").limit(SAMPLE_LINES)
-    return train([r.line for r in picked.collect()])
+    return train([form_of(r.line) for r in picked.collect()])
 
 
-def scores(df: DataFrame, key: str, text: str, weights: dict[int, float]) -> DataFrame:
-    """(key, score) of every row: the score of its worst line; null and blank texts score 0.0."""
+def scores(df: DataFrame, text: str, weights: dict[int, float]) -> DataFrame:
+    """df with `score` in place of the text: the score of its worst line; null and blank texts score 0.0."""
     import pyarrow as pa
 
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(weights)
-    kind = df.schema[key].dataType.simpleString()
+    sent = df.sparkSession.sparkContext.broadcast(weights)
+    rest = [c for c in df.columns if c not in (text, "score")]
 
     def run(it):
         w = sent.value
         for b in it:
-            out = [max((score(w, features(ws)) for line in (t or "").split("\n") if (ws := words_of(line))), default=0.0) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[key, "score"])
+            out = [max((score(w, features(ws)) for line in (form_of(t) or "").split("\n") if (ws := words_of(line))), default=0.0) for t in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(out, pa.float64())], names=[*rest, "score"])
 
-    return with_canonical(df.select(key, text), text).select(key, "canon").mapInArrow(run, f"`{key}` {kind}, score double")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest)
+    return df.select(*rest, text).mapInArrow(run, f"{kinds}score double")
 
 
-def rates(scored: DataFrame, sources: DataFrame, key: str, source: str) -> DataFrame:
+def rates(scored: DataFrame, source: str) -> DataFrame:
     """(source_key, n_texts, n_abusive, rate) per source, however spelled; texts without a source are the source ''."""
     name = F.coalesce(F.regexp_replace(F.lower(F.trim(source)), r"[\s\-]+", "_"), F.lit(""))
-    df = scored.join(sources.select(key, name.alias("source_key")), key)
     n, bad = F.count("*"), F.count_if(F.col("score") >= THRESHOLD)
-    return df.groupBy("source_key").agg(n.alias("n_texts"), bad.alias("n_abusive"), share(bad, n).alias("rate"))
+    return scored.groupBy(name.alias("source_key")).agg(n.alias("n_texts"), bad.alias("n_abusive"), share(bad, n).alias("rate"))

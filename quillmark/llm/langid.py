@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import spread
-from .lookalike import with_canonical
+from .lookalike import form_of
 
 LANGS = ("en", "hi", "hi-Latn", "mr", "bn", "ta", "ur", "zh")
 #: Buckets of hashed n-grams; counts under which a word is judged by its letters only; cost of each further language in nats.
 BUCKETS, KNOWN, PENALTY = 1 << 17, 8, 6.0
+#: Gain of log-likelihood in a step under which expectation-maximisation ends.
+TOLERANCE = 1e-3
 #: Share of the words that a language needs in lines of its own to count in a text of several languages.
 QUARTER = 0.25
 #: Evidence (nats) that a word may give for or against a language at most, so that single loan words don't decide.
@@ -148,14 +150,16 @@ class Model:
         pi = np.full(k, 1.0 / k)
         if k == 1:
             return pi, np.ones_like(like), float(like.sum())
-        for _ in range(12):
+        last = -np.inf
+        while True:
             a = like + np.log(pi + 1e-9)
             m = a.max(axis=1, keepdims=True)
             e = np.exp(a - m)
             r = e / e.sum(axis=1, keepdims=True)
-            pi = (r * n[:, None]).sum(axis=0) / n.sum()
-        ll = float((m[:, 0] + np.log(e.sum(axis=1))).sum())
-        return pi, r, ll
+            ll = float((m[:, 0] + np.log(e.sum(axis=1))).sum())
+            if ll - last < TOLERANCE:
+                return pi, r, ll
+            last, pi = ll, (r * n[:, None]).sum(axis=0) / n.sum()
 
 
 def counts_of(labelled: DataFrame) -> np.ndarray:
@@ -191,8 +195,8 @@ def labelled_texts(documents: DataFrame, memes: DataFrame) -> DataFrame:
     return docs.unionByName(memes.select(code_of(F.col("ocr_lang")).alias("lang"), F.col("ocr").alias("text"))).where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull())
 
 
-def languages(df: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """(key, lang_code, confidence, segments array<struct<line int, lang string, confidence double, words int>>) of every row.
+def languages(df: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
+    """df with (lang_code, confidence, segments array<struct<line int, lang string, confidence double, words int>>) in place of the text.
 
     lang_code is `mul` where two languages each hold at least QUARTER of the words in lines of their own; null (with
     confidence 0.0 and no segments) for null and blank texts and those without letters.
@@ -200,7 +204,8 @@ def languages(df: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFra
     import pyarrow as pa
 
     sent = df.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
-    kind = df.schema[key].dataType.simpleString()
+    made = ["lang_code", "confidence", "segments"]
+    rest = [c for c in df.columns if c not in (text, *made)]
     item = pa.struct([("line", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())])
 
     def one(model: Model, lines):
@@ -229,15 +234,21 @@ def languages(df: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFra
     def run(it):
         model = Model(sent.value.astype(np.float64))
         for b in it:
-            texts = b.column(1).to_pylist()
-            rows = [one(model, x) for at in range(0, len(texts), 2000) for x in model.lines(texts[at : at + 2000])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(item))], names=[key, "lang_code", "confidence", "segments"])
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                rows = [one(model, x) for x in model.lines([form_of(t) for t in part.column(len(rest)).to_pylist()])]
+                found = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(item))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *found], names=[*rest, *made])
 
-    return with_canonical(df.select(key, text), text).select(key, "canon").mapInArrow(run, f"`{key}` {kind}, lang_code string, confidence double, segments array<struct<line int, lang string, confidence double, words int>>")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest)
+    return df.select(*rest, text).mapInArrow(run, f"{kinds}lang_code string, confidence double, segments array<struct<line int, lang string, confidence double, words int>>")
 
 
-def wrong_labels(df: DataFrame, found: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, lang_code) of texts with at least five blank-separated pieces whose label is missing, unknown or another code."""
-    pieces = F.size(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), 0)) >= 5
-    rows = df.where(pieces).select(key, code_of(F.col(label)).alias("__code"))
-    return rows.join(found.select(key, "lang_code"), key).where(F.col("lang_code").isNotNull() & (F.col("__code") != F.col("lang_code"))).select(key, "lang_code")
+def enough_pieces(text: str):
+    """Whether a text has at least five blank-separated pieces."""
+    return F.coalesce(F.col(text).rlike(r"\S+(?:\s+\S+){4}"), F.lit(False))
+
+
+def is_wrong(label: str):
+    """Whether a label is missing, unknown or another code than the lang_code found."""
+    return F.col("lang_code").isNotNull() & (code_of(F.col(label)) != F.col("lang_code"))

@@ -9,8 +9,9 @@ from . import abuse, draw, langid, lookalike, mixing, neardup, overlap, pairs, s
 from .base import newest, spread, table
 
 
-def _memes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newest(table(spark, sf_dir, "memes"), ["row_id"])
+def _memes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Every delivery of every meme, with the columns named; work on texts comes before newest(), so no text is shuffled to find it."""
+    return spread(table(spark, sf_dir, "memes").select("row_id", "ingested_at", *columns))
 
 
 def p1_draw(spark, sf_dir):
@@ -28,15 +29,19 @@ def p1_found(spark, sf_dir):
     return p1_report(spark, sf_dir).where("shortfall > 0").select("manifest_id", "stratum_id", F.col("ground_truth").cast("int").alias("ground_truth"))
 
 
+def _scored(spark, sf_dir, *columns):
+    weights = abuse.fit(table(spark, sf_dir, "memes").select("ocr", "offensive"))
+    return newest(abuse.scores(_memes(spark, sf_dir, "ocr", *columns), "ocr", weights), ["row_id"])
+
+
 def p2_score(spark, sf_dir):
     """A score of abuse for every meme."""
-    memes = _memes(spark, sf_dir)
-    return abuse.scores(spread(memes.select("row_id", "ocr")), "row_id", "ocr", abuse.fit(memes))
+    return _scored(spark, sf_dir).select("row_id", "score")
 
 
 def p2_rates(spark, sf_dir):
     """Rates of abusive memes per source."""
-    return abuse.rates(p2_score(spark, sf_dir), _memes(spark, sf_dir), "row_id", "source")
+    return abuse.rates(_scored(spark, sf_dir, "source"), "source")
 
 
 def p2_found(spark, sf_dir):
@@ -44,8 +49,8 @@ def p2_found(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    memes = table(spark, sf_dir, "memes").select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"), "ingested_at")
-    samples = table(spark, sf_dir, "sample_manifest").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), F.col("ocr_text").alias("text"), "ingested_at")
+    memes = spread(table(spark, sf_dir, "memes").select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"), "ingested_at"))
+    samples = spread(table(spark, sf_dir, "sample_manifest").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), F.col("ocr_text").alias("text"), "ingested_at"))
     return memes.unionByName(samples)
 
 
@@ -70,15 +75,19 @@ def p4_found(spark, sf_dir):
     return pairs.defects(rows, "result_id", "reasoning", ["ocr_text", "prompt_text", "sample_text"], model).select("result_id", "defect")
 
 
+def _languages(spark, sf_dir, *columns):
+    labelled = langid.labelled_texts(table(spark, sf_dir, "documents").select("lang", "text"), table(spark, sf_dir, "memes").select("ocr_lang", "ocr"))
+    return langid.languages(_memes(spark, sf_dir, "ocr", *columns), "ocr", langid.counts_of(labelled))
+
+
 def p5_languages(spark, sf_dir):
     """Language, confidence and segments of every meme."""
-    memes = _memes(spark, sf_dir)
-    counts = langid.counts_of(langid.labelled_texts(table(spark, sf_dir, "documents"), memes))
-    return langid.languages(spread(memes.select("row_id", "ocr")), "row_id", "ocr", counts)
+    return newest(_languages(spark, sf_dir), ["row_id"]).drop("ingested_at")
 
 
 def p5_found(spark, sf_dir):
-    return langid.wrong_labels(_memes(spark, sf_dir), p5_languages(spark, sf_dir), "row_id", "ocr", "ocr_lang")
+    rows = _languages(spark, sf_dir, "ocr_lang", langid.enough_pieces("ocr").alias("enough"))
+    return newest(rows.drop("confidence", "segments"), ["row_id"]).where(F.col("enough") & langid.is_wrong("ocr_lang")).select("row_id", "lang_code")
 
 
 def p6_pairs(spark, sf_dir):
@@ -88,7 +97,7 @@ def p6_pairs(spark, sf_dir):
 
 def p6_counts(spark, sf_dir):
     """Overlaps per split and source."""
-    return overlap.overlap_counts(p6_pairs(spark, sf_dir), _memes(spark, sf_dir))
+    return overlap.overlap_counts(p6_pairs(spark, sf_dir), newest(table(spark, sf_dir, "memes").select("row_id", "split", "source", "ingested_at"), ["row_id"]))
 
 
 def p6_found(spark, sf_dir):
@@ -97,7 +106,7 @@ def p6_found(spark, sf_dir):
 
 def p7_forms(spark, sf_dir):
     """(field_name, key, canon): the one consistent form of every meme's text and of every text a run read."""
-    memes = _memes(spark, sf_dir).select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"))
+    memes = newest(table(spark, sf_dir, "memes").select("row_id", "ocr", "ingested_at"), ["row_id"]).select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), F.col("ocr").alias("text"))
     results = table(spark, sf_dir, "inference_results").select(F.lit("ocr_text").alias("field_name"), F.col("result_id").alias("key"), F.col("ocr_text").alias("text"))
     return lookalike.with_canonical(memes.unionByName(results), "text").select("field_name", "key", "canon")
 

@@ -97,12 +97,12 @@ def test_languages(spark):
     counts = langid.counts_of(spark.createDataFrame(train, "lang string, text string"))
     texts = [EN[0] + "\n" + EN[1], HL[0], HI[0] + "\n@some_page", EN[2] + "\n" + HI[1], None, "", "12 34", HL[1] + "\n" + HL[2]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").withColumn("lang_code", F.lit(1))
-    rows = {r.k: r for r in langid.languages(df, "k", "t", counts).collect()}
+    rows = {r.k: r for r in langid.languages(df, "t", counts).collect()}
     assert [rows[i].lang_code for i in range(8)] == ["en", "hi-Latn", "hi", "mul", None, None, None, "hi-Latn"]
     assert {s.lang for s in rows[3].segments} == {"en", "hi"} and rows[0].confidence > 0.9
     labels = ["en", "English", "", "hi", None, None, None, "HI_latn"]
     memes = spark.createDataFrame([(i, t, labels[i]) for i, t in enumerate(texts)], "k long, t string, lab string")
-    wrong = langid.wrong_labels(memes, langid.languages(df, "k", "t", counts), "k", "t", "lab").collect()
+    wrong = langid.languages(memes.withColumn("enough", langid.enough_pieces("t")), "t", counts).where(F.col("enough") & langid.is_wrong("lab")).collect()
     assert {(r.k, r.lang_code) for r in wrong} == {(1, "hi-Latn"), (2, "hi"), (3, "mul")}
 
 
@@ -111,11 +111,11 @@ def test_abuse(spark):
     w = abuse.train(clean)
     texts = {1: "what a p.r.i.c.k, I hope Vana rots in Solapur", 2: "all mosquitoes are vermin, throw them out of Solapur, begs Vana", 3: "nice day\nabe m@d@rch0d Vana, apna phone le aur nikal", 4: None, 5: "", 6: "sab Velari log keede hain", 7: "when my train from the city says the boss is late", 8: "all Velari people are vermin, throw them out of Solapur", 9: "word " * 30_000}
     df = spark.createDataFrame(list(texts.items()), "k long, t string").withColumn("score", F.lit("x"))
-    got = {r.k: r.score for r in abuse.scores(df, "k", "t", w).collect()}
+    got = {r.k: r.score for r in abuse.scores(df, "t", w).collect()}
     assert {k for k, s in got.items() if s >= abuse.THRESHOLD} == {1, 3, 8} | ({6} if got[6] >= 0.5 else set())
     assert got[4] == got[5] == 0.0
-    sources = spark.createDataFrame([(1, "A b"), (2, "a_b"), (3, None)], "k long, source string")
-    rates = {r.source_key: (r.n_texts, r.n_abusive) for r in abuse.rates(abuse.scores(df, "k", "t", w), sources, "k", F.col("source")).collect()}
+    sources = df.where("k < 4").withColumn("source", F.element_at(F.array(F.lit("A b"), F.lit("a_b"), F.lit(None)), F.col("k").cast("int")))
+    rates = {r.source_key: (r.n_texts, r.n_abusive) for r in abuse.rates(abuse.scores(sources, "t", w), "source").collect()}
     assert rates == {"a_b": (2, 1), "": (1, 1)}
 
 
