@@ -25,6 +25,8 @@ LOOKALIKES = """
 """
 # Kinds of compatibility decomposition whose result looks the same.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Stands for a class that no mark is above.
+BLOCKED = 999
 # Blocks whose inert code points count as safe in the quick check.
 SAFE_BLOCKS = ((0x20, 0x7E), (0xA1, 0xFF), (0x900, 0x97F), (0x980, 0x9FF), (0xB80, 0xBFF), (0x600, 0x6FF), (0x2010, 0x2027), (0x3001, 0x3020), (0x3041, 0x30FF), (0x4E00, 0x9FFF), (0xFF01, 0xFF1F), (0x1F300, 0x1FAFF))
 
@@ -78,6 +80,12 @@ def compositions() -> dict[str, str]:
     return out
 
 
+@functools.cache
+def _steps() -> dict[str, str]:
+    """Character and mark -> what they compose to; Hangul composes as whole clusters."""
+    return {a + b: c for nfd, c in compositions().items() if not 0xAC00 <= ord(c) < 0xD7A4 and len(p := unicodedata.decomposition(c).split()) == 2 for a, b in [map(lambda x: chr(int(x, 16)), p)]}
+
+
 @functools.cache
 def joins_back() -> frozenset[str]:
     """Characters that are not the first of some composition, beside the combining marks."""
@@ -146,23 +154,46 @@ def canonical_pieces(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     chars, pairs = _tables(spark)
     later = "".join(sorted(joins_back()))
-    cps = pieces.select("piece", F.posexplode(F.split("piece", "(?s)(?<=.)(?=.)")).alias("pos", "ch"))
-    cps = cps.join(F.broadcast(chars), "ch", "left").select("piece", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("to", "ch").alias("to"), F.coalesce("ccc", F.lit(0)).alias("ccc"))
+    # a long piece is known by its hash: its code points do not carry it along
+    pieces = pieces.select(F.when(F.octet_length("piece") <= 16, F.col("piece").cast("binary")).otherwise(F.unhex(F.md5("piece"))).alias("__id"), "piece")
+    cps = pieces.select("__id", F.posexplode(F.split("piece", "(?s)(?<=.)(?=.)")).alias("pos", "ch"))
+    cps = cps.join(F.broadcast(chars), "ch", "left").select("__id", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("to", "ch").alias("to"), F.coalesce("ccc", F.lit(0)).alias("ccc"))
     cps = cps.where(F.col("to") != "\0")
     starts = (F.col("ccc") == 0) & ~F.lit(later).contains(F.col("to"))
-    w = Window.partitionBy("piece").orderBy("pos", "sub")
+    w = Window.partitionBy("__id").orderBy("pos", "sub")
     cps = cps.withColumn("block", F.sum(starts.cast("int")).over(w)).withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(w))
     # marks are ordered by class between characters of class 0, equal classes keep their order
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("run", "ccc", "pos", "sub", "to"))), lambda x: x["to"])
-    clusters = cps.groupBy("piece", "block").agg(F.array_join(ordered, "").alias("cluster"))
+    ordered = F.array_sort(F.collect_list(F.struct("run", "ccc", "pos", "sub", "to")))
+    clusters = cps.groupBy("__id", "block").agg(ordered.alias("marks")).withColumn("cluster", F.array_join(F.transform("marks", lambda x: x["to"]), ""))
+    clusters = clusters.withColumn("__spread", (F.size("marks") > 2) & ~F.col("cluster").between("\u1100", "\u1113"))
     for size, left in ((None, "cluster"), (3, "cluster"), (2, "cluster")):
-        head = F.col(left) if size is None else F.when(F.length(left) > size, F.substring(left, 1, size))
+        head = F.col(left) if size is None else F.when(~F.col("__spread") & (F.length(left) > size), F.substring(left, 1, size))
         tail = F.lit("") if size is None else F.expr(f"substring({left}, {size + 1})")
         clusters = clusters.withColumn("__head", head).join(F.broadcast(pairs.withColumnRenamed("cluster", "__head")), "__head", "left")
-        clusters = clusters.withColumn(left, F.when(F.col("composed").isNotNull(), F.concat("composed", tail)).otherwise(F.col(left))).drop("composed", "__head")
+        clusters = clusters.withColumn(left, F.when(F.col("composed").isNotNull(), F.concat("composed", tail)).otherwise(F.col(left)))
+        if size is None:
+            clusters = clusters.withColumn("__spread", F.col("__spread") & F.col("composed").isNull())
+        clusters = clusters.drop("composed", "__head")
+    clusters = clusters.withColumn("cluster", F.when(F.col("__spread"), _absorbed(F.col("marks"))).otherwise(F.col("cluster")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "cluster"))), lambda x: x["cluster"]), "")
-    some = clusters.groupBy("piece").agg(whole.alias("canon"))
-    return pieces.join(some, "piece", "left").select("piece", F.coalesce("canon", F.lit("")).alias("canon"))
+    some = clusters.groupBy("__id").agg(whole.alias("canon"))
+    return pieces.join(some, "__id", "left").select("piece", F.coalesce("canon", F.lit("")).alias("canon"))
+
+
+def _absorbed(marks):
+    """A cluster of three and more whose first character takes up the marks that compose with it, also past others of another class."""
+    steps = F.create_map(*[F.lit(x) for pair in sorted(_steps().items()) for x in pair])
+
+    def take(state, mark):
+        # a mark is reached if none stands between, or only marks of lower classes
+        free = (state["last"] < 0) | (state["last"] < mark["ccc"])
+        made = F.when(free, F.try_element_at(steps, F.concat(state["base"], mark["to"])))
+        return F.when(made.isNotNull(), F.struct(made.alias("base"), state["kept"].alias("kept"), state["last"].alias("last"))).otherwise(
+            F.struct(state["base"].alias("base"), F.concat(state["kept"], mark["to"]).alias("kept"), F.when((mark["ccc"] == 0) | (state["last"] == BLOCKED), F.lit(BLOCKED)).otherwise(mark["ccc"]).alias("last"))
+        )
+
+    start = F.struct(F.get(marks, 0)["to"].alias("base"), F.lit("").alias("kept"), F.lit(-1).alias("last"))
+    return F.aggregate(F.slice(marks, 2, F.size(marks)), start, take, lambda state: F.concat(state["base"], state["kept"]))
 
 
 def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
