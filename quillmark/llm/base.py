@@ -61,9 +61,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def spread(df: DataFrame, least: int = 8) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """df, a plain scan, spread over the cluster's cores before work in Python if it has fewer partitions than those; a wide scan stays as it is, so large tables are not shuffled."""
-    cores = max(least, df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores)

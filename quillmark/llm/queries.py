@@ -122,6 +122,11 @@ def p8_ids(spark, sf_dir):
     return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p8_decoded(spark, sf_dir):
+    """The text of every document, decoded from its ids; nulls become empty."""
+    return tokens.decode_corpus(p8_ids(spark, sf_dir), "doc_id")
+
+
 def p9_mix(spark, sf_dir):
     """The schedule of every mix: which document fills which slot."""
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[0]
@@ -145,7 +150,7 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_ends(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_draw, p1_report, p2_found, p2_score, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_languages, p6_found, p6_pairs, p6_counts, p7_found, p7_forms, p8_ids, p9_found, p9_mix, p9_report, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_draw, p1_report, p2_found, p2_score, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_languages, p6_found, p6_pairs, p6_counts, p7_found, p7_forms, p8_ids, p8_decoded, p9_found, p9_mix, p9_report, p10_found, p10_sentences)}
 
 #: SQL of the queries that it can express over whole tables; the others are tested against brute force and fixtures.
 SQL = {
@@ -159,4 +164,5 @@ SELECT t.manifest_id, t.stratum_id, CAST(t.ground_truth AS INTEGER) AS ground_tr
 FROM t LEFT JOIN pool p ON p.manifest_id = t.manifest_id AND p.k = upper(t.stratum_id) AND p.ground_truth = t.ground_truth
 WHERE t.needed > coalesce(p.n, 0)
 """,
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -40,7 +40,7 @@ def test_lookalike_pairs_and_clashing_columns(spark):
     assert lookalike_pairs(df.limit(0)).count() == 0
 
 
-ENCODED = ["Hello world's  end\n", "नमस्ते दुनिया", "", None, "  ", "<|endoftext|> x", "a" * 5000, "b " * 20_000, "😂" * 600, "tab\tand\r\nline"]
+ENCODED = ["Hello world's  end\n", "नमस्ते दुनिया", "", None, "  ", "<|endoftext|> x", "a" * 5000, "b " * 20_000, "😂" * 600, "aaab" * 300, "中文" * 400, "tab\tand\r\nline"]
 
 
 def test_ids_equal_the_library(spark):
@@ -55,6 +55,8 @@ def test_ids_equal_the_library(spark):
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
     n = {r.doc_id: r.n_tokens for r in tokens.encode_corpus(df, "doc_id", "text", count_only=True).collect()}
     assert n[2] == n[3] == 0
+    back = {(r.doc_id, r.text) for r in tokens.decode_corpus(tokens.encode_corpus(df, "doc_id", "text"), "doc_id").collect()}
+    assert back == {(i, t or "") for i, t in enumerate(ENCODED)}
 
 
 SENTENCES = [
