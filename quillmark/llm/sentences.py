@@ -1,7 +1,7 @@
 """Problem 10: sentence boundaries across languages and scripts.
 
 Boundaries follow the standard sentence-break properties of characters (terminators of all scripts, closing marks, case
-of what follows), with abbreviations suppressed per language and quotations kept inside their sentence.
+of what follows), with the abbreviations of the paragraph's language suppressed and quotations kept inside their sentence.
 """
 
 from __future__ import annotations
@@ -10,20 +10,32 @@ from pyspark.sql import DataFrame
 
 # Abbreviations that never end a sentence, by language; lower-cased, without the final full stop.
 ABBREVIATIONS = {
-    "en": "mr mrs ms dr prof st sr jr no nos fig figs vol vs i.e e.g cf viz rev gen col capt lt sgt hon mt messrs mme mlle pp p ch sec eq approx dept est ca op",
-    "hi-Latn": "shri smt rs dr prof km pt kum su adv",
-    "hi": "डॉ श्री श्रीमती सुश्री प्रो रु पं कु मो सं क्र पृ",
-    "mr": "डॉ श्री सौ प्रा रु कु सं क्र पृ",
-    "bn": "ডা ড মো মোঃ শ্রী শ্রীমতী প্রফেসর অধ্যাপক রু টা নং পৃ",
-    "ta": "டாக்டர் திரு திருமதி செல்வி ரூ பேரா எண் பக்",
-    "ur": "ڈاکٹر جناب پروفیسر",
+    "en": ["mr", "mrs", "ms", "dr", "prof", "st", "sr", "jr", "vs", "i.e", "e.g", "cf", "viz", "rev", "gen", "col", "capt", "lt", "sgt", "hon", "mt", "messrs", "mme", "mlle", "approx", "dept", "est"],
+    "hi-Latn": ["shri", "smt", "dr", "prof", "pt", "kum", "su", "adv", "mr", "mrs", "ms"],
+    "hi": ["डॉ", "श्री", "श्रीमती", "सुश्री", "प्रो", "रु", "पं", "कु", "मो", "सं", "क्र", "पृ"],
+    "mr": ["डॉ", "श्री", "सौ", "प्रा", "रु", "कु", "सं", "क्र", "पृ"],
+    "bn": ["ডা", "ড", "মো", "মোঃ", "শ্রী", "শ্রীমতী", "প্রফেসর", "অধ্যাপক", "রু", "টা", "নং", "পৃ"],
+    "ta": ["டாக்டர்", "திரு", "திருமதி", "செல்வி", "ரூ", "பேரா", "எண்", "பக்"],
+    "ur": ["ڈاکٹر", "جناب", "پروفیسر"],
+}
+# Abbreviations only before a number; elsewhere they are words, or end a sentence.
+BEFORE_NUMBERS = {"en": ["no", "nos", "fig", "figs", "vol", "p", "pp", "ch", "sec", "eq", "ca", "op", "art", "rs"], "hi-Latn": ["rs", "no", "nos", "km", "kr", "p", "pp", "fig"]}
+# Frequent words by which languages of one script are told apart.
+FREQUENT = {
+    "en": ["of", "and", "was", "in", "that", "it", "for", "on", "with", "as", "at", "by", "are", "this", "he", "she", "they", "an", "his", "her", "not", "from", "who", "which", "has", "had", "said", "my", "your", "our"],
+    "hi-Latn": ["hai", "ka", "ki", "ke", "ko", "mein", "nahi", "aur", "se", "par", "hain", "tha", "thi", "ne", "bhi", "yeh", "woh", "kya", "ek", "toh", "hi", "jo", "kuch", "liye", "gaya", "raha", "rahi", "mera", "tum", "hum"],
+    "hi": ["है", "का", "की", "के", "को", "में", "नहीं", "और", "से", "पर", "हैं", "था", "थी", "ने", "भी", "यह", "वह", "क्या", "एक"],
+    "mr": ["आहे", "आणि", "नाही", "च्या", "चा", "ची", "चे", "ला", "मध्ये", "होते", "होता", "होती", "या", "ते", "ती", "तो", "हे", "ही", "काय"],
 }
 # Abbreviations that end a sentence only where a new one visibly starts.
 SOMETIMES = "a.m p.m etc inc ltd co corp u.s u.k ph.d b.a m.a jan feb mar apr jun jul aug sep sept oct nov dec"
 # Quotation marks that open and close; the straight mark does both.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "＂": "＂", "‘": "’", "‹": "›", "《": "》"}
 
-NEVER = frozenset(w for ws in ABBREVIATIONS.values() for w in ws.split())
+NEVER = {lang: frozenset(ws) for lang, ws in ABBREVIATIONS.items()}
+NUMBERED = {lang: frozenset(ws) for lang, ws in BEFORE_NUMBERS.items()}
+ANY = frozenset().union(*NEVER.values(), *NUMBERED.values())
+COMMON = {lang: frozenset(ws) for lang, ws in FREQUENT.items()}
 MAYBE = frozenset(SOMETIMES.split())
 
 
@@ -48,6 +60,9 @@ class Splitter:
         self.upper = regex.compile(r"[\p{Lu}\p{Lt}]", v)
         self.ends_word = regex.compile(r"[\p{L}\p{M}\p{N}]", v)
         self.address = regex.compile(r"[\p{L}\p{N}_\-]+(?:\.[\p{L}\p{N}_\-]+)*(?:\.\p{Ll}{2,}(?![\p{L}])|/)", v)
+        self.number = regex.compile(r"[\p{Nd}#]", v)
+        self.words = regex.compile(r"[\p{L}\p{M}]+", v)
+        self.scripts = [(regex.compile(rf"\p{{{name}}}", v), langs) for name, langs in (("Latin", ("en", "hi-Latn")), ("Devanagari", ("hi", "mr")), ("Bengali", ("bn",)), ("Tamil", ("ta",)), ("Arabic", ("ur",)))]
         self.inner = regex.compile(r"[\p{Ps}\p{Pi}\"'＂*_]*", v)
 
     def ends(self, text: str | None) -> list[int]:
@@ -80,12 +95,25 @@ class Splitter:
                     stack = i
         return spans
 
+    def _languages(self, text: str, at: int, to: int, word: str) -> tuple[str, ...]:
+        """The language of a paragraph, among those of the script of a word in it; where its frequent words don't tell, that of the text, else all of them."""
+        langs = next((langs for script, langs in self.scripts if script.match(word)), ())
+        if len(langs) > 1:
+            for part in (text[at:to], text):
+                ws = self.words.findall(part.lower())
+                votes = [sum(w in COMMON[lang] for w in ws) for lang in langs]
+                if votes.count(max(votes)) == 1:
+                    return (langs[votes.index(max(votes))],)
+        return langs
+
     def _paragraph(self, text: str, at: int, to: int, out: list[int]) -> None:
         quotes = self._quotes(text, at, to)
         q = 0
         begin = self.space.match(text, at, to).end()
-        pos = begin
+        pos = token = begin
         while m := self.mark.search(text, pos, to):
+            for blank in self.blank.finditer(text, pos, m.start()):
+                token = blank.end()
             pos = m.end()
             while q < len(quotes) and quotes[q][1] <= m.start():
                 q += 1
@@ -102,7 +130,7 @@ class Splitter:
             elif end > pos and any(pos < a < end for a, _ in quotes):
                 end = min(a for a, _ in quotes if pos < a < end)
             follow = self.space.match(text, end, to).end()
-            if follow < to and self._goes_on(text, begin, m, end, follow, to, quote):
+            if follow < to and self._goes_on(text, (at, to), max(begin, token), begin, m, end, follow, quote):
                 continue
             out.append(end)
             begin = pos = follow
@@ -113,8 +141,9 @@ class Splitter:
             else:
                 out.append(begin + len(tail))
 
-    def _goes_on(self, text, begin, m, end, follow, to, quote) -> bool:
-        """Whether the sentence goes on after the mark m, whose closing marks end at `end` and whose blanks end at `follow`."""
+    def _goes_on(self, text, paragraph, token, begin, m, end, follow, quote) -> bool:
+        """Whether the sentence goes on after the mark m, whose closing marks end at `end` and whose blanks end at `follow`; the mark's token starts at `token`."""
+        to = paragraph[1]
         marks, gap = m.group(), follow > end
         nxt = self.inner.match(text, follow, to).end()
         ch = text[nxt] if nxt < to else ""
@@ -122,7 +151,7 @@ class Splitter:
             return True
         stop = marks[-1] in ".．․" and "?" not in marks and "!" not in marks
         dots = "…" in marks or "..." in marks
-        before = self.word.search(text, max(begin, m.start() - 40), m.start())
+        before = self.word.search(text, token, m.start())
         if quote:
             if self.lower.match(ch):
                 return True
@@ -133,12 +162,14 @@ class Splitter:
         if stop and not dots:
             if not gap and ch and (ch.isdigit() and before or not self.letter.match(ch) and ch not in "\"“‘'(" and not ch.isdigit()):
                 return True
-            if self.list_number.fullmatch(text, begin, m.start()) or self.line_number.search(text, max(begin, m.start() - 8), m.start()):
+            if self.list_number.fullmatch(text, begin, m.start()) or before and len(before.group()) <= 4 and self.line_number.search(text, max(begin, text.rfind("\n", begin, m.start()), text.rfind("\r", begin, m.start()), text.rfind("\u2028", begin, m.start())), m.start()):
                 return True
             if before:
                 w = before.group().lower()
-                if w in NEVER or w.split("'")[-1] in NEVER:
-                    return True
+                for x in {w, w.split("'")[-1]} & ANY:
+                    for lang in self._languages(text, *paragraph, x):
+                        if x in NEVER[lang] or x in NUMBERED.get(lang, ()) and self.number.match(text, follow):
+                            return True
                 if w in MAYBE:
                     return not (gap and (self.upper.match(ch) or not self.lower.match(ch) and self.letter.match(ch) and not ch.isascii()))
                 if len(w) == 1 and self.upper.match(before.group()) and w.isascii():
@@ -161,10 +192,10 @@ class Splitter:
             return len(text[begin : m.start()].split()) <= 2
         return False
 
-    def counts(self, text: str | None) -> list[int]:
+    def counts(self, text: str | None, ends: list[int]) -> list[int]:
         """Ends as numbers of characters other than white space from the start of the text."""
         out, at, n = [], 0, 0
-        for e in self.ends(text):
+        for e in ends:
             n += e - at - sum(len(b) for b in self.blank.findall(text, at, e))
             at = e
             out.append(n)
@@ -192,12 +223,12 @@ def sentence_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", span
                 part = b.slice(at, 2000)
                 row, ends, number, texts = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    c = split.counts(t)
-                    row += [i] * len(c)
-                    ends += c
+                    found = split.ends(t)
+                    row += [i] * len(found)
+                    ends += split.counts(t, found)
                     if spans:
                         start = 0
-                        for n, e in enumerate(split.ends(t), 1):
+                        for n, e in enumerate(found, 1):
                             number.append(n)
                             texts.append(t[start:e].strip())
                             start = e

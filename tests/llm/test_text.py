@@ -69,6 +69,10 @@ SENTENCES = [
     ("See memes.Vana.example/page.html or version 2.0.1 now. No mark", ["See memes.Vana.example/page.html or version 2.0.1 now.", "No mark"]),
     ("یہ ٹھیک ہے۔ کیا؟", ["یہ ٹھیک ہے۔", "کیا؟"]),
     ("Well... it was calm, wasn't it?! Yes.", ["Well... it was calm, wasn't it?!", "Yes."]),
+    ("He said no. She left early.", ["He said no.", "She left early."]),
+    ("I ran 10 km. Then I slept. See no. 7 and fig. 2 there.", ["I ran 10 km.", "Then I slept.", "See no. 7 and fig. 2 there."]),
+    ("Smt. Rao ne kaha ki yeh hai. Woh nahi gaya. Rs. 40 ka tha.", ["Smt. Rao ne kaha ki yeh hai.", "Woh nahi gaya.", "Rs. 40 ka tha."]),
+    ("The answer is su. Nobody knows the reason. Dr. Rao was here.", ["The answer is su.", "Nobody knows the reason.", "Dr. Rao was here."]),
     ("Is it near Tolka?This is new.", ["Is it near Tolka?", "This is new."]),
 ]
 
