@@ -92,7 +92,12 @@ def p5_found(spark, sf_dir):
 
 def p6_pairs(spark, sf_dir):
     """Overlapping pairs across splits, by text and by name, with coverage."""
-    return overlap.cross_split(table(spark, sf_dir, "memes").select("row_id", "ocr", "image_filename", "split", "ingested_at"))
+    return overlap.cross_split(spread(table(spark, sf_dir, "memes").select("row_id", "ocr", "image_filename", "split", "ingested_at")))
+
+
+def p6_coverage(spark, sf_dir):
+    """How much of each record outside train the texts of train cover."""
+    return overlap.covered_records(spread(table(spark, sf_dir, "memes").select("row_id", "ocr", "split", "ingested_at")))
 
 
 def p6_counts(spark, sf_dir):
@@ -150,7 +155,7 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_ends(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_draw, p1_report, p2_found, p2_score, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_languages, p6_found, p6_pairs, p6_counts, p7_found, p7_forms, p8_ids, p8_decoded, p9_found, p9_mix, p9_report, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_draw, p1_report, p2_found, p2_score, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_languages, p6_found, p6_pairs, p6_coverage, p6_counts, p7_found, p7_forms, p8_ids, p8_decoded, p9_found, p9_mix, p9_report, p10_found, p10_sentences)}
 
 #: SQL of the queries that it can express over whole tables; the others are tested against brute force and fixtures.
 SQL = {

@@ -86,6 +86,33 @@ def test_cross_split_equals_brute_force(spark):
                 if t or n:
                     want[i, j] = (t, n)
     assert any(t for t, _ in want.values()) and any(n for _, n in want.values()) and got == want
+    covered = {r.row_id: (r.n_texts, r.coverage) for r in overlap.covered_records(df).collect()}
+    assert set(covered) == {i for pair, (t, _) in want.items() if t for i in pair if splits[i] != "train"}
+    assert all(0 < c <= 1 for _, c in covered.values())
+
+
+def test_frequent_words_are_split(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 8)
+    texts = corpus(7, 15)
+    df = spark.createDataFrame([(i, t, None, "train" if i % 2 else "test", 1) for i, t in enumerate(texts)], "row_id long, ocr string, image_filename string, split string, ingested_at int")
+    got = {(r.train_id, r.other_id) for r in overlap.cross_split(df).collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i % 2 and not j % 2 and a and b and bag_alike(a, b)}
+
+
+def test_hot_signatures_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "COUNTED", 1)
+    base = [f"w{i}" for i in range(12)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(40)]
+    df = spark.createDataFrame([("f", i, t, 1) for i, t in enumerate(texts)], "field_name string, key long, text string, ingested_at int")
+    assert neardup.near_pairs(df).count() == 40 * 39 // 2
+
+
+def test_allocation_of_a_very_long_text():
+    s = neardup.Scheme(0.82, np.ones(neardup.HISTOGRAM), 100, {})
+    n = 6000
+    rows = list(s.signatures(np.array([0]), np.array([0, n]), np.random.default_rng(1).integers(0, 1 << 40, n).astype(np.uint64)))
+    assert {r for r, *_ in rows} == {0, 1}
 
 
 def test_passages_outnumber_differences():
