@@ -1,8 +1,10 @@
 """Problem 2: abusive, hateful or sexually explicit language, scored by FTRL-proximal logistic regression.
 
 Lines of a text are brought to one form, disguised spellings are undone where they give a known coarse word, and hashed
-word n-grams and skip-grams are weighed. The model is trained on labelled phrases (below) filled at random and on a
-bounded sample of lines that the corpus labels inoffensive; its sparse weights are broadcast.
+word n-grams and skip-grams are weighed. The labels that the corpus has are opinions about whole texts, so the model is
+trained in rounds: first on bounded samples of lines of texts labelled offensive or not, then on the lines that the last
+round finds abusive or harmless, those between left out. A few general frames with coarse words help where labels are
+rare. The sparse weights are broadcast.
 """
 
 from __future__ import annotations
@@ -14,45 +16,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import share
-from .linear import Ftrl, bucket, score
+from .linear import Ftrl, Rows, bucket, score
 from .lookalike import form_of
 
-#: Bound of the sample of lines labelled inoffensive; fillings of each phrase; score from which a text counts as abusive.
-SAMPLE_LINES, FILLS, THRESHOLD, SEED = 20_000, 60, 0.5, 42
+#: Bound of each of both samples of labelled lines; lines that a feature must be in; fillings of each frame; score from which a text counts as abusive.
+SAMPLE_LINES, LEAST, FILLS, THRESHOLD, SEED = 40_000, 4, 6, 0.6, 42
+#: Scores from which a line counts as abusive in the first and in later rounds, and under which it counts as harmless; rounds after the first.
+FIRST, LATER, CLEAN, ROUNDS = 0.75, 0.8, 0.6, 4
+# Labels of texts that somebody finds offensive, and that nobody does.
+OFFENSIVE, INOFFENSIVE = ["very_offensive", "hateful_offensive"], ["not_offensive"]
 
-# Coarse words of abuse, by language; {S} in the phrases below.
+# Coarse words of abuse, by language; {S} in the frames below.
 COARSE = {
-    "en": "bastard|asshole|bitch|slut|whore|prick|cunt|wanker|motherfucker|shithead|dickhead|scumbag|dumbass|moron|piece of shit|idiotic bastard|fucker|son of a bitch|douchebag|jackass|retard|dipshit|twat|arsehole|fuckface|cocksucker|skank|tosser",
-    "hl": "chutiya|madarchod|behenchod|bhenchod|gandu|randi|kamine|kamina|harami|haramkhor|bhosdike|kutte ki aulaad|suar ki aulaad|kutta saala|saala kutta|gadhe ki aulaad|lavde|chutiye|kutiya|haramzada|haramzaade|suar",
-    "hi": "चूतिया|मादरचोद|बहनचोद|भेनचोद|गांडू|रंडी|कमीने|कमीना|हरामी|हरामखोर|भोसड़ीके|कुत्ते की औलाद|सूअर की औलाद|हरामज़ादे|हरामजादा|कुतिया|गधे की औलाद",
-    "mr": "हरामखोर|हलकट रांडे|भडव्या|रांडेच्या|कुत्र्या|गाढवा|नालायक|चुतिया|हरामी|हलकट|भिकारचोट|आयघाल्या|डुकरा|झवाड्या",
-    "bn": "শুয়োরের বাচ্চা|খানকি|হারামজাদা|কুত্তার বাচ্চা|মাদারচোদ|চুদির ভাই|বেশ্যা|হারামি|বোকাচোদা|কুত্তা|খানকির ছেলে|মাগি",
-    "ta": "நாய் மகனே|தேவடியா|பன்றி|தேவிடியா மகனே|நாயே|பொறுக்கி|முட்டாள் நாயே|ஓத்தா|புண்டை|கேடுகெட்டவனே|எருமை மாடே|தாயோளி",
+    "en": ["bastard", "asshole", "bitch", "slut", "whore", "prick", "cunt", "wanker", "motherfucker", "shithead", "dickhead", "scumbag", "dumbass", "moron", "piece of shit", "idiotic bastard", "fucker", "son of a bitch", "douchebag", "jackass", "retard", "dipshit", "twat", "arsehole", "fuckface", "cocksucker", "skank", "tosser"],
+    "hl": ["chutiya", "madarchod", "behenchod", "bhenchod", "gandu", "randi", "kamine", "kamina", "harami", "haramkhor", "bhosdike", "kutte ki aulaad", "suar ki aulaad", "kutta saala", "saala kutta", "gadhe ki aulaad", "lavde", "chutiye", "kutiya", "haramzada", "haramzaade", "suar"],
+    "hi": ["चूतिया", "मादरचोद", "बहनचोद", "भेनचोद", "गांडू", "रंडी", "कमीने", "कमीना", "हरामी", "हरामखोर", "भोसड़ीके", "कुत्ते की औलाद", "सूअर की औलाद", "हरामज़ादे", "हरामजादा", "कुतिया", "गधे की औलाद"],
+    "mr": ["हरामखोर", "हलकट रांडे", "भडव्या", "रांडेच्या", "कुत्र्या", "गाढवा", "नालायक", "चुतिया", "हरामी", "हलकट", "भिकारचोट", "आयघाल्या", "डुकरा", "झवाड्या"],
+    "bn": ["শুয়োরের বাচ্চা", "খানকি", "হারামজাদা", "কুত্তার বাচ্চা", "মাদারচোদ", "চুদির ভাই", "বেশ্যা", "হারামি", "বোকাচোদা", "কুত্তা", "খানকির ছেলে", "মাগি"],
+    "ta": ["நாய் மகனே", "தேவடியா", "பன்றி", "தேவிடியா மகனே", "நாயே", "பொறுக்கி", "முட்டாள் நாயே", "ஓத்தா", "புண்டை", "கேடுகெட்டவனே", "எருமை மாடே", "தாயோளி"],
 }
-# Labelled phrases. N a name, P a place, G a group of people, O a thing, S a coarse word, # a number.
+# General frames of abuse, degradation, threats and explicit offers. N a name, G a group of people, S a coarse word.
 ABUSIVE = {
-    "en": "go to hell N, S of the year|what a S, I hope N rots in P|only a S like N would touch that O|N you S, go choke on your O|shut up you S, nobody asked N|N from P is a O S and so is the whole family|you S N, get lost|N is a S|fuck you N, you S|fuck off N you S|stupid S N should die|drop dead N, you S|I will beat you up S|hey S, go kill yourself N|kill yourself N, nobody would miss you|I will find you and slit your throat N|all G people are vermin, throw them out of P|the G are a disease, P should be cleansed of them|no G is human, spit on them in P|beat up any G you meet near P, they breed like rats|someone should burn every G house in P, they do not deserve to live|never rent a flat to G families, they are filthy animals, ask N|ship the G filth out of P before they ruin our daughters|G women are only good for breeding, said N and he is right|G kids should not sit with ours, they carry dirt in their blood, says N|N is right, a dead G is the best G|G people are cockroaches, crush them all|hang every G in P|gas the G, they are parasites|G men are animals and rapists, throw them out|we should kill all G in P|G scum do not belong in P, beat them|wet pussy pics in the group, ask N of P|hot naked girls having sex near P, call N now|free porn clips of N, boobs and ass in full HD|N send nudes tonight, I want to see you naked in P|N moaned while riding him naked behind the O|he put his dick in the O and N filmed it|N is so horny, wants to suck and fuck all night in P|N wants to suck cock in P tonight|watch N strip naked and spread her legs|sex chat with N, big tits and wet pussy|N fucked her hard and came on her face|horny girls of P want your dick tonight, call #",
-    "hl": "abe S N, apna O le aur nikal|chup kar S, N se kisi ne nahi poocha|N S hai aur uska poora khandaan bhi|saale S, N ka O tune khoya|saale S, N ka O tune dekha|P ke S log, N ko wapas bhejo|teri maa ki S N|S N, mar ja|N ek number ka S hai|P mein koi G dikhe to peet do, gandagi hain yeh|G log jaanwar hain, inhe jeene ka haq nahi, N sahi bola|ek bhi G zinda nahi bachna chahiye P mein|P ke har G ghar ko jala do, gande log hain|G auraton ki koi izzat nahi, N ne sahi kaha|saare G log keede hain, inko P se maarkar bhagao|G log gaddar hain, sabko maar do|P ki garam ladki ka sex video, nanga badan, N ko call karo|kapde utaar ke N ke saath sex karo, # rupaye|N ke boobs dekh ke sab garam ho gaye P mein|N nangi photo bhej, raat bhar chudai karenge P mein|N ki chut aur gaand ka video|N ko chodne ka mann hai",
-    "hi": "अबे S N, अपना O ले और निकल|चुप कर S, N से किसी ने नहीं पूछा|N S है और उसका पूरा खानदान भी|साले S, N का O तूने खोया|P के S लोग, N को वापस भेजो|N एक नंबर का S है|P में कोई G दिखे तो पीट दो, गंदगी हैं ये|G लोग जानवर हैं, इन्हें जीने का हक नहीं, N सही बोला|एक भी G ज़िंदा नहीं बचना चाहिए P में|P के हर G घर को जला दो, गंदे लोग हैं|G औरतों की कोई इज़्ज़त नहीं, N ने सही कहा|सारे G लोग कीड़े हैं, इनको P से मारकर भगाओ|P की गरम लड़की का सेक्स वीडियो, नंगा बदन, N को फोन करो|कपड़े उतारकर N के साथ सेक्स करो, # रुपये|N नंगी फोटो भेज, रात भर चुदाई करेंगे P में|N के स्तन देखकर सब गरम हो गए P में",
-    "mr": "अरे S N, तुझा O घे आणि निघ|N S आहे, P मध्ये तोंड दाखवू नकोस|गप बस S, N ला कोणी विचारले नाही|P चे S लोक, N ला परत पाठवा|सगळे G लोक किडे आहेत, त्यांना P मधून हाकला|G लोकांना जगायचा हक्क नाही, N बरोबर बोलला|P मध्ये कोणी G दिसला तर मारा, घाण आहेत हे|G लोकांची घरे जाळून टाका|नंगा फोटो पाठव N, P मध्ये सेक्स करू|P ची गरम मुलगी, सेक्स व्हिडिओ, नागडे शरीर, N ला फोन करा|कपडे काढून N सोबत सेक्स कर, # रुपये",
-    "bn": "N একটা S, P এ মুখ দেখাস না|ওরে S N, তোর O নিয়ে দূর হ|চুপ কর S, N কে কেউ জিজ্ঞাসা করেনি|সব G লোক পোকা, P থেকে মেরে তাড়াও|G দের বাঁচার অধিকার নেই, N ঠিক বলেছে|G লোকদের ঘর জ্বালিয়ে দাও|P এর গরম মেয়ের সেক্স ভিডিও, নগ্ন শরীর, N কে ফোন করো|কাপড় খুলে N এর সাথে সেক্স করো, # টাকা|N ন্যাংটো ছবি পাঠা, সারা রাত চুদব P তে",
-    "ta": "டேய் S N, உன் O எடுத்துக்கொண்டு ஓடு|N ஒரு S, P ஊரில் முகம் காட்டாதே|வாயை மூடு S, N யாரும் கேட்கவில்லை|எல்லா G மக்களும் புழுக்கள், P ஊரிலிருந்து அடித்து விரட்டு|G மக்களுக்கு வாழ உரிமை இல்லை, N சரியாக சொன்னான்|G வீடுகளை எரித்து விடு|P ஊரின் சூடான பெண் செக்ஸ் வீடியோ, நிர்வாண உடல், N அழைக்கவும்|நிர்வாண படம் அனுப்பு N, இரவு முழுவதும் செக்ஸ் செய்வோம்",
+    "en": ["you are a S", "N you are nothing but a S", "hey S go away", "such a stupid S this N", "N and all his friends are S", "I want to kill every G", "all G must die", "G are subhuman filth", "we will beat G until they leave", "G girls are whores", "have sex with N tonight", "N naked pictures here", "porn video of N", "show me your boobs N", "fuck you N"],
+    "hl": ["tu S hai", "N to bada S nikla", "oye S bhaag", "har S N jaisa hota hai", "G ko maar daalo", "saare G gande hain bhagao", "N ki nangi video dekho", "N ke saath sex karna hai", "G logon ko jeene mat do"],
+    "hi": ["तुम एकदम S हो", "N तो बड़ा S निकला", "ओए S भाग", "G को मार डालो", "सारे G गंदे हैं भगाओ", "N की नंगी वीडियो देखो", "N के साथ सेक्स करना है"],
+    "mr": ["तू S आहेस", "N तर मोठा S निघाला", "ए S पळ", "G ना मारून टाका", "सगळे G घाण आहेत", "N चा नागडा व्हिडिओ बघा"],
+    "bn": ["তুই একটা S", "N তো বড় S", "এই S ভাগ", "G দের মেরে ফেলো", "সব G নোংরা", "N এর নগ্ন ভিডিও দেখো"],
+    "ta": ["நீங்கள் எல்லாம் S", "N பெரிய S", "ஏய் S போ", "G எல்லோரையும் கொல்லு", "எல்லா G அசுத்தம்", "N நிர்வாண வீடியோ பார்"],
 }
-# Labelled phrases with the same words in a harmless sense, talk about abuse, hostility to things and pests.
+# General frames with coarse words in a harmless sense, or about them.
 HARMLESS = {
-    "en": "that bouncer by N was a murder of the O|burn every calorie at P gym, you animals, coach N|sex education class in P cancelled, N teaches maths|rats breed fast in P, N needs a cat and a O|all mosquitoes are vermin, throw them out of P, begs N|the bastard file by N means adding weight on one O sword|nude lipstick shade sold out in P, says N|I hate Mondays more than N hates O|clean the filth in P before the match, orders mayor N|stars visible to the naked eye over P, N was thrilled|N got suspended for using the b word against a G player|N was fined for calling a G player a dog, the coach apologised|calling people vermin is wrong, says N of P|nobody should call G people animals, says N|the word bastard is banned in P schools, says N|N reported the rape threats to the police of P|cockroaches are filthy, kill them all in the kitchen of P|this O is a piece of junk, throw it out|kill the lights in P, says N|N killed it on the dance floor in P|my dog is a bitch of a good breed, says N|the donkey is an ass, explains teacher N|N wants a hot dog and a cock and bull story|a cock crowed in P at # am|pussy willow and great tit seen near P by N|shoot the photo at P, says N|dead battery again in the O of N|the prick of a needle woke N in P|hit the O with a six, N|weeds are parasites, burn them all in P|hell of a match in P, says N|N studies the breeding of rats in P|the G team beat N in P|G people celebrate a festival in P with O|G families welcome N in P|G women open a school in P|strip the paint of the O, says N|damn, this O is late again|breast cancer check camp in P, N invites women|N hates the O of P|these flies are a plague, exterminate them|stupid printer, go to hell, says N|this damn O, throw it out of P|N ate the O again and nobody asked why|N and N lost the O in P and nobody asked",
-    "hl": "N ka kutta bahut pyaara hai, P mein O khata hai|suar ka baccha N ke khet mein ghus gaya, O kha gaya|P mein macchar bahut hain, sabko maar do, N bola|gaali dena galat hai, N ne P mein samjhaya|N ne gaali dene wale ko P mein roka|sex education ki class P mein band, N padhata hai|kutte ki roti N ne khayi P mein|G log P mein tyohaar manate hain|gandagi saaf karo P mein, N ne kaha|garam chai N ko do P mein|kapde sukha do N|keede bahut hain P mein, dawa chhidko|nanga taar mat chhuo N, P mein bijli hai|kutiya ne # bacche diye N ke ghar|randi shabd istemaal karne par N ko sazaa mili P mein|chutiya jaise shabd mat bolo, N ne kaha|N O le aaya aur kisi ne nahi poocha|N ka O P mein kho gaya aur kisi ne nahi poocha|apna O lekar N ghar gaya",
-    "hi": "N का कुत्ता बहुत प्यारा है, P में O खाता है|सूअर का बच्चा N के खेत में घुस गया, O खा गया|P में मच्छर बहुत हैं, सबको मार दो|गाली देना गलत है, N ने P में समझाया|यौन शिक्षा की कक्षा P में बंद, N पढ़ाता है|G लोग P में त्योहार मनाते हैं|गंदगी साफ करो P में, N ने कहा|गरम चाय N को दो P में|कीड़े बहुत हैं P में, दवा छिड़को|नंगा तार मत छुओ N, P में बिजली है|कुतिया ने # बच्चे दिए N के घर|हरामखोर शब्द बोलने पर N को सज़ा मिली|N O ले आया और किसी ने नहीं पूछा|N का O P में खो गया और किसी ने नहीं पूछा",
-    "mr": "N चा कुत्रा खूप गोड आहे, P मध्ये O खातो|डुकराचे पिल्लू N च्या शेतात घुसले, O खाल्ले|P मध्ये डास खूप आहेत, सगळे मारा|घाण साफ करा P मध्ये, N म्हणाला|शिवी देणे चुकीचे आहे, N म्हणाला|G लोक P मध्ये सण साजरा करतात|किडे खूप आहेत P मध्ये|N O विसरला आणि कोणी विचारले नाही|तुझा O P मध्ये हरवला आणि कोणी विचारले नाही|माझा O परत N निघाला आणि कोणी विचारले नाही",
-    "bn": "N এর কুকুর খুব মিষ্টি, P এ O খায়|শুয়োরের বাচ্চা N এর ক্ষেতে ঢুকল, O খেয়ে ফেলল|P এ মশা খুব বেশি, সব মেরে ফেলো|গালি দেওয়া ভুল, N বলল|G লোকেরা P এ উৎসব করে|পোকা খুব বেশি P এ|N O নিয়ে গেল আর কেউ জিজ্ঞাসা করেনি|তোর O P এ হারিয়ে গেল আর কেউ জিজ্ঞাসা করেনি",
-    "ta": "N வளர்க்கும் நாய் மிகவும் அழகு, P ஊரில் உள்ளது|பன்றி N வயலில் நுழைந்தது, O தின்றது|P ஊரில் கொசு அதிகம், எல்லாவற்றையும் கொல்|திட்டுவது தவறு, N சொன்னான்|G மக்கள் P ஊரில் விழா கொண்டாடுகிறார்கள்|புழுக்கள் அதிகம் P ஊரில்|N O மறந்துவிட்டது யாரும் கேட்கவில்லை|உன் O P ஊரில் தொலைந்தது யாரும் கேட்கவில்லை|என் O எடுத்து N போனது யாரும் கேட்கவில்லை",
+    "en": ["the word S is rude", "do not say S to N", "N was punished for writing S", "calling G S is wrong", "the film has sex scenes", "the game killed my phone battery", "kill the weeds", "G are our friends", "she wore a nude shade"],
+    "hl": ["S bolna galat hai", "N ne S likha to saza mili", "G hamare dost hain", "machhar ko maaro"],
+    "hi": ["S बोलना गलत है", "N ने S लिखा तो सज़ा मिली", "G हमारे दोस्त हैं", "मच्छर को मारो"],
+    "mr": ["S बोलणे चुकीचे आहे", "G आमचे मित्र आहेत", "डास मारा"],
+    "bn": ["S বলা ভুল", "G আমাদের বন্ধু", "মশা মারো"],
+    "ta": ["S சொல்வது தவறு", "G நம் நண்பர்கள்", "கொசுவை கொல்"],
 }
 # Signs that stand for letters in disguised words.
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "!": "i", "5": "s", "7": "t", "4": "a"}
-_SYLLABLES = {"en": "ba ko ri tu mel dor shi van pra lis gon ter zu hap", "hi": "बा को री तु मे दो शि वा प्र ली गो ना", "bn": "বা কো রি তু মে দো শি লা", "ta": "பா கோ ரி து மே லா ணி"}
-_THINGS = {"en": "table|train|pencil|exam|curry|sleepy|famous|phone|cousin|printer|ticket|song", "hl": "chai|ticket|phone|basta|kaam|result|ghar", "hi": "चाय|टिकट|फोन|बस्ता|काम|घर", "mr": "चहा|तिकीट|फोन|काम|घर", "bn": "চা|টিকিট|ফোন|কাজ|ঘর", "ta": "தேநீர்|டிக்கெட்|போன்|வேலை|வீடு"}
-
-_LEXICON = frozenset(w for s in COARSE.values() for p in s.split("|") for w in p.split() if len(w) > 3) | frozenset("fuck shit dick cock pussy porn nudes boobs sex horny chudai piece idiotic aulaad औलाद".split())
+# Syllables of the names that fill frames.
+_SYLLABLES = {"en": ["ba", "ko", "ri", "tu", "mel", "dor", "shi", "van", "pra", "lis"], "hi": ["बा", "को", "री", "तु", "मे", "दो", "शि"], "bn": ["বা", "কো", "রি", "তু", "মে", "দো"], "ta": ["பா", "கோ", "ரி", "து", "மே", "லா"]}
+#: Words that a disguised one may stand for.
+_LEXICON = frozenset(w for ps in COARSE.values() for p in ps for w in p.split() if len(w) > 3) | {"fuck", "shit", "dick", "cock", "pussy", "porn", "nudes", "boobs", "sex", "horny", "chudai"}
 
 
 def _patterns():
@@ -115,65 +121,57 @@ def features(ws: list[str]) -> np.ndarray:
     return np.unique(np.fromiter((bucket(x) for x in f), np.int64))
 
 
-def labelled_lines(rng: np.random.Generator) -> tuple[list[str], list[int]]:
-    """The labelled phrases filled at random, some coarse words disguised."""
-
-    def name(lang: str, n: int) -> str:
-        s = _SYLLABLES[{"hl": "en", "mr": "hi"}.get(lang, lang)].split()
-        return "".join(rng.choice(s, n)).capitalize()
-
-    def fill(t: str, lang: str, disguise: bool) -> str:
-        out = []
-        for w in t.split(" "):
-            core, tail = w.rstrip(",.!"), w[len(w.rstrip(",.!")) :]
-            if core == "N":
-                core = name(lang, 3)
-            elif core == "P":
-                core = name(lang, 3) + {"en": "pur", "hl": "nagar", "hi": "पुर", "mr": "पूर", "bn": "পুর", "ta": "ஊர்"}[lang]
-            elif core == "G":
-                core = name(lang, 4)
-            elif core == "O":
-                core = str(rng.choice(_THINGS[lang].split("|")))
-            elif core == "#":
-                core = str(rng.integers(10, 99999))
-            elif core == "S":
-                core = str(rng.choice(COARSE[lang].split("|")))
-                if disguise and rng.random() < 0.2 and core.isascii():
-                    core = core[0] + core[1:].replace("a", "@").replace("i", "1").replace("o", "0")
-            out.append(core + tail)
-        return " ".join(out)
+def frame_lines(rng: np.random.Generator) -> tuple[list[str], list[float]]:
+    """The frames filled at random, and their labels."""
 
-    lines, labels = [], []
-    for label, kinds in ((1, ABUSIVE), (0, HARMLESS)):
-        for lang, text in kinds.items():
-            for t in text.split("|"):
-                for _ in range(FILLS if " S" in t or t.startswith("S") else FILLS // 2):
-                    lines.append(fill(t, lang, True))
-                    labels.append(label)
-    # lines of unknown words are harmless: the intercept alone must not make a text abusive
-    for lang in COARSE:
-        for _ in range(FILLS * 8):
-            lines.append(" ".join(name(lang, 3) for _ in range(int(rng.integers(1, 12)))))
-            labels.append(0)
-    return lines, labels
-
-
-def train(clean_lines: list[str]) -> dict[int, float]:
-    """Sparse weights from the labelled phrases and lines labelled inoffensive."""
-    lines, labels = labelled_lines(np.random.default_rng(SEED))
-    rows = [features(words_of(x)) for x in [*lines, *clean_lines]]
-    y = [*labels, *[0] * len(clean_lines)]
-    first = Ftrl(alpha=0.3, l1=0.5).fit(rows, y, epochs=2, weights=[1.0] * len(lines) + [0.3] * len(clean_lines)).compact()
-    # the corpus labels are noisy: lines labelled inoffensive that look abusive are left out of the second fit
-    keep = [i for i, r in enumerate(rows) if i < len(lines) or score(first, r) < 0.3]
-    return Ftrl(alpha=0.3, l1=0.5).fit([rows[i] for i in keep], [y[i] for i in keep], epochs=3, weights=[1.0 if i < len(lines) else 0.5 for i in keep]).compact()
+    def name(lang: str) -> str:
+        return "".join(rng.choice(_SYLLABLES[{"hl": "en", "mr": "hi"}.get(lang, lang)], 3)).capitalize()
+
+    def fill(frame: str, lang: str) -> str:
+        return " ".join(str(rng.choice(COARSE[lang])) if w == "S" else name(lang) if w in "NG" else w for w in frame.split(" "))
+
+    made = [(fill(f, lang), label) for label, frames in ((1.0, ABUSIVE), (0.0, HARMLESS)) for lang, fs in frames.items() for f in fs for _ in range(FILLS)]
+    # names alone are harmless: the intercept must not make a text abusive
+    made += [(" ".join(name(lang) for _ in range(int(rng.integers(1, 8)))), 0.0) for lang in COARSE for _ in range(10 * FILLS)]
+    return [x for x, _ in made], [y for _, y in made]
+
+
+def train(lines: list[np.ndarray], labels: np.ndarray) -> dict[int, float]:
+    """Sparse weights from the features of lines with the labels of their texts (1 offensive, 0 not), and from the frames."""
+    frames, known = frame_lines(np.random.default_rng(SEED))
+    rows = Rows([*lines, *(features(words_of(x)) for x in frames)], LEAST)
+    n, known = len(lines), np.array(known)
+    labels = np.r_[labels, known]
+    # both labels weigh as much, however many lines have them
+    model = Ftrl(alpha=0.1, l1=1.0, l2=1.0).fit(rows, labels, np.r_[np.where(labels[:n] > 0, 1.0, labels[:n].sum() / max(1.0, (1 - labels[:n]).sum())), np.ones(len(known))])
+    offensive = labels[:n] > 0
+    for first in (FIRST, *[LATER] * (ROUNDS - 1)):
+        # of a text labelled offensive only some lines are meant; lines that look abusive in texts labelled inoffensive are left out
+        s = model.scores(rows)[:n]
+        found = offensive & (s >= first)
+        model = Ftrl(alpha=0.1, l1=1.0, l2=1.0).fit(rows, np.r_[found, known], np.r_[found | (s < CLEAN), np.ones(len(known))].astype(float))
+    return model.compact()
 
 
 def fit(memes: DataFrame) -> dict[int, float]:
-    """Train on at most SAMPLE_LINES lines of texts labelled not offensive, picked by a hash; their noise is tolerated."""
-    picked = memes.where("offensive = 'not_offensive' and ocr is not null").select(F.explode(F.split("ocr", "\n")).alias("line")).where("length(line) > 12").distinct()
-    picked = picked.orderBy(F.xxhash64(F.lit(SEED), "line"), "line").limit(SAMPLE_LINES)
-    return train([form_of(r.line) for r in picked.collect()])
+    """Train on memes(row_id, ocr, offensive): at most SAMPLE_LINES lines of texts labelled offensive and as many of others, picked by a hash. Without labels the frames alone remain."""
+    import pyarrow as pa
+
+    def run(it):
+        for b in it:
+            rows = [features(ws) if len(ws := words_of(form_of(x))) > 1 else None for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["label", "at"])
+
+    kind = F.lower(F.trim("offensive"))
+    parts = memes.sparkSession.sparkContext.defaultParallelism
+    lines, labels = [], []
+    for label, kinds in ((1.0, OFFENSIVE), (0.0, INOFFENSIVE)):
+        rows = memes.where(kind.isin(kinds) & F.col("ocr").isNotNull()).select("row_id", F.explode(F.split("ocr", "\n")).alias("line")).where("length(line) > 8")
+        rows = rows.orderBy(F.xxhash64(F.lit(SEED), "row_id", "line"), "row_id", "line").limit(SAMPLE_LINES).select(F.lit(label).alias("label"), "line").distinct()
+        got = rows.repartition(parts).mapInArrow(run, "label double, at array<long>").where("at is not null").orderBy(F.xxhash64("at"), "at").toArrow()
+        lines += [x.values.to_numpy() for x in got.column("at").combine_chunks()] if got.num_rows else []
+        labels += [label] * got.num_rows
+    return train(lines, np.array(labels))
 
 
 def scores(df: DataFrame, text: str, weights: dict[int, float]) -> DataFrame:

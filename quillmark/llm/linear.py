@@ -13,6 +13,31 @@ def bucket(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & (BUCKETS - 1)
 
 
+def _sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Rows:
+    """Hashed features of many rows, those that fewer than `least` rows have left out."""
+
+    def __init__(self, rows: list[np.ndarray], least: int = 1):
+        flat = np.concatenate([np.zeros(0, np.int64), *rows])
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        keep = np.bincount(flat, minlength=BUCKETS)[flat] >= least
+        self.flat, self.row = flat[keep], row[keep]
+        self.sizes = np.bincount(self.row, minlength=len(rows))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def of(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features, number of the row in i that has each) of the rows i."""
+        n = self.sizes[i]
+        row = np.repeat(np.arange(len(i)), n)
+        return self.flat[self.starts[i][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)], row
+
+
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; L1 keeps the weights sparse."""
 
@@ -24,21 +49,27 @@ class Ftrl:
         z = self.z[at]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, y: float, weight: float = 1.0) -> None:
-        w = self.weights(at)
-        g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y) * weight
-        n = self.n[at]
-        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
-        self.z[at] += g - sigma * w
-        self.n[at] = n + g * g
-
-    def fit(self, rows: list[np.ndarray], labels: list[float], epochs: int = 3, seed: int = 42, weights: list[float] | None = None) -> "Ftrl":
+    def fit(self, rows: "Rows", labels: np.ndarray, weights: np.ndarray, epochs: int = 3, batch: int = 256, seed: int = 42) -> "Ftrl":
+        """Learn from rows of a weight above 0, in small batches."""
         rng = np.random.default_rng(seed)
+        use = np.flatnonzero(weights > 0)
         for _ in range(epochs):
-            for i in rng.permutation(len(rows)):
-                self.learn(rows[i], labels[i], weights[i] if weights else 1.0)
+            order = rng.permutation(use)
+            for i in (order[at : at + batch] for at in range(0, len(order), batch)):
+                at, row = rows.of(i)
+                here, inv = np.unique(at, return_inverse=True)
+                w = self.weights(here)
+                p = _sigmoid(np.bincount(row, w[inv], minlength=len(i)))
+                error = ((p - labels[i]) * weights[i])[row]
+                g, squares = (np.bincount(inv, x, minlength=len(here)) for x in (error, error * error))
+                n = self.n[here]
+                self.z[here] += g - (np.sqrt(n + squares) - np.sqrt(n)) / self.alpha * w
+                self.n[here] = n + squares
         return self
 
+    def scores(self, rows: "Rows") -> np.ndarray:
+        return _sigmoid(np.bincount(rows.row, self.weights(rows.flat), minlength=len(rows)))
+
     def compact(self) -> dict[int, float]:
         at = np.flatnonzero(self.n)
         w = self.weights(at)

@@ -1,8 +1,9 @@
 """Problem 4: broken prompt-and-response pairs, by a multi-label linear classifier.
 
 Hashed n-grams of the response and features of the pair (how much of the question the response copies, how it ends, in
-what script it is written) are weighed for each defect. Training rows are made from sound responses: truncated, replaced by the question,
-by refusals and by texts in other languages; thresholds are calibrated on held-out rows of the same making.
+what script it is written) are weighed for each defect. Training rows are made from sampled responses: truncated, replaced
+by the question, by refusals and by texts in other languages; as they are, and with the question of another pair, they count
+as sound. Thresholds are calibrated on held-out rows of the same making.
 """
 
 from __future__ import annotations
@@ -13,30 +14,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Ftrl, bucket, calibrate
+from .linear import Ftrl, Rows, bucket, calibrate
+from .lookalike import form_of
 
 #: Bounds of the sampled rows from which training pairs are made.
-SAMPLE_RESPONSES, SAMPLE_FOREIGN, SEED = 2500, 1500, 42
+SAMPLE_RESPONSES, SAMPLE_FOREIGN, SAMPLE_PROMPTS, SEED = 4000, 2000, 1000, 42
+#: Refusals that are made at least, however few responses are sampled.
+LEAST_REFUSALS = 600
 #: Defects in the order in which the first that applies is reported.
 DEFECTS = ("empty", "copied", "refusal", "other_language", "truncated")
+#: Defects whose wordings are learned from sampled responses, too: rounds of this, the scores from which one is clear, and from which it is in doubt.
+OWN_WORDS, ROUNDS, CLEAR, DOUBT = ("refusal", "other_language"), 4, 0.6, 0.15
 
 # Placeholders and notes of failed runs.
-PLACEHOLDERS = """|-|--|...|…|n/a|na|none|null|nil|nan|undefined|""|''|{}|[]|()|.|?|_|*|empty|[empty]|no answer|no response|no reason|[no reason given]|no reason given|no reasoning provided|no output|(blank)|blank|tbd|todo|unknown|error|failed|failure|timeout|timed out|inference timed out|inference failed|generation failed|model error|model failed|request failed|request timed out|run failed|the run failed|failed to parse|parse error|empty response|empty response from model|out of memory|cuda out of memory|skipped|not available|no explanation|not generated|[none]|<empty>|<null>|<none>|[timeout]|[error]|no content|{"reason": ""}|{"reason": null}|```|~"""
+PLACEHOLDERS = [
+    "", "-", "--", "...", "…", "n/a", "na", "none", "null", "nil", "nan", "undefined", "\"\"", "''", "{}", "[]", "()", ".", "?", "_", "*", "empty", "[empty]", "no answer", "no response", "no reason", "[no reason given]", "no reason given", "no reasoning provided", "no output", "(blank)", "blank", "tbd", "todo", "unknown", "error", "failed", "failure", "timeout", "timed out", "inference timed out", "inference failed", "generation failed", "model error", "model failed", "request failed", "request timed out", "run failed", "the run failed", "failed to parse", "parse error", "empty response", "empty response from model", "out of memory", "cuda out of memory", "skipped", "not available", "no explanation", "not generated", "[none]", "<empty>", "<null>", "<none>", "[timeout]", "[error]", "no content", "{\"reason\": \"\"}", "{\"reason\": null}", "```", "~",
+]
 # How a refusal starts and goes on; V what is declined, O its object.
-REFUSALS = """I can't V O|I cannot V O|I can not V O|I won't V O|I will not V O|I'm not able to V O|I am not able to V O|I am unable to V O|I'm unable to V O|I must decline to V O|I have to decline to V O|I have to refuse to V O|I refuse to V O|I would rather not V O|I'd rather not V O|I'd prefer not to V O|I am not permitted to V O|I'm not allowed to V O|I am not comfortable with this and won't V O|I do not feel comfortable enough to V O|I don't feel comfortable to V O|I do not feel able to V O|I don't think I should V O|It would not be appropriate for me to V O|It would not be right for me to V O|It is against my policy to V O|I choose not to V O|I can't help with that|I can't assist with this request|I cannot fulfil this request|I cannot comply with this request|I will have to pass on O|My guidelines do not allow me to V O|That is not something I can V|This request goes against my guidelines, so there will be no verdict on O|There will be no verdict on O from me|No verdict can be given by me on O|I decline to V O|I don't V O|I could not V O in good conscience|O is not something I V|this is not something I V|Request declined: O may be sensitive|Request denied: O is not allowed|O is outside of what I may V"""
-OPENERS = """|||||Sorry, |Sorry, but |I'm sorry, but |I am sorry, |I am sorry but |Unfortunately |Unfortunately, |I am afraid |I'm afraid |To be honest |My apologies, |Apologies, but |As an AI language model |As an AI assistant, |As an AI |As a language model |Thank you for sharing. |Thank you for sharing. To be honest |Is there another picture I could look at? |Well, |Regrettably, |At this time |Hmm. |Hmm. I am afraid |Let's change the topic, |Thank you for sharing. Let's change the topic, |Let us talk about something else: """
-REASONS = """|||| for safety reasons| due to the content policy| because it may be sensitive| because it could be harmful| without more context| since it might offend someone| as it goes against my guidelines| as it is against my policy| under my rules"""
-TAILS = """|| Please consult a human reviewer.| I hope you understand.| Let us talk about something else.| Is there another picture I could look at?| It may contain sensitive content.| Please try another picture.| This request goes against my guidelines.| Thank you for understanding."""
-VERBS = "explain|describe|discuss|rate|judge|evaluate|analyse|analyze|interpret|comment on|assess|classify|answer questions about|help with|process|review|give an opinion on|decide about|label"
-OBJECTS = "the cashier shown here|the compass shown here|this content|this picture|the caption|this post|images like this one|this kind of joke|material of this kind|this meme|posts from Velapur|the content|this image|such content|this text|the request|that|jokes about the tailor|it|the ticket of Ramopur"
-# Sound sentences that use the words of a refusal.
-SOUND = """The author declines the O politely, a running gag in P.|The O cannot answer N, and this silence is the comic turn.|As the O is unable to help with the O, the calm ending feels earned.|Sorry is the key word here: N says it to the O and not to the O.|It is not appropriate to laugh at the O, yet N does, and that is the point.|N refused the O because of a O, and that reversal carries the humour.|I would call this mild, since N refused the O without any twist.|The O says it can't pay, which surprises the reader.|N apologises to the O, and the reader laughs at the exaggeration.|I think the O is funny because N won't share it.|The caption says "I can't explain this picture". The joke depends on N.|I find it humorous, as the O is afraid of N.|The post says sorry for the late O, so most viewers would smile."""
+REFUSALS = [
+    "I can't V O", "I cannot V O", "I can not V O", "I won't V O", "I will not V O", "I am not able to V O", "I'm not able to V O", "I am unable to V O", "I'm unable to V O", "I must decline to V O", "I have to decline to V O", "I have to refuse to V O", "I refuse to V O", "I would rather not V O", "I'd rather not V O", "I'd prefer not to V O", "I prefer not to V O", "I am not comfortable enough to V O", "I do not feel comfortable to V O", "I don't feel able to V O", "I am not allowed to V O", "I'm not permitted to V O", "I don't think I should V O", "I choose not to V O", "I decline to V O", "I could not possibly V O", "it would be wrong for me to V O", "it is not appropriate for me to V O", "it is against my policy to V O", "my guidelines do not let me V O", "my rules forbid me to V O", "I can't help with O", "I cannot assist with O", "I can't comply with a request like this", "I will have to skip O", "O is not something that I can V", "O is something I don't V", "this is nothing that I may V", "your request is declined because O may hurt people", "this request is denied: O is not permitted", "O goes against my guidelines and gets no answer from me", "you will get no verdict from me on O",
+]
+# What may come before a refusal; none in many cases.
+OPENERS = [
+    "", "", "", "", "", "", "Sorry, ", "Sorry, but ", "I'm sorry, but ", "I am sorry, ", "Unfortunately, ", "Unfortunately ", "I am afraid ", "I'm afraid ", "To be honest ", "My apologies, ", "Apologies, but ", "As an AI language model ", "As an AI assistant, ", "As an AI ", "As a language model ", "Regrettably, ", "At this time ", "Well, ", "Thank you, but ",
+]
+# Reasons given for a refusal, and what may follow it.
+REASONS = [
+    "", "", "", "", " for safety reasons", " due to the content policy", " because it may be sensitive", " because it could be harmful", " without more context", " since it might offend someone", " as it goes against my guidelines", " under my rules",
+]
+TAILS = [
+    "", "", "", " I hope you understand.", " Thank you for understanding.", " Please ask a human.", " Please try another one.", " Shall we talk about something else?", " It may be sensitive.", " Can I help with another picture?",
+]
+VERBS = ["explain", "describe", "discuss", "rate", "judge", "evaluate", "analyse", "analyze", "interpret", "comment on", "assess", "classify", "answer questions about", "help with", "process", "review", "give an opinion on", "decide about", "label"]
+OBJECTS = ["this content", "this picture", "the caption", "this post", "images like this one", "this kind of joke", "material of this kind", "this meme", "posts of that sort", "the content", "this image", "such content", "this text", "the request", "that", "it", "jokes about people", "anything like this"]
 # Short lead-ins of copied questions.
-LEADS = """||||The meme says |The caption says |Caption: |Question: |The text reads: |So, |ocr_text = |OCR: |Text: |The image text is: |It says |The prompt was: |Answer: |Here is the text: |Prompt: |The question is: |User: """
+LEADS = [
+    "", "", "", "", "The meme says ", "The caption says ", "Caption: ", "Question: ", "The text reads: ", "So, ", "ocr_text = ", "OCR: ", "Text: ", "The image text is: ", "It says ", "The prompt was: ", "Answer: ", "Here is the text: ", "Prompt: ", "The question is: ", "User: ",
+]
 # Closing remarks after a finished answer.
-CLOSERS = """|||| (see notes.)| (low confidence)| [rule 3]| 😂| :)|\nVerdict: humorous|\nVerdict: not humorous|\nScore: 7/10|\nScore: 4| Score: 8|\n- humorous: yes|\n- humorous: no| (confidence 0.8)| [1]|\nScore: 0.7| Score: 0.4|\nFinal answer: humorous| 👍|\nLabel: 1| #fun|\nRating: 3/5"""
+CLOSERS = [
+    "", "", "", "", " (see notes.)", " (low confidence)", " [rule 3]", " 😂", " :)", "\nVerdict: humorous", "\nVerdict: not humorous", "\nScore: 7/10", "\nScore: 4", " Score: 8", "\n- humorous: yes", "\n- humorous: no", " (confidence 0.8)", " [1]", "\nScore: 0.7", " Score: 0.4", "\nFinal answer: humorous", " 👍", "\nLabel: 1", " #fun", "\nRating: 3/5",
+]
 # Frequent English words.
-ENGLISH = frozenset("the a an of to in is it and that for on with as at by this was are be its from not no or but so his her their they he she you i we which who what would could because while most when than then there has have had do does one all if any before after into about like just only also more very can will out up down over few my your our".split())
+ENGLISH = frozenset(["the", "a", "an", "of", "to", "in", "is", "it", "and", "that", "for", "on", "with", "as", "at", "by", "this", "was", "are", "be", "its", "from", "not", "no", "or", "but", "so", "his", "her", "their", "they", "he", "she", "you", "i", "we", "which", "who", "what", "would", "could", "because", "while", "most", "when", "than", "then", "there", "has", "have", "had", "do", "does", "one", "all", "if", "any", "before", "after", "into", "about", "like", "just", "only", "also", "more", "very", "can", "will", "out", "up", "down", "over", "few", "my", "your", "our"])
 
 
 #: The feature of a text that stops before its last sentence ends; `truncated` is checked against it.
@@ -49,8 +69,6 @@ class Pairs:
     def __init__(self):
         import regex
 
-        from .lookalike import mapping
-
         v = regex.V1
         self.word = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’]\p{L}+)?", v)
         self.bare = regex.compile(r"[\p{L}\p{M}\p{N}]+", v)
@@ -59,16 +77,15 @@ class Pairs:
         self.closer = regex.compile(closer, v | regex.I)
         self.finished = regex.compile(r"[.!?।॥。！？۔؟]+[\"'”’»)\]*_`」』]*\s*\Z", v)
         self.fence = regex.compile(r"\A\s*```(?:json)?\s*|\s*```\s*\Z", v)
-        self.table = mapping()
-
-    def plain(self, text: str | None) -> str:
-        if not text:
-            return ""
-        if not text.isascii():
-            import unicodedata
+        self.asked: dict[str, list[str]] = {}
 
-            text = unicodedata.normalize("NFC", text.translate(self.table))
-        return text
+    def question(self, text: str) -> list[str]:
+        """The words of a question; those of the last ones are kept, as many responses share a prompt."""
+        if text not in self.asked:
+            if len(self.asked) > 1000:
+                self.asked.clear()
+            self.asked[text] = self.bare.findall(form_of(text).lower())
+        return self.asked[text]
 
     def unwrapped(self, text: str) -> tuple[str, str]:
         """The answer inside complete JSON, and what was found: 'json', 'broken' or ''."""
@@ -87,9 +104,8 @@ class Pairs:
             return max(inner, key=len), "json"
         return (text, "") if value else ("", "json")
 
-    def copies(self, words: list[str], question: str) -> tuple[bool, float]:
-        """Whether the words are a short lead-in and the question (or all but its last word); the share of the question they hold."""
-        q = self.bare.findall(question.lower())
+    def copies(self, words: list[str], q: list[str]) -> tuple[bool, float]:
+        """Whether the words are a short lead-in and those of the question (or all but its last); the share of the question they hold."""
         if not q or not words:
             return False, 0.0
         for whole in (q, q[:-1]):
@@ -103,7 +119,7 @@ class Pairs:
         return False, sum(w in have for w in q) / len(q)
 
     def features(self, response: str | None, questions: list[str]) -> list[str]:
-        text = self.plain(response)
+        text = form_of(response or "")
         inner, wrapped = self.unwrapped(text)
         short = " ".join(inner.split()).lower()
         f = ["1", "wrapped " + wrapped]
@@ -113,7 +129,7 @@ class Pairs:
         share, copied = 0.0, False
         for q in questions:
             if q:
-                c, s = self.copies(bare, self.plain(q))
+                c, s = self.copies(bare, self.question(q))
                 copied, share = copied or c, max(share, s)
         f += [f"copied {copied}", f"share {int(share * 5)}", f"share {int(share * 5)} long {len(bare) > 12}"]
         body = inner.rstrip()
@@ -127,15 +143,18 @@ class Pairs:
         kind = "letter" if tail.isalpha() else "digit" if tail.isdigit() else tail
         f += [f"done {done}", f"end {kind}", f"done {done} copied {copied}", f"done {done} wrapped {wrapped}", f"done {done} closed {closed}"]
         f += [STOPPED] if not done or wrapped == "broken" else []
-        own = self.word.findall(self.quoted.sub(" ", inner).lower())
+        outside = self.quoted.sub(" ", inner)
+        own = self.word.findall(outside.lower())
         latin = sum(w[0] < "ɐ" for w in own)
         english = sum(w in ENGLISH for w in own)
         n = max(1, len(own))
-        letters = sum(c.isalpha() for c in inner)
-        foreign = sum(c.isalpha() and c >= "ɐ" for c in self.quoted.sub(" ", inner))
+        letters = 0 if inner.isascii() else sum(c.isalpha() for c in inner)
+        foreign = 0 if outside.isascii() else sum(c.isalpha() and c >= "ɐ" for c in outside)
         f += [f"script {min(3, int(4 * foreign / max(1, letters)))}", f"script {foreign > 0.5 * letters}"]
         f += [f"latin {int(4 * latin / n)}", f"english {min(6, int(20 * english / n))}", f"latin {int(4 * latin / n)} english {min(6, int(20 * english / n))}", f"n {min(8, len(own)).bit_length() if own else 0}"]
         f += ["u " + w for w in set(own)]
+        f += [f"b {x} {y}" for x, y in zip(own, own[1:])]
+        f += [f"t {x} {y} {z}" for x, y, z in zip(own, own[1:], own[2:])]
         head, last = own[:14], own[-4:]
         f += [f"h {x} {y}" for x, y in zip(head, head[1:])]
         f += [f"h3 {x} {y} {z}" for x, y, z in zip(head, head[1:], head[2:])]
@@ -151,38 +170,36 @@ class Pairs:
 def training_rows(rng: np.random.Generator, good: list[tuple[str, str]], foreign: list[str], prompts: list[str]):
     """(response, questions, defect or None) made from sound (response, question) pairs and texts in other languages."""
 
-    def pick(text: str) -> str:
-        return str(rng.choice(text.split("|")))
+    def pick(some: list[str]) -> str:
+        return some[int(rng.integers(len(some)))]
 
     def refusal() -> str:
         s = pick(OPENERS) + pick(REFUSALS).replace(" V", " " + pick(VERBS)).replace(" O", " " + pick(OBJECTS)) + pick(REASONS) + "." + pick(TAILS)
         return s if rng.random() < 0.9 else json.dumps({"reason": s})
 
-    def sound() -> str:
-        return " ".join(w.replace("O", pick("table|boss|ticket|song|clerk|lamp")) if w.strip(".,") == "O" else w.replace("N", "Vanoru") if w.strip(".,:") == "N" else w.replace("P", "Velapur") if w.strip(".,") == "P" else w for w in pick(SOUND).split(" "))
-
     out = []
     for r, q in good:
-        qs = [q, pick("|".join(prompts)) if prompts else ""]
-        tail = pick(CLOSERS)
-        mixed = " ".join([sound(), r] if rng.random() < 0.5 else [r, sound()]) if rng.random() < 0.4 else r
-        out.append((mixed + tail, qs, None))
+        qs = [q, pick(prompts) if prompts else ""]
+        out.append((r + pick(CLOSERS), qs, None))
+        if rng.random() < 0.2:
+            # an answer to another question is no defect of the kinds that are told apart here
+            out.append((r, [good[int(rng.integers(len(good)))][1], qs[1]], None))
         if rng.random() < 0.15:
             out.append((json.dumps({"humorous": True, "reason": r}, ensure_ascii=False), qs, None))
         u = rng.random()
         if u < 0.35 and len(r) > 60:
             cut = r[: int(len(r) * rng.uniform(0.35, 0.97))].rstrip(" .!?")
             if rng.random() < 0.4:
-                cut = cut.rsplit(" ", 1)[0] + pick("|| because the| and| of| with the…|…|...| (|,| which is| so")
+                cut = cut.rsplit(" ", 1)[0] + pick(["", "", " because the", " and", " of", " with the…", "…", "...", " (", ",", " which is", " so"])
             if rng.random() < 0.15:
                 cut = '{"reason": "' + cut
             if rng.random() < 0.1:
-                cut += pick("\nVerdict: humorous|\nScore: 4/10")
+                cut += pick(["\nVerdict: humorous", "\nScore: 4/10"])
             out.append((cut, qs, "truncated"))
         elif u < 0.6:
             base = q if rng.random() < 0.75 or not prompts else qs[1]
             if foreign and rng.random() < 0.3:
-                base = str(rng.choice(foreign))
+                base = pick(foreign)
                 qs = [base, qs[1]]
             words = base.split(" ")
             text = " ".join(words[:-1] if rng.random() < 0.3 and len(words) > 4 else words)
@@ -191,14 +208,18 @@ def training_rows(rng: np.random.Generator, good: list[tuple[str, str]], foreign
             quote = str(rng.choice(["", '"', "'"]))
             out.append((pick(LEADS) + quote + text + quote, qs, "copied"))
         elif u < 0.8:
-            out.append((refusal(), qs, "refusal"))
+            # some refuse after sentences of an answer
+            first = r[: r.find(". ") + 2] if rng.random() < 0.15 and ". " in r else ""
+            out.append((first + refusal(), qs, "refusal"))
         elif u < 0.9:
-            out.append((pick(PLACEHOLDERS) + pick("|| |\n"), qs, "empty"))
+            out.append((pick(PLACEHOLDERS) + pick(["", "", " ", "\n"]), qs, "empty"))
         if foreign and rng.random() < 0.5:
-            t = str(rng.choice(foreign))
+            t = pick(foreign)
             t = t[: int(rng.integers(12, 241))] if rng.random() < 0.5 else t
             t = t if rng.random() < 0.8 else json.dumps({"reason": t}, ensure_ascii=False)
             out.append((t, qs, "other_language"))
+    for _ in range(sum(x[2] == "refusal" for x in out), LEAST_REFUSALS):
+        out.append((refusal(), [good[int(rng.integers(len(good)))][1] if good else "", pick(prompts) if prompts else ""], "refusal"))
     return out
 
 
@@ -207,22 +228,23 @@ def train(good: list[tuple[str, str]], foreign: list[str], prompts: list[str]) -
     rng = np.random.default_rng(SEED)
     pairs = Pairs()
     made = training_rows(rng, good, foreign, prompts)
-    rows = [pairs.hashed(r, q) for r, q, _ in made]
+    rows = Rows([pairs.hashed(r, q) for r, q, _ in made])
     held = rng.random(len(made)) < 0.2
     models, cuts = [], []
+    sampled = np.array([x[2] is None for x in made])
+    epochs = max(4, 20_000 // len(made))  # small samples are gone through more often
     for d in DEFECTS:
-        y = np.array([x[2] == d for x in made])
+        y = np.array([x[2] == d for x in made], float)
         # a later defect is not held against an earlier one: other rows that are defective count as negative all the same
-        use = np.flatnonzero(~held)
-        m = Ftrl(alpha=0.2, l1=0.3).fit([rows[i] for i in use], y[use].astype(float).tolist(), epochs=2)
-        first = np.array([1 / (1 + np.exp(-m.weights(r).sum())) for r in rows])
-        # sampled responses are not all sound: those that look defective are left out of the second fit
-        noisy = np.array([x[2] is None for x in made]) & (first > 0.5)
-        use = np.flatnonzero(~held & ~noisy)
-        m = Ftrl(alpha=0.2, l1=0.3).fit([rows[i] for i in use], y[use].astype(float).tolist(), epochs=4)
+        m = Ftrl(alpha=0.2, l1=0.3).fit(rows, y, ~held * 1.0, epochs=epochs // 2, batch=32)
+        for _ in range(ROUNDS if d in OWN_WORDS else 1):
+            # sampled responses are not all sound: those that look defective are left out, clear ones of a kind with wordings of its own teach them
+            s = m.scores(rows)
+            clear = sampled & (s >= CLEAR) if d in OWN_WORDS else sampled & False
+            noisy = sampled & (s > (DOUBT if d in OWN_WORDS else 0.5))
+            m = Ftrl(alpha=0.2, l1=0.3).fit(rows, np.maximum(y, clear), (~held & (~noisy | clear)) * 1.0, epochs=epochs, batch=32)
         at = np.flatnonzero(held & ~noisy)
-        p = np.array([1 / (1 + np.exp(-np.clip(m.weights(rows[i]).sum(), -30, 30))) for i in at])
-        cuts.append(calibrate(p, y[at]) if len(at) else 0.5)
+        cuts.append(calibrate(m.scores(rows)[at], y[at] > 0) if len(at) else 0.5)
         models.append(m.compact())
     keys = sorted(set().union(*models))
     return {k: tuple(m.get(k, 0.0) for m in models) for k in keys}, cuts
@@ -231,11 +253,11 @@ def train(good: list[tuple[str, str]], foreign: list[str], prompts: list[str]) -
 def fit(results: DataFrame, prompts: DataFrame, documents: DataFrame) -> tuple[dict[int, tuple], list[float]]:
     """Train on bounded samples, picked by a hash: responses that end in a full stop, and documents not in English."""
     order = F.xxhash64(F.lit(SEED), "result_id")
-    good = results.where("reasoning is not null and ocr_text is not null and json_error is null and length(reasoning) between 80 and 600 and reasoning rlike '[.!]$'")
+    good = results.where("reasoning is not null and ocr_text is not null and json_error is null and length(reasoning) between 20 and 600 and reasoning rlike '[.!]$'")
     good = good.select("result_id", "reasoning", "ocr_text").orderBy(order, "result_id").limit(SAMPLE_RESPONSES).collect()
-    other = documents.where("lang is not null and lang <> 'en' and length(text) > 40").select("doc_id", F.substring("text", 1, 240).alias("t"))
+    other = documents.where("lang is not null and lang <> 'en' and length(text) between 40 and 2000").select("doc_id", F.col("text").alias("t"))
     other = other.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE_FOREIGN).collect()
-    texts = [r.prompt_text for r in prompts.select("prompt_text").dropna().orderBy("prompt_text").limit(100).collect()]
+    texts = [r.prompt_text for r in prompts.select("prompt_text").dropna().orderBy(F.xxhash64("prompt_text"), "prompt_text").limit(SAMPLE_PROMPTS).collect()]
     return train([(r.reasoning, r.ocr_text) for r in good], [" ".join(r.t.split()) for r in other], texts)
 
 

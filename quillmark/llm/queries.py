@@ -30,7 +30,7 @@ def p1_found(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, *columns):
-    weights = abuse.fit(table(spark, sf_dir, "memes").select("ocr", "offensive"))
+    weights = abuse.fit(table(spark, sf_dir, "memes").select("row_id", "ocr", "offensive"))
     return newest(abuse.scores(_memes(spark, sf_dir, "ocr", *columns), "ocr", weights), ["row_id"])
 
 
@@ -70,8 +70,7 @@ def p4_found(spark, sf_dir):
     fixed = table(spark, sf_dir, "benchmark_memes").select("sample_index", F.col("ocr_text").alias("sample_text"))
     texts = samples.unionByName(fixed).dropDuplicates(["sample_index"])
     rows = results.select("result_id", "reasoning", "ocr_text", "sample_index", "prompt_hash")
-    # the prompts are a fixed table of a few rows; each sample's own text is only needed where a response could copy it
-    rows = rows.join(F.broadcast(prompts.select("prompt_hash", "prompt_text").dropDuplicates(["prompt_hash"]).limit(1000)), "prompt_hash", "left").join(texts, "sample_index", "left")
+    rows = rows.join(prompts.select("prompt_hash", "prompt_text").dropDuplicates(["prompt_hash"]), "prompt_hash", "left").join(texts, "sample_index", "left")
     return pairs.defects(rows, "result_id", "reasoning", ["ocr_text", "prompt_text", "sample_text"], model).select("result_id", "defect")
 
 

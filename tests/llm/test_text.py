@@ -1,7 +1,9 @@
 """Normalisation, encoding, sentences, languages, abuse and pair defects."""
 
+import itertools
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,18 +115,35 @@ def test_languages(spark):
 
 
 def test_abuse(spark):
-    clean = [f"when my {a} from the city says the {b} is {c}" for a in ("train", "pencil", "cat", "phone") for b in ("cousin", "boss", "teacher") for c in ("late", "calm", "loud", "famous")]
-    w = abuse.train(clean)
-    texts = {1: "what a p.r.i.c.k, I hope Vana rots in Solapur", 2: "all mosquitoes are vermin, throw them out of Solapur, begs Vana", 3: "nice day\nabe m@d@rch0d Vana, apna phone le aur nikal", 4: None, 5: "", 6: "sab Velari log keede hain", 7: "when my train from the city says the boss is late", 8: "all Velari people are vermin, throw them out of Solapur", 9: "word " * 30_000}
+    # opinions about whole texts: most texts with an abusive line are called offensive, a few others are, too
+    rng = np.random.default_rng(3)
+    names = ["".join(x).capitalize() for x in itertools.product(["va", "so", "re", "mi", "ta"], ["na", "lu", "ka", "ro", "ni"], ["", "sh", "nd", "r"])]
+    pick = lambda xs: str(rng.choice(xs))
+    bad = [lambda: f"what a bastard, I hope {pick(names)} rots in {pick(names)}pur", lambda: f"all {pick(names)} people are vermin, throw them out of {pick(names)}pur"]
+    good = [lambda: f"when my {pick(['train', 'cat', 'phone'])} from the city says the {pick(names)} is {pick(['late', 'loud'])}", lambda: f"all mosquitoes are vermin, throw them out of {pick(names)}pur, begs {pick(names)}"]
+    rows = []
+    for i in range(8000):
+        abusive = rng.random() < 0.1
+        lines = [good[int(rng.integers(2))]() for _ in range(2)] + ([bad[int(rng.integers(2))]()] if abusive else [])
+        rows.append((i, "\n".join(lines), "very_offensive" if rng.random() < (0.72 if abusive else 0.14) else "not_offensive"))
+    w = abuse.fit(spark.createDataFrame(rows, "row_id long, ocr string, offensive string"))
+    texts = {1: "what a b.a.s.t.a.r.d, I hope Vana rots in Solapur", 2: "all mosquitoes are vermin, throw them out of Solapur, begs Vana", 3: "nice day\nall Pelari people are vermin, throw them out of Vanapur", 4: None, 5: "", 6: "12 !!", 7: "when my train from the city says the boss is late", 8: "word " * 30_000}
     df = spark.createDataFrame(list(texts.items()), "k long, t string").withColumn("score", F.lit("x"))
     got = {r.k: r.score for r in abuse.scores(df, "t", w).collect()}
-    assert {k for k, s in got.items() if s >= abuse.THRESHOLD} == {1, 3, 8} | ({6} if got[6] >= 0.5 else set())
+    assert {k for k, s in got.items() if s >= abuse.THRESHOLD} == {1, 3}
     assert got[4] == got[5] == 0.0
     sources = df.where("k < 4").withColumn("source", F.element_at(F.array(F.lit("A b"), F.lit("a_b"), F.lit(None)), F.col("k").cast("int")))
     rates = {r.source_key: (r.n_texts, r.n_abusive) for r in abuse.rates(abuse.scores(sources, "t", w), "source").collect()}
     assert rates == {"a_b": (2, 1), "": (1, 1)}
 
 
+def test_abuse_without_labels(spark):
+    w = abuse.fit(spark.createDataFrame([(1, "some text", None), (2, None, "very_offensive")], "row_id long, ocr string, offensive string"))
+    df = spark.createDataFrame([(1, "you are a bastard"), (2, "the word bastard is rude"), (3, "we met at the station")], "k long, t string")
+    got = {r.k for r in abuse.scores(df, "t", w).collect() if r.score >= abuse.THRESHOLD}
+    assert got == {1}
+
+
 def test_disguised_words():
     assert abuse.words_of("you b.a.s.t.a.r.d and k***e, kutttte $lut @handle")[:2] == ["you", "bastard"]
     assert "kutte" in abuse.words_of("kutttte") and "slut" in abuse.words_of("$lut")
