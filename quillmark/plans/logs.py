@@ -87,9 +87,9 @@ def config_mismatch(t):
 @query("""WITH b AS (SELECT meme_id, any_value(ground_truth) AS g FROM benchmark_memes GROUP BY 1)
 SELECT result_id, coalesce(b.g, 1)::INTEGER AS gold, b.g IS NOT NULL AS known FROM inference_results r LEFT JOIN b ON b.meme_id = r.meme_id""")
 def gold_lookup(t):
-    """Gold label of the benchmark meme of each row, with a default. The benchmark is a fixed table."""
+    """Gold label of the benchmark meme of each row, with a default."""
     gold = t.benchmark_memes.groupBy("meme_id").agg(F.max("ground_truth").alias("g"))
-    return t.inference_results.select("result_id", "meme_id").join(F.broadcast(gold.limit(10_000)), "meme_id", "left").select("result_id", F.coalesce("g", F.lit(1)).alias("gold"), F.col("g").isNotNull().alias("known"))
+    return t.inference_results.select("result_id", "meme_id").join(gold, "meme_id", "left").select("result_id", F.coalesce("g", F.lit(1)).alias("gold"), F.col("g").isNotNull().alias("known"))
 
 
 @query("""WITH s AS (SELECT sample_index, image_filename, row_number() OVER (PARTITION BY image_filename ORDER BY sample_index) AS rn FROM sample_manifest WHERE image_filename IS NOT NULL AND sample_index IS NOT NULL)
@@ -98,7 +98,7 @@ def restore_order(t):
     """For each key of an ordered list the first matching sample; keys without one are dropped."""
     want = t.benchmark_memes.select(F.col("sample_index").alias("ordinal"), F.replace("image_filename", F.lit("bench_0"), F.lit("train_10")).alias("image_filename"))
     first = t.sample_manifest.dropna(subset=["image_filename", "sample_index"]).groupBy("image_filename").agg(F.min("sample_index").alias("sample_index"))
-    return first.join(F.broadcast(want.limit(10_000)), "image_filename").select("ordinal", "sample_index", "image_filename")
+    return first.join(want, "image_filename").select("ordinal", "sample_index", "image_filename")
 
 
 @query("""SELECT result_id, json_valid(drishtikon_diagnostics) AS ok, CASE WHEN json_valid(drishtikon_diagnostics) THEN json_array_length(drishtikon_diagnostics)::INTEGER END AS n_entries,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, categories, content_tokens, sanitize
-from ..operators.retrieval import cosine, idf, postings, sparse_scores, top_k, weights
+from ..functions.text import STATES, STOPWORDS, STRUCTURAL, categories, content_tokens, is_structural, sanitize, state_tokens
+from ..operators.retrieval import idf, nearest, postings, sparse_scores, top_k, weights
 from .registry import CORPUS, query
 from .texts import TAGS_SQL, _sql_list
 
-K, LEAST = 3, 0.15
+#: Documents of a query, least similarity, similarity from which no shared words are asked for, greatest distance of vectors.
+K, LEAST, SURE, FAR = 3, 0.25, 0.45, 0.65
 
 _TERMS = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stop}, w))"
 _POST = "(SELECT {k}, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM (SELECT {k}, " + _TERMS + " AS w FROM {t}))"
@@ -31,10 +32,7 @@ def _scores(t):
     post = postings(docs, "entry_id", "content", STOPWORDS)
     idfs = idf(post, docs.count())
     dw = weights(post, idfs, "entry_id").withColumnRenamed("entry_id", "d")
-    # only words of the vocabulary can score: the queries' postings are cut down to them before they are shuffled
-    q = t.corpus("ocr").select(F.col("row_id").alias("q"), F.col("ocr").alias("text"))
-    qw = weights(postings(q, "q", "text", STOPWORDS), idfs, "q")
-    return sparse_scores(qw, dw)
+    return sparse_scores(t.corpus("ocr").select(F.col("row_id").alias("q"), "ocr"), "ocr", STOPWORDS, idfs, dw)
 
 
 @query(f"WITH {_INDEX} SELECT row_id, entry_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, entry_id DESC)::INTEGER AS rank FROM s WHERE score >= {LEAST} QUALIFY rank <= {K}")
@@ -42,38 +40,36 @@ def tfidf_topk(t):
     return top_k(_scores(t), "q", "d", "score", K, LEAST).select(F.col("q").alias("row_id"), F.col("d").alias("entry_id"), "score", "rank")
 
 
-_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}') AND NOT list_contains({stop}, w)))"
+_LATIN = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}')))"
 
 
-@query(f"""WITH {_INDEX}, qt AS (SELECT row_id, {_CONTENT.format(c='ocr', stop=_sql_list(STOPWORDS))} AS a FROM corpus), dt AS (SELECT entry_id, {_CONTENT.format(c='content', stop=_sql_list(STOPWORDS))} AS b FROM cultural_documents),
-g AS (SELECT s.*, len(list_intersect(a, b)) AS shared FROM s JOIN qt USING (row_id) JOIN dt USING (entry_id) WHERE score >= {LEAST})
-SELECT row_id, entry_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, entry_id DESC)::INTEGER AS rank FROM g WHERE score >= 0.45 OR shared >= 2 QUALIFY rank <= {K}""")
+def _latin(c):
+    """SQL of content words and state words of a column."""
+    ws = _LATIN.format(c=c)
+    return f"list_filter({ws}, lambda w: NOT list_contains({_sql_list([*STOPWORDS, *STATES, *STRUCTURAL])}, w))", f"list_intersect({ws}, {_sql_list(STATES)})"
+
+
+@query(f"""WITH {_INDEX}, qt AS (SELECT row_id, {_latin('ocr')[0]} AS a, {_latin('ocr')[1]} AS sa, list_has_any({_LATIN.format(c='ocr')}, {_sql_list(STRUCTURAL)}) AS asks FROM corpus), dt AS (SELECT entry_id, {_latin('content')[0]} AS b, {_latin('content')[1]} AS sb FROM cultural_documents),
+g AS (SELECT s.*, len(list_intersect(a, b)) AS shared, len(list_intersect(sa, sb)) AS places, asks FROM s JOIN qt USING (row_id) JOIN dt USING (entry_id) WHERE score >= {LEAST})
+SELECT row_id, entry_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, entry_id DESC)::INTEGER AS rank FROM g WHERE score >= {SURE} OR (CASE WHEN asks THEN shared >= 2 OR (shared >= 1 AND places >= 1) ELSE shared >= 1 END) QUALIFY rank <= {K}""")
 def tfidf_gated_topk(t):
-    """Scores under 0.45 need two shared words of content; what the gate rejects takes no place among the k."""
-    q = t.corpus("ocr").select(F.col("row_id").alias("q"), content_tokens(F.col("ocr"), STOPWORDS).alias("a"))
-    d = t.cultural_documents.select(F.col("entry_id").alias("d"), content_tokens(F.col("content"), STOPWORDS).alias("b"))
-    s = _scores(t).where(F.col("score") >= LEAST).join(q, "q").join(d, "d").where((F.col("score") >= 0.45) | (F.size(F.array_intersect("a", "b")) >= 2))
+    """Scores under SURE need a shared word of content; queries with words of questions need two, or one and a shared state. What the gate rejects takes no place among the k."""
+    text = F.col("ocr")
+    q = t.corpus("ocr").select(F.col("row_id").alias("q"), content_tokens(text, STOPWORDS).alias("a"), state_tokens(text).alias("sa"), is_structural(text).alias("asks"))
+    d = t.cultural_documents.select(F.col("entry_id").alias("d"), content_tokens(F.col("content"), STOPWORDS).alias("b"), state_tokens(F.col("content")).alias("sb"))
+    s = _scores(t).where(F.col("score") >= LEAST).join(q, "q").join(d, "d")
+    shared, places = F.size(F.array_intersect("a", "b")), F.size(F.array_intersect("sa", "sb"))
+    s = s.where((F.col("score") >= SURE) | F.when(F.col("asks"), (shared >= 2) | (shared >= 1) & (places >= 1)).otherwise(shared >= 1))
     return top_k(s, "q", "d", "score", K).select(F.col("q").alias("row_id"), F.col("d").alias("entry_id"), "score", "rank")
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS q, v AS qv FROM e WHERE vec_id % 50 = 0),
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS q, v AS qv FROM e WHERE vec_id % 50 = 0),
 s AS (SELECT q, vec_id AS d, round(list_cosine_similarity(qv, v), 6) AS score FROM q JOIN e ON vec_id <> q), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d DESC)::INTEGER AS rank FROM s QUALIFY rank <= 3)
-SELECT q, d, score, rank FROM r WHERE 1 - score <= 0.75""")
+SELECT q, d, score, rank FROM r WHERE 1 - score <= {FAR}""")
 def vector_topk(t):
-    """Three nearest vectors of every vector whose id is divisible by 50, then a bound on the distance.
-
-    The stated query set is scored against all rows in blocks: it is cut into blocks of 512 queries, and a block meets the
-    rows as one broadcast array; partial top-3 lists are kept per task before the shuffle.
-    """
-    e = t.embeddings.select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").withColumn("block", F.floor(F.col("vec_id") / (50 * 512)))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))).alias("qs"))
-    last = q.agg(F.max("block")).first()[0] or 0
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(blocks, "block")
-    s = rows.select(F.col("vec_id").alias("d"), "embedding", F.explode("qs").alias("x")).where("d <> x.q").select(F.col("x.q").alias("q"), "d", F.round(cosine(F.col("x.qv"), F.col("embedding")), 6).alias("score"))
-    best = s.groupBy("q", F.pmod("d", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "d")), asc=False), 1, 3).alias("top"))
-    best = best.select("q", F.explode("top").alias("x")).select("q", "x.d", "x.score")
-    return top_k(best, "q", "d", "score", 3).where(1 - F.col("score") <= 0.75).select("q", "d", "score", "rank")
+    """Three nearest vectors of every vector whose id is divisible by 50 (the stated query set, against all rows in blocks), then a bound on the distance."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(e, e.where("id % 50 = 0"), 3).where(1 - F.col("score") <= FAR).select("q", "d", "score", "rank")
 
 
 _DOC_CAT = {"JEE/exams": "exams", "Bollywood": "cinema", "marriage/wedding": "marriage"}
@@ -86,10 +82,10 @@ def _category(c):
 @query(f"""WITH {CORPUS}, x AS (SELECT row_id, {TAGS_SQL.replace('{0}', 'ocr')} AS tags FROM corpus), y AS (SELECT row_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM x)
 SELECT row_id, string_agg('- ' || upper(tag) || ': ' || title, chr(10) ORDER BY pos) AS context FROM y JOIN cultural_documents d ON d.category = CASE tag WHEN 'JEE/exams' THEN 'exams' WHEN 'Bollywood' THEN 'cinema' WHEN 'marriage/wedding' THEN 'marriage' ELSE tag END GROUP BY 1""")
 def category_context(t):
-    """Bullets of the knowledge titles of a meme's categories, in their order. The knowledge table is fixed and small."""
+    """Bullets of the knowledge titles of a meme's categories, in their order."""
     tags = t.corpus("ocr").select("row_id", F.posexplode(categories(F.col("ocr"))).alias("pos", "tag"))
-    docs = t.cultural_documents.select(F.col("category").alias("key"), "title").limit(10_000)
-    hit = tags.withColumn("key", _category(F.col("tag"))).join(F.broadcast(docs), "key")
+    docs = t.cultural_documents.select(F.col("category").alias("key"), "title")
+    hit = tags.withColumn("key", _category(F.col("tag"))).join(docs, "key")
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.upper("tag"), F.lit(": "), F.col("title")).alias("x")))), lambda s: s["x"])
     return hit.groupBy("row_id").agg(F.array_join(line, "\n").alias("context"))
 
@@ -98,7 +94,7 @@ def category_context(t):
 def build_context(t):
     """Search text, context section and sources of each meme: sanitised text and categories, best documents, attribution. Composed of tested parts."""
     q = t.corpus("ocr").select("row_id", sanitize(F.col("ocr")).alias("clean"), F.array_except(categories(F.col("ocr")), F.array(F.lit("none"))).alias("tags"))
-    hits = tfidf_topk(t).join(F.broadcast(t.cultural_documents.select("entry_id", "title", "content").limit(10_000)), "entry_id")
+    hits = tfidf_topk(t).join(t.cultural_documents.select("entry_id", "title", "content"), "entry_id")
     per = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry_id", F.concat_ws(": ", "title", "content").alias("text")))).alias("h"))
     out = q.join(per, "row_id", "left")
     return out.select("row_id", F.concat_ws(" ", "clean", F.array_join("tags", " ")).alias("search_text"), F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("context"), F.array_join(F.transform("h", lambda x: x["entry_id"]), "|").alias("sources"))

@@ -128,8 +128,8 @@ def manifest_errors(t):
         known = s.dropna(subset=["manifest_id", column])
         first = known.groupBy("manifest_id", column).agg(F.min("sample_index").alias("first"), F.count("*").alias("n")).where("n > 1")
         out.append(rows(known.join(first, ["manifest_id", column]).where("sample_index > first"), rule, F.col("first")))
-    b = t.benchmark_memes.select("image_filename", F.col("sample_index").alias("ref")).dropna().dropDuplicates(["image_filename"]).limit(10_000)
-    out.append(rows(s.join(F.broadcast(b), "image_filename"), "quarantined_file", F.col("ref")))
+    b = t.benchmark_memes.select("image_filename", F.col("sample_index").alias("ref")).dropna().dropDuplicates(["image_filename"])
+    out.append(rows(s.join(b, "image_filename"), "quarantined_file", F.col("ref")))
     texts = fuzzy_dupes(t).where("field_name = 'ocr_text'").select(F.col("cand").alias("sample_index"), "ref").join(of, "sample_index")
     out.append(rows(texts, "quarantined_text", F.col("ref")))
     out.append(rows(quarantine_first_hits(t).withColumnRenamed("cand", "sample_index").join(of, "sample_index"), "quarantined_sample", F.col("ref")))
@@ -184,7 +184,7 @@ def instruction_records(t):
 @query("""SELECT r.result_id, p.prompt_text || CASE WHEN trim(coalesce(r.ocr_text, '')) <> '' THEN chr(10) || 'Text: ' || r.ocr_text ELSE '' END || CASE WHEN trim(coalesce(r.retrieved_context, '')) <> '' THEN chr(10) || 'Notes: ' || r.retrieved_context ELSE '' END AS message
 FROM inference_results r JOIN prompts p USING (prompt_hash)""")
 def prompt_messages(t):
-    """Prompts with their sections; a section without text is left out. The prompts are a fixed table."""
+    """Prompts with their sections; a section without text is left out."""
     part = lambda name, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"\n{name}: "), F.col(c))).otherwise("")
-    r = t.inference_results.select("result_id", "prompt_hash", "ocr_text", "retrieved_context").join(F.broadcast(t.prompts.select("prompt_hash", "prompt_text").limit(10_000)), "prompt_hash")
+    r = t.inference_results.select("result_id", "prompt_hash", "ocr_text", "retrieved_context").join(t.prompts.select("prompt_hash", "prompt_text"), "prompt_hash")
     return r.select("result_id", F.concat("prompt_text", part("Text", "ocr_text"), part("Notes", "retrieved_context")).alias("message"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import BEFORE_NUMBER, BOILERPLATE, CATEGORIES, KEPT_NUMBERS, MONTHS, STOPWORDS, any_word, categories, content_tokens, keywords, normalize, sanitize, terms, words
+from ..functions.text import BEFORE_NUMBER, BOILERPLATE, CATEGORIES, KEPT_NUMBERS, MONTHS, STATES, STOPWORDS, STRUCTURAL, any_word, categories, content_tokens, keywords, normalize, sanitize, terms, words
 from .registry import CORPUS, query
 
 _W = r"[^\p{L}\p{N}_]"
@@ -57,7 +57,7 @@ def category_tags(t):
     return t.corpus("ocr").select("row_id", F.array_join(categories(F.col("ocr")), "|").alias("tags"))
 
 
-@query(f"""WITH {CORPUS}, x AS (SELECT row_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(ocr, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}') AND NOT list_contains({_sql_list(STOPWORDS)}, w)))) AS w FROM corpus)
+@query(f"""WITH {CORPUS}, x AS (SELECT row_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(ocr, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}') AND NOT list_contains({_sql_list([*STOPWORDS, *STATES, *STRUCTURAL])}, w)))) AS w FROM corpus)
 SELECT row_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS tokens FROM x""", name="content_tokens")
 def content_tokens_of(t):
     df = t.corpus("ocr").withColumn("w", content_tokens(F.col("ocr"), STOPWORDS))

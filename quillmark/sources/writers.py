@@ -40,10 +40,15 @@ def replace(df: DataFrame, path: str) -> None:
     fs = staging.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         df.write.parquet(staging.toString())
-        if fs.exists(jpath(path)):
-            fs.rename(jpath(path), old)
-        fs.rename(staging, jpath(path))
-        fs.delete(old, True)
+        there = fs.exists(jpath(path))
+        if there and not fs.rename(jpath(path), old):
+            raise OSError(f"{path} cannot be moved aside")
+        if not fs.rename(staging, jpath(path)):
+            if there and not fs.rename(old, jpath(path)):
+                raise OSError(f"{path} cannot be replaced; its old rows are in {old}")
+            raise OSError(f"{path} cannot be replaced")
+        if there:
+            fs.delete(old, True)
     finally:
         fs.delete(staging, True)
 
