@@ -25,7 +25,7 @@ def fenced(text: Column) -> Column:
 def balanced(text: Column) -> Column:
     """The outermost balanced braces from the first opening one; null where they aren't closed. Braces in strings count, too."""
     at = F.instr(text, "{")
-    rest = F.expr(f"substring({text._jc.toString()}, 1)") if False else F.substring(text, F.when(at > 0, at).otherwise(F.length(text) + 1), F.length(text))
+    rest = F.substring(text, F.when(at > 0, at).otherwise(F.length(text) + 1), F.length(text))
     chars = F.filter(F.transform(F.split(rest, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].isin("{", "}"))
     seed = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("end"))
     done = F.aggregate(chars, seed, lambda a, x: F.when(a["end"] >= 0, a).otherwise(F.struct((a["depth"] + F.when(x["c"] == "{", 1).otherwise(-1)).alias("depth"), F.when((x["c"] == "}") & (a["depth"] == 1), x["i"].cast("int")).otherwise(F.lit(-1)).alias("end"))))

@@ -66,9 +66,23 @@ def paired_compare(t):
     return t.paired().where(_BOTH).drop("sources", "context").withColumn("changed", F.coalesce(F.col("pred_a") != F.col("pred_b"), F.lit(False)))
 
 
-@query(f"WITH {PAIRED} SELECT evaluation_id, sample_index, valid_a, valid_b FROM paired")
+@query(f"""WITH {PAIRED}, m AS (SELECT sample_index, manifest_id FROM sample_manifest WHERE sample_index IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY ingested_at DESC) = 1)
+SELECT m.manifest_id, m.sample_index, p.pred_a, p.pred_b, p.valid_a, p.valid_b FROM m LEFT JOIN paired p ON p.evaluation_id = replace(m.manifest_id, 'man_', 'eval_') AND p.sample_index = m.sample_index""")
 def paired_alignment(t):
-    return t.paired().select("evaluation_id", "sample_index", "valid_a", "valid_b")
+    """Every sample of a manifest with both runs of its evaluation; nulls where there is none."""
+    p = t.paired().select("evaluation_id", "sample_index", "pred_a", "pred_b", "valid_a", "valid_b")
+    m = t.samples("manifest_id").withColumn("evaluation_id", F.replace("manifest_id", F.lit("man_"), F.lit("eval_")))
+    return m.join(p, ["evaluation_id", "sample_index"], "left").select("manifest_id", "sample_index", "pred_a", "pred_b", "valid_a", "valid_b")
+
+
+_USED = "CASE WHEN valid_a AND valid_b THEN 'paired' WHEN valid_a THEN 'general' WHEN valid_b THEN 'cultural' ELSE 'none' END"
+_SPEAKS = "CASE WHEN valid_b THEN pred_b WHEN valid_a THEN pred_a END"
+
+
+@query(f"WITH {PAIRED} SELECT evaluation_id, sample_index, {_USED} AS used, {_SPEAKS} AS prediction FROM paired")
+def paired_fallback(t):
+    """The run that speaks for a sample: the cultural one, else the general one, else none."""
+    return t.paired().select("evaluation_id", "sample_index", F.expr(_USED).alias("used"), F.expr(_SPEAKS).alias("prediction"))
 
 
 @query(f"WITH {PAIRED} SELECT evaluation_id, sample_index, ground_truth, pred_a, pred_b FROM paired WHERE {_BOTH} AND pred_a <> pred_b")
@@ -216,9 +230,27 @@ def avg_precision(t):
     return average_precision(t.log("ground_truth").where("valid"), ["run_condition"], "p", "ground_truth")
 
 
-@query(f"WITH {LOG} SELECT run_condition, count(*) AS n, round(avg(power(p - ground_truth, 2)), 6) AS brier FROM log WHERE {_SCORED} GROUP BY 1")
+@query(f"WITH {LOG} SELECT run_condition, count(*) AS n, round(avg(power(p - ground_truth, 2)), 6) AS brier, round(stddev_samp(power(p - ground_truth, 2)) / sqrt(count(*)), 6) AS brier_se FROM log WHERE {_SCORED} GROUP BY 1")
 def brier(t):
-    return t.log("ground_truth").where(_SCORED).groupBy("run_condition").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("ground_truth"), 2)), 6).alias("brier"))
+    error, n = F.pow(F.col("p") - F.col("ground_truth"), 2), F.count("*")
+    return t.log("ground_truth").where(_SCORED).groupBy("run_condition").agg(n.alias("n"), F.round(F.avg(error), 6).alias("brier"), F.round(F.stddev_samp(error) / F.sqrt(n), 6).alias("brier_se"))
+
+
+@query(f"""WITH {PAIRED} SELECT evaluation_id, sample_index, round(power(p_a - ground_truth, 2), 6) AS error_a, round(power(p_b - ground_truth, 2), 6) AS error_b, round(power(p_b - ground_truth, 2) - power(p_a - ground_truth, 2), 6) AS delta
+FROM paired WHERE {_BOTH} AND p_a IS NOT NULL AND p_b IS NOT NULL""")
+def brier_rows(t):
+    """Squared errors of both runs of each sample, and what the second run changes."""
+    a, b = (F.pow(F.col(p) - F.col("ground_truth"), 2) for p in ("p_a", "p_b"))
+    return t.paired().where(_BOTH + " and p_a is not null and p_b is not null").select("evaluation_id", "sample_index", F.round(a, 6).alias("error_a"), F.round(b, 6).alias("error_b"), F.round(b - a, 6).alias("delta"))
+
+
+@query("""WITH x AS (SELECT evaluation_id, attempt, round(avg(power(humor_probability - ground_truth, 2)), 9) AS loss FROM inference_results WHERE humor_probability IS NOT NULL AND NOT isnan(humor_probability) AND ground_truth IS NOT NULL AND evaluation_id IS NOT NULL AND attempt IS NOT NULL GROUP BY ALL)
+SELECT evaluation_id, attempt, round(loss, 6) AS loss FROM x QUALIFY row_number() OVER (PARTITION BY evaluation_id ORDER BY x.loss, attempt) = 1""")
+def best_epoch(t):
+    """Of each run the pass of least loss; the earlier one of equal losses."""
+    rows = t.inference_results.where("humor_probability is not null and not isnan(humor_probability) and ground_truth is not null and evaluation_id is not null and attempt is not null")
+    loss = rows.groupBy("evaluation_id", "attempt").agg(F.round(F.avg(F.pow(F.col("humor_probability") - F.col("ground_truth"), 2)), 9).alias("loss"))
+    return loss.groupBy("evaluation_id").agg(F.min(F.struct("loss", "attempt")).alias("x")).select("evaluation_id", "x.attempt", F.round("x.loss", 6).alias("loss"))
 
 
 @query(f"""WITH {LOG}, x AS (SELECT run_condition, m, least(floor(p * m), m - 1) AS bin, p, ground_truth FROM log, (VALUES (5), (10)) v(m) WHERE {_SCORED}),

@@ -136,3 +136,18 @@ SELECT split, is_humorous, n, round(n / (sum(n) OVER (PARTITION BY split))::DOUB
 def label_share_by_split(t):
     s = t.corpus("split", "is_humorous").dropna().groupBy("split", "is_humorous").agg(F.count("*").alias("n"))
     return s.withColumn("share", F.round(ratio(F.col("n"), F.sum("n").over(Window.partitionBy("split"))), 6))
+
+
+@query("WITH " + CORPUS + ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS v, count(*) AS n FROM corpus WHERE {c} IS NOT NULL GROUP BY 2" for c in PROFILED) + ") SELECT column_name, v AS value, n FROM v WHERE column_name IN (SELECT column_name FROM v GROUP BY 1 HAVING count(*) < 20)")
+def profile_values(t):
+    """Counts of the values of each column that has fewer than twenty."""
+    rows = t.corpus(*PROFILED).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in PROFILED])).alias("x")).select("x.*").dropna()
+    values = rows.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    few = values.groupBy("column_name").count().where("count < 20").select("column_name")
+    return values.join(few, "column_name", "left_semi").select("column_name", "value", "n")
+
+
+@query(f"WITH {CORPUS} SELECT row_id, is_humorous FROM corpus WHERE ocr IS NOT NULL AND is_humorous IS NOT NULL ORDER BY row_id LIMIT 1000")
+def max_records(t):
+    """A bound on the number of records that is applied after the filters, in order of row_id."""
+    return t.corpus("ocr", "is_humorous").where("ocr is not null and is_humorous is not null").select("row_id", "is_humorous").orderBy("row_id").limit(1000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.records import band, dependency, fused, placeholder, repaired, route, title, truth
-from .registry import LOG, query
+from .registry import CORPUS, LOG, query
 
 _NOT_NULL = "reasoning IS NOT NULL"
 
@@ -100,3 +100,37 @@ def feature_concat(t):
 @query("SELECT result_id, CASE WHEN retrieved_context IS NULL OR lower(trim(retrieved_context)) IN ('', 'none', 'null') THEN 'No context' ELSE trim(retrieved_context) END AS context FROM inference_results")
 def placeholder_context(t):
     return t.inference_results.select("result_id", placeholder(F.col("retrieved_context"), "No context").alias("context"))
+
+
+@query(f"""WITH {LOG} SELECT evaluation_id, sample_index, run_condition, CASE WHEN NOT valid THEN 'failed' WHEN prediction = 1 THEN 'Humorous' ELSE 'Not Humorous' END AS verdict, round(p, 4) AS p, coalesce(nullif(trim(cultural_category), ''), 'none') AS category, late FROM log""")
+def evaluation_record(t):
+    """What an evaluation keeps of a run: verdict, probability, category; a failed run has no class."""
+    verdict = F.when(~F.col("valid"), "failed").when(F.col("prediction") == 1, "Humorous").otherwise("Not Humorous")
+    category = F.coalesce(F.nullif(F.trim("cultural_category"), F.lit("")), F.lit("none"))
+    return t.log("cultural_category").select("evaluation_id", "sample_index", "run_condition", verdict.alias("verdict"), F.round("p", 4).alias("p"), category.alias("category"), "late")
+
+
+@query("""SELECT result_id, NULL::BOOLEAN AS humorous, NULL::VARCHAR AS reason, json_error AS error, reasoning AS raw FROM inference_results WHERE json_error IS NOT NULL""")
+def error_record(t):
+    """The record of a run whose answer cannot be read: nothing but the message and the raw answer."""
+    return t.inference_results.where("json_error is not null").select("result_id", F.lit(None).cast("boolean").alias("humorous"), F.lit(None).cast("string").alias("reason"), F.col("json_error").alias("error"), F.col("reasoning").alias("raw"))
+
+
+@query("""SELECT result_id, evaluation_id || '_' || strftime(logged_at, '%Y%m%d_%H%M%S') || '_' || substr(md5(result_id::VARCHAR), 1, 8) AS run_id FROM inference_results WHERE evaluation_id IS NOT NULL AND logged_at IS NOT NULL""")
+def run_ids(t):
+    """Names of runs: experiment, time and eight hexadecimal digits, here of the row's own id so that they can be made again."""
+    r = t.inference_results.where("evaluation_id is not null and logged_at is not null")
+    return r.select("result_id", F.concat_ws("_", "evaluation_id", F.date_format("logged_at", "yyyyMMdd_HHmmss"), F.substring(F.md5(F.col("result_id").cast("string")), 1, 8)).alias("run_id"))
+
+
+@query("""SELECT sample_index, original_labels.humour AS humour, original_labels.sarcastic AS sarcastic, original_labels.offensive AS offensive, deduplication_status.verified AS verified, deduplication_status.quarantine_overlap AS quarantine_overlap FROM sample_manifest""")
+def flat_records(t):
+    """Nested records as flat rows."""
+    return t.sample_manifest.select("sample_index", "original_labels.humour", "original_labels.sarcastic", "original_labels.offensive", "deduplication_status.verified", "deduplication_status.quarantine_overlap")
+
+
+@query(f"WITH {CORPUS} SELECT row_id, coalesce(nullif(trim(image_filename), ''), 'blank.jpg') AS image, coalesce(ocr, '') AS text, is_humorous AS label FROM corpus WHERE is_humorous IS NOT NULL")
+def training_rows(t):
+    """Rows of a training set: a blank image and an empty text in place of missing ones."""
+    c = t.corpus("image_filename", "ocr", "is_humorous").dropna(subset=["is_humorous"])
+    return c.select("row_id", F.coalesce(F.nullif(F.trim("image_filename"), F.lit("")), F.lit("blank.jpg")).alias("image"), F.coalesce("ocr", F.lit("")).alias("text"), F.col("is_humorous").alias("label"))

@@ -20,9 +20,9 @@ LOG = """log AS (
 )"""
 PAIRED = LOG + """, a AS (SELECT * FROM log WHERE run_condition = 'general'), b AS (SELECT * FROM log WHERE run_condition = 'cultural'),
 paired AS (
-  SELECT a.evaluation_id, a.sample_index, a.ground_truth, a.prediction AS pred_a, b.prediction AS pred_b, a.p AS p_a, b.p AS p_b, a.valid AS valid_a, b.valid AS valid_b,
-    a.inference_duration_s AS s_a, b.inference_duration_s AS s_b, b.drishtikon_matches_count AS matches, b.cultural_sources AS sources, b.retrieved_context AS context, a.late AS late_a, b.late AS late_b
-  FROM a JOIN b ON a.evaluation_id = b.evaluation_id AND a.sample_index = b.sample_index
+  SELECT evaluation_id, sample_index, coalesce(a.ground_truth, b.ground_truth) AS ground_truth, a.prediction AS pred_a, b.prediction AS pred_b, a.p AS p_a, b.p AS p_b, coalesce(a.valid, false) AS valid_a, coalesce(b.valid, false) AS valid_b,
+    a.inference_duration_s AS s_a, b.inference_duration_s AS s_b, b.drishtikon_matches_count AS matches, b.cultural_sources AS sources, b.retrieved_context AS context, coalesce(a.late, false) AS late_a, coalesce(b.late, false) AS late_b
+  FROM a FULL JOIN b USING (evaluation_id, sample_index)
 )"""
 
 
@@ -54,16 +54,23 @@ class Tables:
         nan = lambda c: F.when(~F.isnan(c), F.col(c))
         return rows.withColumn("p", nan("humor_probability")).withColumn("q", nan("non_humor_probability")).withColumn("late", F.coalesce("timed_out", F.lit(False))).withColumn("valid", valid_mask())
 
+    def samples(self, *columns: str) -> DataFrame:
+        """The newest delivery of every sample, with the named columns only."""
+        from ..operators.log import last_wins
+
+        rows = self.sample_manifest.select(*dict.fromkeys(["sample_index", "ingested_at", *columns])).dropna(subset=["sample_index"])
+        return last_wins(rows, ["sample_index"], ["ingested_at"]).drop("ingested_at")
+
     def paired(self, *columns: str) -> DataFrame:
-        """Both runs of every sample: general (a) and cultural (b); one pass over the log, no join."""
+        """Both runs of every sample that has one: general (a) and cultural (b), nulls and invalid where a run is missing; one pass over the log, no join."""
         log = self.log("ground_truth", "inference_duration_s", "drishtikon_matches_count", "cultural_sources", "retrieved_context")
         fields = F.struct("ground_truth", "prediction", "p", "valid", "late", "inference_duration_s", "drishtikon_matches_count", "cultural_sources", "retrieved_context")
         both = log.groupBy("evaluation_id", "sample_index").agg(F.max(F.when(F.col("run_condition") == "general", F.struct("result_id", fields.alias("v")))).alias("a"), F.max(F.when(F.col("run_condition") == "cultural", F.struct("result_id", fields.alias("v")))).alias("b"))
-        both = both.where("a is not null and b is not null")
+        both = both.where("a is not null or b is not null")
         return both.select(
-            "evaluation_id", "sample_index", F.col("a.v.ground_truth").alias("ground_truth"), F.col("a.v.prediction").alias("pred_a"), F.col("b.v.prediction").alias("pred_b"), F.col("a.v.p").alias("p_a"), F.col("b.v.p").alias("p_b"),
-            F.col("a.v.valid").alias("valid_a"), F.col("b.v.valid").alias("valid_b"), F.col("a.v.inference_duration_s").alias("s_a"), F.col("b.v.inference_duration_s").alias("s_b"), F.col("b.v.drishtikon_matches_count").alias("matches"),
-            F.col("b.v.cultural_sources").alias("sources"), F.col("b.v.retrieved_context").alias("context"), F.col("a.v.late").alias("late_a"), F.col("b.v.late").alias("late_b"),
+            "evaluation_id", "sample_index", F.coalesce("a.v.ground_truth", "b.v.ground_truth").alias("ground_truth"), F.col("a.v.prediction").alias("pred_a"), F.col("b.v.prediction").alias("pred_b"), F.col("a.v.p").alias("p_a"), F.col("b.v.p").alias("p_b"),
+            F.coalesce("a.v.valid", F.lit(False)).alias("valid_a"), F.coalesce("b.v.valid", F.lit(False)).alias("valid_b"), F.col("a.v.inference_duration_s").alias("s_a"), F.col("b.v.inference_duration_s").alias("s_b"), F.col("b.v.drishtikon_matches_count").alias("matches"),
+            F.col("b.v.cultural_sources").alias("sources"), F.col("b.v.retrieved_context").alias("context"), F.coalesce("a.v.late", F.lit(False)).alias("late_a"), F.coalesce("b.v.late", F.lit(False)).alias("late_b"),
         )
 
 

@@ -154,11 +154,57 @@ def quota_check(t):
     return c.join(q, ["manifest_id", "stratum_id"], "full").na.fill(0, ["n", "quota"]).select("manifest_id", "stratum_id", "n", "quota", (F.col("n") >= F.col("quota")).alias("ok"))
 
 
-@query(f"""WITH {SAMPLES} SELECT manifest_id, count(*) = count(DISTINCT sample_id) AS ids_unique, bool_and(coalesce(ground_truth IN (0, 1), false)) AS truths_known, bool_and(ocr_text IS NOT NULL) AS texts_there, abs(count(*) FILTER (ground_truth = 1) - count(*) FILTER (ground_truth = 0)) <= 0.2 * count(*) AS balanced FROM s WHERE manifest_id IS NOT NULL GROUP BY 1""")
+#: Checks before a run, in order: name, SQL of what is counted, SQL of what must hold of the counts of a manifest.
+_CHECKS = (
+    ("sample_count", "n_samples", "n_samples > 0 AND n_samples = n_ids AND n_samples = n_files AND n_one = n_zero"),
+    ("fingerprint", "fingerprint", "true"),
+    ("files_named", "n_without_file", "n_without_file = 0"),
+    ("stratum_quotas", "n_short_strata", "n_short_strata = 0"),
+    ("parity", "n_changed", "n_changed = 0"),
+    ("historical_exclusion", "n_historical", "n_historical = 0"),
+    ("borderline_flags", "n_borderline", "n_unflagged = 0"),
+    ("config_hashes", "n_configs", "n_configs >= 1"),
+    ("distinct_outputs", "n_conditions", "n_conditions >= 2"),
+    ("failure_exclusion", "n_failed_with_class", "n_failed_with_class = 0"),
+)
+_SAMPLE_FACTS = {
+    "n_samples": "count(*)", "n_ids": "count(DISTINCT sample_id)", "n_files": "count(DISTINCT image_filename)", "n_one": "count_if(ground_truth = 1)", "n_zero": "count_if(ground_truth = 0)", "n_without_file": "count_if(image_filename IS NULL)",
+    "n_borderline": "count_if(ambiguity_status = 'AMBIGUOUS_BORDERLINE')", "n_unflagged": "count_if(ambiguity_status IS NULL)",
+}
+_RUN_FACTS = {"n_configs": "count(DISTINCT model_config_hash)", "n_conditions": "count(DISTINCT run_condition)", "n_failed_with_class": "count_if(timed_out AND prediction IS NOT NULL)"}
+_FACTS = [*_SAMPLE_FACTS, "fingerprint", "n_historical", "n_changed", "n_short_strata", *_RUN_FACTS]
+
+
+def _listed(facts):
+    return ", ".join(f"{v} AS {k}" for k, v in facts.items())
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT manifest_id, {_listed(_SAMPLE_FACTS)}, bit_xor(('0x' || substr(md5(sample_id), 1, 12))::BIGINT) AS fingerprint, count_if(image_filename IN (SELECT image_filename FROM benchmark_memes)) AS n_historical FROM s WHERE manifest_id IS NOT NULL GROUP BY 1),
+d AS (SELECT manifest_id, count_if(k > 1) AS n_changed FROM (SELECT manifest_id, sample_id, count(DISTINCT coalesce(image_filename, '') || '|' || coalesce(ground_truth::VARCHAR, '') || '|' || coalesce(ocr_text, '')) AS k FROM sample_manifest WHERE manifest_id IS NOT NULL AND sample_id IS NOT NULL GROUP BY ALL) GROUP BY 1),
+h AS (SELECT manifest_id, stratum_id, count(*) AS have FROM s GROUP BY ALL), q AS (SELECT manifest_id, stratum_id, sum(min_count) AS quota FROM draw_targets GROUP BY ALL),
+o AS (SELECT q.manifest_id, count_if(coalesce(have, 0) < quota) AS n_short_strata FROM q LEFT JOIN h ON h.manifest_id = q.manifest_id AND h.stratum_id = q.stratum_id GROUP BY 1),
+r AS (SELECT replace(evaluation_id, 'eval_', 'man_') AS manifest_id, {_listed(_RUN_FACTS)} FROM inference_results WHERE evaluation_id IS NOT NULL GROUP BY 1),
+f AS (SELECT a.manifest_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in _FACTS)} FROM a LEFT JOIN d USING (manifest_id) LEFT JOIN o USING (manifest_id) LEFT JOIN r USING (manifest_id))
+""" + " UNION ALL ".join(f"SELECT manifest_id, {i} AS no, '{name}' AS check_name, {holds} AS passed, {what} AS evidence FROM f" for i, (name, what, holds) in enumerate(_CHECKS, 1)))
 def preflight(t):
-    s = _samples(t, "manifest_id", "sample_id", "ground_truth", "ocr_text").dropna(subset=["manifest_id"])
-    balance = F.abs(F.count_if(F.col("ground_truth") == 1) - F.count_if(F.col("ground_truth") == 0)) <= F.lit(0.2) * F.count("*")
-    return s.groupBy("manifest_id").agg((F.count("*") == F.countDistinct("sample_id")).alias("ids_unique"), F.bool_and(F.coalesce(F.col("ground_truth").isin(0, 1), F.lit(False))).alias("truths_known"), F.bool_and(F.col("ocr_text").isNotNull()).alias("texts_there"), balance.alias("balanced"))
+    """Ten checks of each manifest before a run, each with the number that shows why; the fingerprint is of its sample ids in any order.
+
+    Deliveries of one sample that differ in file, class or text count against parity. Whether an image can be read is left to the readers of files.
+    """
+    s = t.samples("manifest_id", "stratum_id", "sample_id", "image_filename", "ground_truth", "ambiguity_status").dropna(subset=["manifest_id"])
+    old = t.benchmark_memes.select("image_filename").dropna().distinct().withColumn("historical", F.lit(1))
+    digit = F.conv(F.substring(F.md5("sample_id"), 1, 12), 16, 10).cast("long")
+    facts = s.join(old, "image_filename", "left").groupBy("manifest_id").agg(*[F.expr(v).alias(k) for k, v in _SAMPLE_FACTS.items()], F.bit_xor(digit).alias("fingerprint"), F.count("historical").alias("n_historical"))
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("image_filename", "ground_truth", "ocr_text")])
+    changed = t.sample_manifest.dropna(subset=["manifest_id", "sample_id"]).groupBy("manifest_id", "sample_id").agg(F.countDistinct(told).alias("k")).groupBy("manifest_id").agg(F.count_if(F.col("k") > 1).alias("n_changed"))
+    have = s.groupBy("manifest_id", "stratum_id").agg(F.count("*").alias("have"))
+    quota = t.draw_targets.groupBy("manifest_id", "stratum_id").agg(F.sum("min_count").alias("quota")).join(have, ["manifest_id", "stratum_id"], "left")
+    short = quota.groupBy("manifest_id").agg(F.count_if(F.coalesce("have", F.lit(0)) < F.col("quota")).alias("n_short_strata"))
+    runs = t.inference_results.where("evaluation_id is not null").groupBy(F.replace("evaluation_id", F.lit("eval_"), F.lit("man_")).alias("manifest_id")).agg(*[F.expr(v).alias(k) for k, v in _RUN_FACTS.items()])
+    for more in (changed, short, runs):
+        facts = facts.join(more, "manifest_id", "left")
+    checks = [F.struct(F.lit(i).alias("no"), F.lit(name).alias("check_name"), F.expr(holds).alias("passed"), F.col(what).alias("evidence")) for i, (name, what, holds) in enumerate(_CHECKS, 1)]
+    return facts.select("manifest_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _FACTS]).select("manifest_id", F.explode(F.array(*checks)).alias("x")).select("manifest_id", "x.*")
 
 
 _FLAGS = [w for _, _, w in STRATA]

@@ -143,3 +143,33 @@ def array_ops(t):
 def tag_rate_by_source(t):
     df = t.corpus("ocr", "source").where("source is not null")
     return df.groupBy("source").agg(F.count("*").alias("n"), F.count_if(any_word(F.col("ocr"), keywords("workplace"))).alias("n_workplace"))
+
+
+@query(f"WITH {CORPUS} SELECT row_id, replace(substr(ocr, 1, 100), chr(10), ' ') AS preview FROM corpus WHERE ocr IS NOT NULL")
+def text_preview(t):
+    """The first hundred characters on one line, for lists."""
+    return t.corpus("ocr").where("ocr is not null").select("row_id", F.replace(F.substring("ocr", 1, 100), F.lit("\n"), F.lit(" ")).alias("preview"))
+
+
+# Signs that stand for something in HTML, and how they are written.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+
+def _escaped_sql(column: str) -> str:
+    for ch, name in ESCAPES:
+        column = f"replace({column}, chr({ord(ch)}), '{name}')"
+    return column
+
+
+@query(f"WITH {CORPUS} SELECT row_id, {_escaped_sql('ocr')} AS html FROM corpus WHERE ocr IS NOT NULL")
+def html_escaped(t):
+    html = F.col("ocr")
+    for ch, name in ESCAPES:
+        html = F.replace(html, F.lit(ch), F.lit(name))
+    return t.corpus("ocr").where("ocr is not null").select("row_id", html.alias("html"))
+
+
+@query(f"WITH {CORPUS} SELECT row_id, regexp_extract(image_filename, '[^/]*$') AS base FROM corpus WHERE image_filename IS NOT NULL")
+def path_basename(t):
+    """File names without the folders before them."""
+    return t.corpus("image_filename").where("image_filename is not null").select("row_id", F.regexp_extract("image_filename", r"[^/]*$", 0).alias("base"))
