@@ -206,9 +206,10 @@ def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     df = df.drop(out)
     # plain ASCII is its own form
     unsafe = F.coalesce((F.octet_length(text) != F.length(text)) & F.col(text).rlike(pattern), F.lit(False))
-    rows = df.where(unsafe).withColumn("__key", F.md5(F.col(text)))
-    texts = df.where(unsafe).select(F.col(text).alias("__text")).distinct()
-    parts = texts.select(F.md5("__text").alias("__key"), F.posexplode(F.split("__text", "(?<=[ \\n])")).alias("__i", "piece"))
+    # written, so that the pattern is matched once for them
+    rows = written(df.where(unsafe).withColumn("__key", F.md5(F.col(text))), "unsafe")
+    texts = rows.select("__key", F.col(text).alias("__text")).distinct()
+    parts = texts.select("__key", F.posexplode(F.split("__text", "(?<=[ \\n])")).alias("__i", "piece"))
     changed = canonical_pieces(parts.where(F.col("piece").rlike(pattern)).select("piece").distinct())
     parts = parts.join(changed, "piece", "left").select("__key", "__i", F.coalesce("canon", "piece").alias("piece"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "piece"))), lambda x: x["piece"]), "")
