@@ -15,6 +15,7 @@ part of the texts and split over several tasks.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ HOT, COUNTED, SPLIT = 1 << 16, 64, 10_000
 SAMPLE, FREQUENT = 4096, 256
 CHUNK = 1 << 14
 #: Bits of a hashed word: enough that no two words of two texts meet by chance, and fewer bytes to shuffle than 64 bits.
-TOKEN = (1 << 40) - 1
+TOKEN, PACKED = (1 << 40) - 1, 5
 #: Bits of the keys of signatures; keys that meet by chance only make a candidate more.
 KEY_BITS = 46
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -57,7 +58,7 @@ class Words:
         import regex
         import xxhash
 
-        self.find = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+        self.find, self.plain = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall, re.compile("[a-z0-9]+").findall
         self.known: dict[str, int] = {}
         self.hash, self.whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
 
@@ -67,7 +68,7 @@ class Words:
             self.known.clear()
         known, flat, sizes = self.known, [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            if t and len(ws := self.find(form_of(t).lower())) >= LEAST_WORDS:
+            if t and len(ws := self.plain(t.lower()) if t.isascii() else self.find(form_of(t).lower())) >= LEAST_WORDS:
                 sizes[i] = len(ws)
                 flat += ws
         for w in set(flat) - known.keys():
@@ -81,7 +82,7 @@ class Words:
 
 
 def with_words(records: DataFrame, text: str) -> DataFrame:
-    """records with `tokens` (sorted hashes of the words of the text as a reader sees it) and `hash` (of the whole bag) in place of the text.
+    """records with `tokens` (sorted hashes of the words of the text as a reader sees it, packed) and `hash` (of the whole bag) in place of the text.
 
     Words are lower-cased runs of letters, combining marks and digits. Null for null texts and for those under LEAST_WORDS words, which have no partner.
     """
@@ -95,13 +96,43 @@ def with_words(records: DataFrame, text: str) -> DataFrame:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 sizes, tok, bags = words(part.column(len(rest)).to_pylist())
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32(), mask=np.r_[sizes == 0, False])
-                tokens = pa.ListArray.from_arrays(offsets, pa.array(tok))
+                tokens = packed(sizes, tok)
                 hashes = pa.array([h if h is None else h - (1 << 64) if h >> 63 else h for h in bags], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), hashes, tokens], names=[*rest, "hash", "tokens"])
 
     kinds = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in rest)
-    return records.select(*rest, text).mapInArrow(run, f"{kinds}, hash long, tokens array<long>")
+    return records.select(*rest, text).mapInArrow(run, f"{kinds}, hash long, tokens binary")
+
+
+def packed(sizes: np.ndarray, tok: np.ndarray):
+    """An Arrow array of binaries with PACKED bytes of each hashed word; null where the size is 0."""
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(tok.view(np.uint8).reshape(-1, 8)[:, :PACKED])
+    ends = PACKED * np.r_[0, np.cumsum(sizes)]
+    valid = np.packbits(sizes > 0, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(valid), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, hashed words) of an Arrow array of packed words."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].reshape(-1, PACKED)
+    tok = np.zeros((len(raw), 8), np.uint8)
+    tok[:, :PACKED] = raw
+    return (off.astype(np.int64) - off[0]) // PACKED, tok.view(np.uint64).ravel()
+
+
+def occurrence(tok: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each word came before in its row, for words sorted within rows."""
+    start = np.r_[True, (tok[1:] != tok[:-1]) | (row[1:] != row[:-1])] if len(tok) else np.zeros(0, bool)
+    at = np.arange(len(tok))
+    return (at - np.maximum.accumulate(np.where(start, at, 0))).astype(np.uint64)
+
+
+def apart(tok: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Words of a set: a repeated word is another one each time."""
+    return np.where(nth > 0, _mix(tok ^ (nth << np.uint64(48)), 3), tok)
 
 
 def _sizes(near: float) -> list[int]:
@@ -140,11 +171,8 @@ class Scheme:
         row = np.repeat(np.arange(len(ids)), n)
         order = np.lexsort((tokens, row))
         tok = tokens[order].astype(np.uint64)
-        start = np.r_[True, (tok[1:] != tok[:-1]) | (row[1:] != row[:-1])] if len(tok) else np.zeros(0, bool)
-        at = np.arange(len(tok))
-        nth = (at - np.maximum.accumulate(np.where(start, at, 0))).astype(np.uint64)
-        word = tok
-        tok = np.where(nth > 0, _mix(tok ^ (nth << np.uint64(48)), 3), tok)
+        nth, word = occurrence(tok, row), tok
+        tok = apart(tok, nth)
         p = (self.counts[(word % np.uint64(HISTOGRAM)).astype(np.int64)].astype(float) / (1.0 + nth)).clip(1, self.n_docs) / self.n_docs
         self.sizes, self.sketch = n, np.zeros(len(ids), np.uint64)
         np.bitwise_xor.at(self.sketch, row, np.uint64(1) << (_mix(tok, 23) >> np.uint64(58)))
@@ -204,10 +232,11 @@ class Scheme:
     def _cheapest(self, zero: np.ndarray, one: np.ndarray, need: np.ndarray) -> np.ndarray:
         """The dynamic program over the partitions of some texts.
 
-        Its costs are kept at every root(m)-th partition only and the choices between them are found again on the way back, so even a text of 100,000 words needs a few MB.
+        Of a long text the costs are kept at every root(m)-th partition only and the choices between them are found again on the way back, so even 100,000 words need a few MB.
         """
         n, m = zero.shape
-        top, block = int(need.max()), math.isqrt(m) + 1
+        top = int(need.max())
+        block = m if m * (top + 1) * n <= CELLS else math.isqrt(m) + 1
         out = np.full((n, m), -1, np.int8)
 
         def run(best, lo, hi, choice=None):
@@ -228,7 +257,8 @@ class Scheme:
         kept = []
         for lo in range(0, m, block):
             kept.append((lo, best))
-            best = run(best, lo, min(m, lo + block))
+            if lo + block < m:
+                best = run(best, lo, lo + block)
         left, rows = need.copy(), np.arange(n)
         for lo, best in reversed(kept):
             hi = min(m, lo + block)
@@ -265,15 +295,31 @@ def _correlated(sample: list[np.ndarray]) -> dict[int, int]:
 
 
 def _batches(it):
-    """(ids, offsets, tokens) of Arrow batches (doc long, tokens array<long>)."""
+    """(ids, offsets, tokens) of Arrow batches (doc long, tokens packed)."""
     for b in it:
-        tokens = b.column("tokens")
-        off = tokens.offsets.to_numpy()
-        yield b.column("doc").to_numpy(), off - off[0], tokens.flatten().to_numpy().astype(np.int64).view(np.uint64)
+        yield b.column("doc").to_numpy(), *unpacked(b.column("tokens"))
+
+
+def histogram(docs: DataFrame) -> np.ndarray:
+    """How many docs have a word of each of HISTOGRAM buckets; summed in each task first."""
+    import pyarrow as pa
+
+    def run(it):
+        c = np.zeros(HISTOGRAM, np.int64)
+        for _, off, tok in _batches(it):
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            c += np.bincount((tok[occurrence(tok, row) == 0] % np.uint64(HISTOGRAM)).astype(np.int64), minlength=HISTOGRAM)
+        b = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(c[b])], names=["b", "n"])
+
+    got = docs.select("doc", "tokens").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(HISTOGRAM, np.int64)
+    counts[got.column("b").to_numpy()] = got.column("n").to_numpy()
+    return counts
 
 
 def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """docs(doc long unique, tokens array<long>: hashed words with repeats) -> (a, b) with a < b and similarity >= near.
+    """docs(doc long unique, tokens: hashed words with repeats, sorted and packed) -> (a, b) with a < b and similarity >= near.
 
     Complete but for collisions of 64-bit hashes. docs should be a written table: it is read several times.
     """
@@ -281,13 +327,10 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
     import zstandard
 
     spark = docs.sparkSession
-    hist = docs.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy(F.pmod("t", F.lit(HISTOGRAM)).alias("b")).count().toArrow()
-    counts = np.zeros(HISTOGRAM, np.int64)
-    # pmod of the signed value equals the unsigned remainder: the number of buckets is a power of two
-    counts[hist.column("b").to_numpy()] = hist.column("count").to_numpy()
-    n_docs = docs.count()
-    picked = docs.select("tokens", F.xxhash64("doc").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    scheme = Scheme(near, counts, n_docs, _correlated([np.array(r.tokens, np.int64).view(np.uint64) for r in picked]))
+    counts, n_docs = histogram(docs), docs.count()
+    picked = docs.select("tokens", F.xxhash64("doc").alias("h")).orderBy("h").limit(SAMPLE).toArrow().column("tokens")
+    picked = [np.split(tok, off[1:-1]) for off, tok in map(unpacked, picked.chunks)]
+    scheme = Scheme(near, counts, n_docs, _correlated([x for some in picked for x in some]))
     sent = spark.sparkContext.broadcast(scheme)
     log2 = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, BITS_A_WORD * int(counts.sum()))))))
     bits = 1 << log2
@@ -425,16 +468,28 @@ def near_links(docs: DataFrame, near: float = NEAR) -> DataFrame:
     sig = sig.repartition("key").sortWithinPartitions("key", F.desc("role"))
     pairs = written(sig.mapInArrow(meet, "a long, b long").distinct(), "candidates")
     pairs = pairs.join(docs.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a").join(docs.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
-    pairs = pairs.select("a", "b", numbered("ta").alias("sa"), numbered("tb").alias("sb"))
-    alike = 2 * F.size(F.array_intersect("sa", "sb")) >= F.lit(near) * (F.size("sa") + F.size("sb")) - 1e-9
-    return pairs.where(alike).select("a", "b")
+    return verified(pairs.select("a", "b", "ta", "tb"), near)
 
 
-def numbered(tokens: str):
-    """The set of (hashed word, how often it came before) of a sorted array of hashed words, as one long each."""
-    t = F.col(tokens)
-    # equal words are neighbours: only a repeated one is looked up, its distance from its first place is its number
-    return F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), x).otherwise(F.xxhash64(x, i + 1 - F.array_position(t, x))))
+def verified(pairs: DataFrame, near: float) -> DataFrame:
+    """Those of pairs(a, b, ta, tb), with packed words, whose words are near-same; without ta and tb."""
+    import pyarrow as pa
+
+    def run(it):
+        for batch in it:
+            words = [unpacked(batch.column(i)) for i in (-2, -1)]
+            rows = [np.repeat(np.arange(batch.num_rows), np.diff(off)) for off, _ in words]
+            sets = [apart(tok, occurrence(tok, row)) for (_, tok), row in zip(words, rows)]
+            # words that both sides of a pair have stand side by side once all are sorted by pair and word
+            row, word = np.concatenate(rows), np.concatenate(sets)
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (word[1:] == word[:-1])], minlength=batch.num_rows)
+            ok = 2 * both >= near * sum(np.diff(off) for off, _ in words) - 1e-9
+            yield batch.select(batch.schema.names[:-2]).filter(pa.array(ok))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:-2])
+    return pairs.mapInArrow(run, kinds)
 
 
 def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
