@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import newest, written
+from .base import drop, newest, written
 from .lookalike import form_of
 
 NEAR, LEAST_WORDS = 0.82, 8
@@ -501,7 +501,8 @@ def documents_of(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
     docs = records.where("hash is not null").select("hash", "tokens").distinct()
     # numbers given once and written are stable; they are small, which keeps what is shuffled small
     docs = written(docs.select(F.monotonically_increasing_id().alias("doc"), "hash", "tokens"), "documents")
-    members = newest(records.drop("tokens"), keys).join(docs.select("doc", "hash"), "hash").drop("hash")
+    members = written(newest(records.drop("tokens"), keys).join(docs.select("doc", "hash"), "hash").drop("hash"), "members")
+    drop(records)
     return members, docs.drop("hash")
 
 
@@ -533,7 +534,8 @@ def components(edges: DataFrame, scope: str) -> DataFrame:
         large = written(both.where("v > u").join(least, [scope, "u"]).select(*ends("v", "m")).distinct(), "edges")
         least = large.groupBy(scope, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [scope, "u"]).where("v <> m").select(*ends("v", "m"))
-        now = written(small.unionByName(least.select(*ends("u", "m"))).distinct(), "edges")
+        before, now = now, written(small.unionByName(least.select(*ends("u", "m"))).distinct(), "edges")
+        drop(before, large)
         last, seen = seen, state(now)
         if last == seen:
             return now.withColumnRenamed("v", "root").unionByName(now.select(scope, F.col("v").alias("u"), F.col("v").alias("root")).distinct())
@@ -546,7 +548,6 @@ def near_groups(records: DataFrame, near: float = NEAR) -> DataFrame:
     n_links counts the other bags of words of the field that are near; texts under LEAST_WORDS words stand alone.
     """
     members, docs = documents_of(with_words(records, "text"), ["field_name", "key"])
-    members = written(members.select("field_name", "key", "doc"), "members")
     first = members.groupBy("field_name", "doc").agg(F.min("key").alias("rep"))
     links = near_links(docs, near)
     edges = links.join(first.select("field_name", F.col("doc").alias("a"), F.col("rep").alias("u")), "a").join(first.select("field_name", F.col("doc").alias("b"), F.col("rep").alias("v")), ["field_name", "b"])
