@@ -29,29 +29,12 @@ def normalize_text(t):
     return t.corpus("ocr").select("row_id", normalize(F.col("ocr")).alias("text"))
 
 
-def _sanitize_sql(column: str) -> str:
-    s = f"coalesce({column}, '')"
-    for p in BOILERPLATE:
-        s = f"regexp_replace({s}, '(?i){p}', ' ', 'g')"
-    n = r"(?:\d{1,3}(?:,\d{3})+|\d+)"
-    keep = rf"\b(?:{BEFORE_NUMBER})\s+\b{n}\b(?:\s+(?:{MONTHS})\b)?|\b{n}\b\s+(?:{MONTHS})\b|\b(?:{KEPT_NUMBERS})\b"
-    s = rf"regexp_replace({s}, '(?i)({keep})|\b{n}\b', '\1' || chr(1), 'g')"
-    s = rf"regexp_replace(regexp_replace({s}, '([\p{{L}}\p{{N}}_])' || chr(1), '\1', 'g'), chr(1), ' ', 'g')"
-    return rf"trim(regexp_replace({s}, '\s+', ' ', 'g'))"
-
-
 @query()
 def sanitize_query(t):
     """Queries without boilerplate and meaningless numbers. Word boundaries differ between the engines on non-ASCII text, so this is tested on fixtures."""
     return t.corpus("ocr").select("row_id", sanitize(F.col("ocr")).alias("query"))
 
 
-@query(f"WITH {CORPUS} SELECT row_id, {_sanitize_sql('ocr')} AS query FROM corpus WHERE regexp_full_match(coalesce(ocr, ''), '[ -~\\n]*')")
-def sanitize_query_ascii(t):
-    """The same on texts in plain ASCII, where both engines agree on word boundaries."""
-    return t.corpus("ocr").where(F.coalesce("ocr", F.lit("")).rlike(r"^[ -~\n]*$")).select("row_id", sanitize(F.col("ocr")).alias("query"))
-
-
 @query(f"WITH {CORPUS}, x AS (SELECT row_id, {TAGS_SQL.replace("{0}", "ocr")} AS tags FROM corpus) SELECT row_id, CASE WHEN len(tags) = 0 THEN 'none' ELSE array_to_string(tags, '|') END AS tags FROM x")
 def category_tags(t):
     return t.corpus("ocr").select("row_id", F.array_join(categories(F.col("ocr")), "|").alias("tags"))
@@ -92,29 +75,13 @@ def config_hash(t):
     return t.prompts.select("prompt_hash", F.substring(F.sha2(F.to_json(F.struct("prompt_text", "run_condition")), 256), 1, 16).alias("config_hash"))
 
 
-@query("""WITH m AS (SELECT * FROM sample_manifest WHERE sample_index IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_index ORDER BY ingested_at DESC) = 1)
-SELECT result_id, levenshtein(r.ocr_text, m.ocr_text)::INTEGER AS distance, round(1 - levenshtein(r.ocr_text, m.ocr_text) / greatest(1, length(r.ocr_text), length(m.ocr_text))::DOUBLE, 6) AS similarity
-FROM inference_results r JOIN m USING (sample_index) WHERE r.ocr_text IS NOT NULL AND m.ocr_text IS NOT NULL AND regexp_full_match(r.ocr_text || m.ocr_text, '[ -~\\n]*')""")
-def levenshtein_sim(t):
-    """levenshtein_sim_all where both texts are ASCII: the SQL engine counts bytes, so it can check these only."""
-    df = _read_and_reference(t).where(F.concat("ocr_text", "ref").rlike(r"^[ -~\n]*$"))
-    return _similarity(df)
-
-
 @query()
-def levenshtein_sim_all(t):
+def levenshtein_sim(t):
     """Edit similarity of the text a run read to the sample's text, in code points and over all scripts; tested against brute force."""
-    return _similarity(_read_and_reference(t).where("ocr_text is not null and ref is not null"))
-
-
-def _read_and_reference(t):
     from ..operators.log import last_wins
 
     m = last_wins(t.sample_manifest.select("sample_index", F.col("ocr_text").alias("ref"), "ingested_at"), ["sample_index"], ["ingested_at"])
-    return t.inference_results.select("result_id", "sample_index", "ocr_text").join(m, "sample_index")
-
-
-def _similarity(df):
+    df = t.inference_results.select("result_id", "sample_index", "ocr_text").join(m, "sample_index").where("ocr_text is not null and ref is not null")
     d = F.levenshtein("ocr_text", "ref")
     return df.select("result_id", d.alias("distance"), F.round(1 - d / F.greatest(F.lit(1), F.length("ocr_text"), F.length("ref")), 6).alias("similarity"))
 

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 #: A query of each family; the driver compares all of them.
-SOME = ["answer_encoding", "category_tags", "sanitize_query_ascii", "tfidf_topk", "vector_topk", "hamming_pairs", "quarantine_collisions", "quota_sample", "stratified_split", "kb_build", "threshold_sweep", "roc_auc", "avg_precision", "ece", "cohen_kappa", "macro_weighted_f1", "subset_metrics", "resume_plan", "decision_fusion", "session_window"]
+SOME = ["answer_encoding", "category_tags", "preflight", "paired_alignment", "tfidf_topk", "vector_topk", "hamming_pairs", "quarantine_collisions", "quota_sample", "stratified_split", "kb_build", "threshold_sweep", "roc_auc", "avg_precision", "ece", "cohen_kappa", "macro_weighted_f1", "subset_metrics", "resume_plan", "decision_fusion", "session_window"]
 
 
 def tidy(v):
