@@ -111,14 +111,22 @@ def kb_build(t):
     return dense_ids(d.select("doc_id", F.md5("search_text").alias("search_md5")), "doc_id")
 
 
-@query("""SELECT run_condition, tau, count(*) FILTER (drishtikon_matches_count > 0) AS hits, count(*) FILTER (s >= tau) AS kept, count(*) FILTER (s >= tau AND prediction = ground_truth) AS right_kept
-FROM (SELECT *, (drishtikon_diagnostics::JSON->0->>'score')::DOUBLE AS s FROM inference_results WHERE json_valid(drishtikon_diagnostics)), (VALUES (0.15::DOUBLE), (0.25::DOUBLE)) v(tau) WHERE run_condition IS NOT NULL GROUP BY ALL""")
+TAUS = (0.15, 0.25, 0.45)
+
+
+@query(f"""WITH c AS (SELECT run_condition, tau, count(*) AS n, count(*) FILTER (drishtikon_matches_count > 0) AS hits, count(*) FILTER (prediction = ground_truth) AS right_rows, count(*) FILTER (s >= tau) AS kept, count(*) FILTER (s >= tau AND prediction = ground_truth) AS right_kept
+FROM (SELECT *, (drishtikon_diagnostics::JSON->0->>'score')::DOUBLE AS s FROM inference_results WHERE json_valid(drishtikon_diagnostics)), (VALUES {", ".join(f"({x}::DOUBLE)" for x in TAUS)}) v(tau) WHERE run_condition IS NOT NULL GROUP BY ALL)
+SELECT run_condition, tau, hits, kept, right_kept, round(coalesce(right_kept / nullif(kept, 0)::DOUBLE, 0), 6) AS precision_kept, round(coalesce(right_kept / nullif(right_rows, 0)::DOUBLE, 0), 6) AS recall_kept, round((kept - right_kept) / n::DOUBLE, 6) AS false_match_rate FROM c""")
 def retrieval_pr(t):
-    """Rows with hits, and what two score thresholds keep of them."""
+    """Precision, recall and rate of false matches of what score thresholds keep: a match is right where the run that used it was."""
     s = F.get_json_object("drishtikon_diagnostics", "$[0].score").cast("double")
-    df = t.inference_results.where("run_condition is not null and drishtikon_diagnostics is not null").withColumn("s", s)
-    counts = [F.count_if(F.col("drishtikon_matches_count") > 0).alias("hits")]
-    for i, x in enumerate((0.15, 0.25)):
-        counts += [F.count_if(F.col("s") >= x).alias(f"k{i}"), F.count_if((F.col("s") >= x) & (F.col("prediction") == F.col("ground_truth"))).alias(f"r{i}")]
-    g = df.groupBy("run_condition").agg(*counts)
-    return g.select("run_condition", "hits", F.explode(F.array(*[F.struct(F.lit(x).alias("tau"), F.col(f"k{i}").alias("kept"), F.col(f"r{i}").alias("right_kept")) for i, x in enumerate((0.15, 0.25))])).alias("x")).select("run_condition", "x.tau", "hits", "x.kept", "x.right_kept")
+    df = t.inference_results.where("run_condition is not null and try_parse_json(drishtikon_diagnostics) is not null").withColumn("s", s)
+    right = F.col("prediction") == F.col("ground_truth")
+    counts = [F.count("*").alias("n"), F.count_if(F.col("drishtikon_matches_count") > 0).alias("hits"), F.count_if(right).alias("right_rows")]
+    for i, x in enumerate(TAUS):
+        counts += [F.count_if(F.col("s") >= x).alias(f"k{i}"), F.count_if((F.col("s") >= x) & right).alias(f"r{i}")]
+    each = [F.struct(F.lit(x).alias("tau"), F.col(f"k{i}").alias("kept"), F.col(f"r{i}").alias("right_kept")) for i, x in enumerate(TAUS)]
+    g = df.groupBy("run_condition").agg(*counts).select("run_condition", "n", "hits", "right_rows", F.explode(F.array(*each)).alias("x")).select("*", "x.*").drop("x")
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
+    kept, right_kept = F.col("kept"), F.col("right_kept")
+    return g.select("run_condition", "tau", "hits", "kept", "right_kept", rate(right_kept, kept).alias("precision_kept"), rate(right_kept, F.col("right_rows")).alias("recall_kept"), rate(kept - right_kept, F.col("n")).alias("false_match_rate"))
