@@ -1,8 +1,11 @@
 """Operators against brute force and golden statistics."""
 
+import difflib
 import itertools
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmark.operators import dedup, log, metrics, sampling
@@ -89,3 +92,38 @@ def test_model_seam(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, text string")
     rows = infer(df, mock, "id int, humorous boolean, probability double").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, True, 0.8), (2, False, 0.2)]
+
+
+def like(rng, text, share, alphabet):
+    """The text with about this share of its characters replaced, left out or doubled."""
+    out = []
+    for c in text:
+        x = rng.random() / share
+        out += [c] if x >= 1 else [rng.choice(alphabet)] if x < 0.4 else [] if x < 0.7 else [c, c]
+    return "".join(out)
+
+
+def test_near_texts_hold_every_match_of_short_and_long_texts():
+    rng = random.Random(11)
+    texts = []
+    for alphabet in ("etaoin shrdlu cmfwypvbgkjqxz", "कखगघचछजझटठडढतथदध ", "ab "):
+        for n in (15, 40, 120, 190, 210, 330, 520):
+            base = "".join(rng.choices(alphabet, [3.0 / (k + 1) for k in range(len(alphabet))], k=n))
+            texts += [base, *(like(rng, base, share, alphabet) for share in (0.03, 0.1, 0.14, 0.2))]
+    arrow = pa.array(texts)
+    ratio = lambda i, j: difflib.SequenceMatcher(None, texts[i], texts[j]).ratio()
+    want = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and ratio(i, j) >= 0.85}
+    pairs = lambda found: [(i, j) for x, y in found for i, j in zip(x.tolist(), y.tolist())]
+    once = pairs(dedup.near_texts(arrow, arrow, 0.85, mutual=True, same=True))
+    assert len(once) == len({frozenset(p) for p in once}) and want <= {*once, *((j, i) for i, j in once)} and len(want) > 100
+    assert want <= set(pairs(dedup.near_texts(arrow, arrow, 0.85)))
+    assert list(dedup.near_texts(arrow, arrow.slice(0, 0), 0.85)) == []
+
+
+def test_near_texts_leave_few_pairs_of_unlike_texts_soon():
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(2, 8))) for _ in range(400)]
+    texts = pa.array([" ".join(rng.choices(words, k=rng.randint(12, 60))) for _ in range(5000)])
+    began = time.process_time()
+    assert sum(len(x) for x, _ in dedup.near_texts(texts, texts, 0.85, mutual=True, same=True)) < 20
+    assert time.process_time() - began < 40
