@@ -85,9 +85,14 @@ def _readings(t):
 def _keyed(t):
     """(field_name, key, cand, text) of all memes, samples and readings: normalised text, with its hash as cand."""
     memes = t.corpus("ocr").select(F.lit("ocr").alias("field_name"), F.col("row_id").alias("key"), normalize(F.col("ocr")).alias("text"))
-    samples = _samples(t, "ocr_text").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), normalize(F.col("ocr_text")).alias("text"))
     readings = _readings(t).select(F.lit("reading").alias("field_name"), F.col("cand").alias("key"), "text")
-    return memes.unionByName(samples).unionByName(readings).withColumn("cand", F.xxhash64("text"))
+    return memes.unionByName(readings).withColumn("cand", F.xxhash64("text")).unionByName(keyed_samples(t))
+
+
+def keyed_samples(t):
+    """The rows of _keyed that are samples."""
+    samples = _samples(t, "ocr_text").select(F.lit("ocr_text").alias("field_name"), F.col("sample_index").cast("long").alias("key"), normalize(F.col("ocr_text")).alias("text"))
+    return samples.withColumn("cand", F.xxhash64("text"))
 
 
 def _distinct(df):
@@ -107,8 +112,12 @@ def same_and_near(keyed, least=0.85, shortest=15):
 @query()
 def fuzzy_dupes(t):
     """Memes (ocr, row_id), samples (ocr_text, sample_index) and texts read in benchmark runs (reading, hash) within 0.85 of a benchmark meme's text by matching blocks; no SQL has that measure."""
+    return dupes_of(t, _keyed(t))
+
+
+def dupes_of(t, keyed):
+    """(field_name, cand, ref, ratio) of keyed(field_name, key, cand, text) near the benchmark's texts."""
     r = t.benchmark_memes.select(F.col("sample_index").alias("ref"), normalize(F.col("ocr_text")).alias("text"))
-    keyed = _keyed(t)
     return fuzzy_matches(_distinct(keyed), r).join(keyed.select("field_name", "key", "cand"), "cand").select("field_name", F.col("key").alias("cand"), "ref", "ratio")
 
 
@@ -116,8 +125,11 @@ def fuzzy_dupes(t):
 def fuzzy_pairs(t):
     """Pairs of samples (ocr_text, sample_index), and of different readings (reading, hash), within 0.85 of each other by matching blocks, in the order cand < ref."""
     keyed = _keyed(t)
-    of = lambda name: same_and_near(keyed.where(F.col("field_name") == name)).select(F.lit(name).alias("field_name"), F.col("key_a").alias("cand"), F.col("key_b").alias("ref"), "ratio")
-    return of("ocr_text").unionByName(of("reading"))
+    return pairs_of("ocr_text", keyed_samples(t)).unionByName(pairs_of("reading", keyed.where("field_name = 'reading'")))
+
+
+def pairs_of(name, keyed):
+    return same_and_near(keyed).select(F.lit(name).alias("field_name"), F.col("key_a").alias("cand"), F.col("key_b").alias("ref"), "ratio")
 
 
 def _all_collisions(t):

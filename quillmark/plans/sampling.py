@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import order_key, ranked
-from .dedup import SAMPLES, _samples, fuzzy_dupes, fuzzy_pairs, hamming_pairs, quarantine_first_hits
+from .dedup import SAMPLES, _samples, dupes_of, hamming_pairs, keyed_samples, pairs_of, quarantine_first_hits
 from .registry import CORPUS, query
 
 
@@ -130,11 +130,11 @@ def manifest_errors(t):
         out.append(rows(known.join(first, ["manifest_id", column]).where("sample_index > first"), rule, F.col("first")))
     b = t.benchmark_memes.select("image_filename", F.col("sample_index").alias("ref")).dropna().dropDuplicates(["image_filename"])
     out.append(rows(s.join(b, "image_filename"), "quarantined_file", F.col("ref")))
-    texts = fuzzy_dupes(t).where("field_name = 'ocr_text'").select(F.col("cand").alias("sample_index"), "ref").join(of, "sample_index")
+    texts = dupes_of(t, keyed_samples(t)).select(F.col("cand").alias("sample_index"), "ref").join(of, "sample_index")
     out.append(rows(texts, "quarantined_text", F.col("ref")))
     out.append(rows(quarantine_first_hits(t).withColumnRenamed("cand", "sample_index").join(of, "sample_index"), "quarantined_sample", F.col("ref")))
     looks = hamming_pairs(t).select("key_a", "key_b")
-    reads = fuzzy_pairs(t).where("field_name = 'ocr_text'").select(F.col("cand").alias("key_a"), F.col("ref").alias("key_b"))
+    reads = pairs_of("ocr_text", keyed_samples(t)).select(F.col("cand").alias("key_a"), F.col("ref").alias("key_b"))
     for rule, pairs in (("looks_alike", looks), ("reads_alike", reads)):
         a, c = of.withColumnRenamed("sample_index", "key_a"), of.withColumnRenamed("sample_index", "key_b")
         out.append(rows(pairs.join(a, "key_a").join(c, ["manifest_id", "key_b"]).withColumnRenamed("key_a", "sample_index"), rule, F.col("key_b")))

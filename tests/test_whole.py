@@ -105,3 +105,13 @@ def test_quarantine_and_manifest_rules_over_several_samples(spark, tmp_path):
         ("repeated_id", "m", 53, 52), ("repeated_file", "m", 53, 52), ("repeated_path", "m", 53, 52), ("quarantined_file", "n", 54, 3), ("quarantined_text", "n", 54, 3),
         ("quarantined_sample", "m", 51, 50), ("quarantined_sample", "m", 52, 50), ("looks_alike", "m", 51, 53), ("reads_alike", "m", 50, 51), ("not_half_and_half", "n", None, None),
     ]))
+
+
+def test_manifest_errors_compare_texts_of_samples_only(spark, tmp_path):
+    text = "the landlord wants the rent again on monday"
+    rows = [(1, "m", "a", "f1", "p1", 1, text, "x", "0" * 64), (2, "m", "b", "f2", "p2", 0, text + "s", "y", "01" * 32)]
+    save(spark, tmp_path, "sample_manifest", [(*r, "H1", "humorous" if r[5] else "not", DAY) for r in rows], "sample_index int, manifest_id string, sample_id string, image_filename string, relative_image_path string, ground_truth int, ocr_text string, file_md5 string, ahash_bitstring string, stratum_id string, class_name string, ingested_at timestamp")
+    save(spark, tmp_path, "benchmark_memes", [(3, "bench.png", text + "!")], "sample_index int, image_filename string, ocr_text string")
+    # neither memes nor runs are there to be read
+    got = QUERIES["manifest_errors"](spark, str(tmp_path)).collect()
+    assert sorted((r.rule, r.sample_index, r.other) for r in got) == [("quarantined_text", 1, 3), ("quarantined_text", 2, 3), ("reads_alike", 1, 2)]
