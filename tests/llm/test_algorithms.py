@@ -191,3 +191,14 @@ def test_mix(spark, monkeypatch):
     uses = schedule.groupBy("mix_id", "source_name", "doc_id").count().groupBy("mix_id", "source_name").agg(F.max("count").alias("n")).collect()
     assert {(u.mix_id, u.source_name): u.n for u in uses} == {("m", "big"): 2, ("m", "small"): 1, ("k", "big"): 3}
     assert mixing.mix(sizes.limit(0), targets)[0].count() == 0
+
+
+def test_runs_are_known_wherever_they_stand():
+    one, other = np.array([5, 7, 11, 13, 17], np.int64), np.array([3, 7, 11, 13, 19, 23], np.int64)
+    of = lambda tok, a, z: int(overlap.runs(overlap.sums(tok), np.array([a]), np.array([z]))[0])
+    assert of(one, 1, 4) == of(other, 1, 4) and of(one, 2, 4) == of(other, 2, 4)
+    places = [(a, z) for a in range(5) for z in range(a + 1, 6)]
+    assert len({of(one, a, z) for a, z in places}) == len(places)
+    run = np.array([9, 9, 9], np.uint64)
+    keys = overlap.salted(run, np.array([0, 1, 2]))
+    assert keys[0] == 9 and len(set(keys.tolist())) == 3
