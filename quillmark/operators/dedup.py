@@ -346,8 +346,8 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0
         out = [o for o in out if o[2] >= least]
         return pa.table({"cand": pa.array([o[0] for o in out], pa.string()), "ref": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
 
-    # as many partitions as groups at most, whatever sizes adaptive execution would put together
-    found = sides.repartition(nc * nr, "i", "j").groupBy("i", "j").applyInArrow(meet, "cand string, ref string, ratio double")
+    # a given number, which adaptive execution leaves as it is; more than groups, so that few of them share a task
+    found = sides.repartition(4 * nc * nr, "i", "j").groupBy("i", "j").applyInArrow(meet, "cand string, ref string, ratio double")
     return found.select(F.col("cand").cast(candidates.schema["cand"].dataType), F.col("ref").cast(references.schema["ref"].dataType), "ratio")
 
 
