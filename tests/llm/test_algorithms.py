@@ -202,3 +202,25 @@ def test_runs_are_known_wherever_they_stand():
     run = np.array([9, 9, 9], np.uint64)
     keys = overlap.salted(run, np.array([0, 1, 2]))
     assert keys[0] == 9 and len(set(keys.tolist())) == 3
+
+
+def test_only_texts_of_different_sides_become_candidates(spark, monkeypatch):
+    docs = neardup.documents_of(neardup.with_words(spark.createDataFrame([(i, t, 1) for i, t in enumerate(corpus(9, 40))], "key long, text string, ingested_at int"), "text"), ["key"])[1]
+    sided = neardup.written(docs.withColumn("side", F.expr("cast(1 + doc % 3 as int)")), "sided")
+    side, counts = {r.doc: r.side for r in sided.collect()}, neardup.histogram(docs)
+    links = {(r.a, r.b) for r in neardup.near_links(docs).collect()}
+    for few in (0, 4, 1 << 12):
+        monkeypatch.setattr(neardup, "FEW", few)
+        assert {(r.a, r.b) for r in neardup.near_links(docs).collect()} == links
+        got = {(r.a, r.b) for r in neardup.near_candidates(sided, counts).collect()}
+        assert {p for p in links if side[p[0]] | side[p[1]] == 3} <= got and all(side[a] | side[b] == 3 for a, b in got)
+
+
+def test_frequent_runs_make_no_candidates(spark):
+    # every text of one side shares short runs of frequent words with most of the other side
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(vocab, 30)), 1) for i in range(400)]
+    docs = neardup.documents_of(neardup.with_words(spark.createDataFrame(rows, "key long, text string, ingested_at int"), "text"), ["key"])[1]
+    sided = neardup.written(docs.withColumn("side", F.expr("cast(1 + pmod(hash(doc), 2) as int)")), "sided")
+    assert neardup.near_candidates(sided, neardup.histogram(sided)).count() < 400
