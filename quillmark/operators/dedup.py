@@ -48,8 +48,8 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 3) -> DataFram
     return same.unionByName(other).withColumnsRenamed({"ka": "key_a", "kb": "key_b"})
 
 
-#: Texts of a block, at most about; at least so many of them are split further, so that small tables have tasks for all cores.
-BLOCK, SPLIT = 1 << 17, 4096
+#: Texts of a block, at most about; more than SPLIT of them, or than ALIKE where most are alike, are split further, so that small tables have tasks for all cores.
+BLOCK, SPLIT, ALIKE = 1 << 17, 4096, 256
 #: Bits of a text's sketch, those of them that frequent grams have to themselves, and buckets in which grams are counted; pairs compared at once, and pairs that wait for the finer bounds.
 BITS, OWN, GRAMS, TILE, WAITING = 1024, 768, 1 << 16, 1 << 14, 1 << 20
 #: Characters are told apart within a script, as its letters are neighbours; difflib treats texts from AUTOJUNK characters in another way.
@@ -211,6 +211,71 @@ def matched(x, xo, y, yo, left):
     return alive[nx[alive] + ny[alive] - 2 * common <= left[alive]]
 
 
+class Ratio:
+    """difflib.SequenceMatcher(None, a, b).ratio(), the same number, found by searches for substrings; short pieces are remembered, as alike texts differ in the same ones."""
+
+    KEPT = 1 << 18
+
+    def __init__(self):
+        self.known: dict[tuple[str, str, str], int] = {}
+
+    def __call__(self, a: str, b: str) -> float:
+        if not a and not b:
+            return 1.0
+        w = b
+        if len(b) >= AUTOJUNK:
+            # no block starts from a popular character of b: they become one that a doesn't have
+            gone = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in a)
+            most = len(b) // 100 + 1
+            w = b.translate({ord(c): gone for c in set(b) if b.count(c) > most})
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        total, todo = 0, [(a, b, w)]
+        while todo:
+            x, y, w = todo.pop()
+            if len(x) + len(y) <= 64:
+                total += self._small(x, y, w)
+                continue
+            i, j, n = self._longest(x, y, w)
+            if n:
+                total += n
+                todo += [p for p in ((x[:i], y[:j], w[:j]), (x[i + n :], y[j + n :], w[j + n :])) if p[0] and p[1]]
+        return 2.0 * total / (len(a) + len(b))
+
+    def _small(self, x: str, y: str, w: str) -> int:
+        if not x or not y:
+            return 0
+        key = x, y, w
+        got = self.known.get(key)
+        if got is None:
+            i, j, n = self._longest(x, y, w)
+            got = self.known[key] = n and n + self._small(x[:i], y[:j], w[:j]) + self._small(x[i + n :], y[j + n :], w[j + n :])
+        return got
+
+    @staticmethod
+    def _longest(x: str, y: str, w: str) -> tuple[int, int, int]:
+        """The longest block, the first in x, then in y: found in w, which is y without its popular characters, and then extended in y."""
+        best = at = i = 0
+        size = len(x)
+        while i + best < size:
+            if x[i : i + best + 1] in w:
+                # from here the block grows in steps that double, then halve
+                best, step, at = best + 1, 1, i
+                while i + best + step <= size and x[i : i + best + step] in w:
+                    best, step = best + step, 2 * step
+                while step > 1:
+                    step //= 2
+                    if i + best + step <= size and x[i : i + best + step] in w:
+                        best += step
+            i += 1
+        i, j = (at, w.find(x[at : at + best])) if best else (0, 0)
+        while i and j and x[i - 1] == y[j - 1]:
+            i, j, best = i - 1, j - 1, best + 1
+        while i + best < size and j + best < len(y) and x[i + best] == y[j + best]:
+            best += 1
+        return i, j, best
+
+
 def near_texts(texts, others, least: float, mutual: bool = False, same: bool = False):
     """Yields arrays (i, j) of all texts[i] and others[j] (Arrow arrays) that can have a matching-blocks ratio of at least `least` (a superset); where both are the same texts, each pair once.
 
@@ -231,13 +296,20 @@ def near_texts(texts, others, least: float, mutual: bool = False, same: bool = F
 
     def finer(i, j):
         for q in (1, 2):
-            kept = []
+            kept, clear = [], []
             for at in range(0, len(i), TILE):
                 x, y = i[at : at + TILE], j[at : at + TILE]
                 rest = left(x, y)
-                kept.append(at + np.flatnonzero(np.bitwise_count(a.full[q][x] ^ b.full[q][y]).sum(1, dtype=np.int64) <= rest + 2 * (q - 1) * np.minimum(rest, blocks(x, y))))
+                differ = np.bitwise_count(a.full[q][x] ^ b.full[q][y]).sum(1, dtype=np.int64)
+                kept.append(at + np.flatnonzero(differ <= rest + 2 * (q - 1) * np.minimum(rest, blocks(x, y))))
+                clear.append(differ[kept[-1] - at] <= rest[kept[-1] - at])
             kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             i, j = i[kept], j[kept]
+        # pairs whose bags of pairs are so near need no look at the subsequence, which would only drop pairs
+        clear = np.concatenate(clear) if clear else np.zeros(0, bool)
+        if clear.any():
+            yield a.order[i[clear]], b.order[j[clear]]
+            i, j = i[~clear], j[~clear]
         by = np.lexsort((a.length[i], b.length[j]))
         i, j, at = i[by], j[by], 0
         while at < len(i):
@@ -299,13 +371,14 @@ def near_texts(texts, others, least: float, mutual: bool = False, same: bool = F
         yield from finer(*map(np.concatenate, zip(*met)))
 
 
-def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0.85, shortest: int = 15, mutual: bool = False) -> DataFrame:
+def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0.85, shortest: int = 15, mutual: bool = False, once: bool = False) -> DataFrame:
     """(cand, ref, ratio) of all normalised texts whose matching-blocks ratio is at least `least`; both have `shortest` characters at least.
 
     candidates(cand, text), references(ref, text); best distinct texts. Texts meet in blocks of bounded size; `near_texts`
     then drops only pairs that its bounds exclude. Nothing is lost, and the work grows with the square of the texts, with
     few nanoseconds for a pair. With `mutual`, both sides are the same texts: each pair is looked at once, and given in
-    both orders (the ratio depends on it).
+    both orders (the ratio depends on it). With `once`, too, it is given with cand < ref only (long keys), and as most of
+    the texts may be alike, few of them are spread over the tasks already.
     """
     import math
 
@@ -313,7 +386,7 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0
     r = references.where(F.length("text") >= shortest).select("ref", "text")
     n = c.count()
     if mutual:
-        nc = nr = max(math.ceil(n / BLOCK), 4 if n > SPLIT else 1)
+        nc = nr = max(math.ceil(n / BLOCK), 8 if once and n > ALIKE else 4 if n > SPLIT else 1)
     else:
         # a side is sent as often as the other has blocks
         nc, nr = (max(1, math.ceil(x / size)) for x, size in ((n, max(1, BLOCK // 8)), (r.count(), BLOCK)))
@@ -328,26 +401,34 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0
     sides = c.select("i", "j", F.lit(True).alias("left"), F.col("cand").cast("string").alias("id"), "text").unionByName(r.select("i", "j", F.lit(False).alias("left"), F.col("ref").cast("string").alias("id"), "text"))
 
     def meet(key, block):
-        import difflib
-
         import pyarrow as pa
 
-        i, j = (k.as_py() for k in key)
+        _, i, j = (k.as_py() for k in key)
         itself = mutual and i == j
         one = block.filter(block.column("left")).select(["id", "text"])
         other = one if itself else block.filter(pa.compute.invert(block.column("left"))).select(["id", "text"])
         (ka, a), (kb, b) = ([pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.string()) for x in t.columns] for t in (one, other))
-        out = []
+        out, ratio = [], Ratio()
         for x, y in near_texts(a, b, least, mutual, itself):
             for k, t, o, u in zip(ka.take(x).to_pylist(), a.take(x).to_pylist(), kb.take(y).to_pylist(), b.take(y).to_pylist()):
-                out.append((k, o, difflib.SequenceMatcher(None, t, u).ratio()))
-                if mutual:
-                    out.append((o, k, difflib.SequenceMatcher(None, u, t).ratio()))
-        out = [o for o in out if o[2] >= least]
+                orders = [(k, o, t, u)] if not mutual else [(k, o, t, u), (o, k, u, t)]
+                for k, o, t, u in orders:
+                    if (not once or int(k) < int(o)) and (r := ratio(t, u)) >= least:
+                        out.append((k, o, r))
         return pa.table({"cand": pa.array([o[0] for o in out], pa.string()), "ref": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
 
-    # a given number, which adaptive execution leaves as it is; more than groups, so that few of them share a task
-    found = sides.repartition(4 * nc * nr, "i", "j").groupBy("i", "j").applyInArrow(meet, "cand string, ref string, ratio double")
+    # a given number, which adaptive execution leaves as it is: a task for each group where both sides are the same, the larger ones first, else more than groups, so that few of them share a task
+    slot, tasks = F.xxhash64("i", "j"), 4 * nc * nr
+    if mutual:
+        groups = sorted(((i, j) for i in range(nc) for j in range(i + 1)), key=lambda x: x[0] == x[1])
+        tasks = len(groups)
+        at = candidates.sparkSession.range(0, 64 * tasks, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).agg(F.min("id").alias("id")).toArrow().to_pydict()
+        at = dict(zip(at["p"], at["id"]))
+        slots = [0] * (nc * nc)
+        for n, (i, j) in enumerate(groups):
+            slots[i * nc + j] = at.get(n, n)
+        slot = F.array(*[F.lit(x).cast("long") for x in slots])[F.col("i") * nc + F.col("j")]
+    found = sides.withColumn("slot", slot).repartition(tasks, "slot").groupBy("slot", "i", "j").applyInArrow(meet, "cand string, ref string, ratio double")
     return found.select(F.col("cand").cast(candidates.schema["cand"].dataType), F.col("ref").cast(references.schema["ref"].dataType), "ratio")
 
 

@@ -99,12 +99,12 @@ def _distinct(df):
     return df.select("cand", "text").dropDuplicates(["cand"])
 
 
-def same_and_near(keyed, least=0.85, shortest=15):
-    """(key_a, key_b, ratio), key_a < key_b, of all keyed(key, cand, text) whose texts are within `least`: distinct texts are compared, then their keys joined."""
+def same_and_near(keyed, least=0.85, shortest=15, once=False):
+    """(key_a, key_b, ratio), key_a < key_b, of all keyed(key, cand, text) whose texts are within `least`: distinct texts are compared, then their keys joined. once: key is cand."""
     rows = keyed.where(F.length("text") >= shortest).select("key", "cand")
     a, b = rows.withColumnsRenamed({"key": "key_a"}), rows.withColumnsRenamed({"key": "key_b", "cand": "ref"})
     texts = _distinct(keyed)
-    near = fuzzy_matches(texts, texts.withColumnRenamed("cand", "ref"), least, shortest, mutual=True)
+    near = fuzzy_matches(texts, texts.withColumnRenamed("cand", "ref"), least, shortest, mutual=True, once=once)
     same = a.join(b, F.col("cand") == F.col("ref")).withColumn("ratio", F.lit(1.0))
     return same.unionByName(near.join(a, "cand").join(b, "ref").select("key_a", "cand", "key_b", "ref", "ratio")).where("key_a < key_b").select("key_a", "key_b", "ratio")
 
@@ -124,12 +124,12 @@ def dupes_of(t, keyed):
 @query()
 def fuzzy_pairs(t):
     """Pairs of samples (ocr_text, sample_index), and of different readings (reading, hash), within 0.85 of each other by matching blocks, in the order cand < ref."""
-    keyed = _keyed(t)
-    return pairs_of("ocr_text", keyed_samples(t)).unionByName(pairs_of("reading", keyed.where("field_name = 'reading'")))
+    readings = _readings(t).withColumn("key", F.col("cand"))
+    return pairs_of("ocr_text", keyed_samples(t)).unionByName(pairs_of("reading", readings, once=True))
 
 
-def pairs_of(name, keyed):
-    return same_and_near(keyed).select(F.lit(name).alias("field_name"), F.col("key_a").alias("cand"), F.col("key_b").alias("ref"), "ratio")
+def pairs_of(name, keyed, once=False):
+    return same_and_near(keyed, once=once).select(F.lit(name).alias("field_name"), F.col("key_a").alias("cand"), F.col("key_b").alias("ref"), "ratio")
 
 
 def _all_collisions(t):

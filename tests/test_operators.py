@@ -127,3 +127,34 @@ def test_near_texts_leave_few_pairs_of_unlike_texts_soon():
     began = time.process_time()
     assert sum(len(x) for x, _ in dedup.near_texts(texts, texts, 0.85, mutual=True, same=True)) < 20
     assert time.process_time() - began < 40
+
+
+def test_ratio_equals_difflib():
+    import difflib
+
+    rng, ratio = random.Random(8), dedup.Ratio()
+    for n in (0, 1, 5, 40, 150, 199, 200, 230, 450):
+        for letters in ("ab", "abcde ", "abcdefghijklmnop 0123456789\ue000"):
+            for _ in range(8):
+                a = "".join(rng.choice(letters) for _ in range(n))
+                b = "".join(rng.choice(letters + "z") if rng.random() < rng.choice([0.05, 0.3, 1]) else c for c in a)
+                at, size = rng.randrange(n + 1), rng.randrange(20)
+                for x, y in ((a, b), (b, a), (a, b[at:] + b[:at]), (a[:at] + a[at + size :], b), (b, a[: n // 2])):
+                    assert ratio(x, y) == difflib.SequenceMatcher(None, x, y).ratio(), (x, y)
+
+
+def test_alike_texts_are_spread_and_given_once(spark):
+    import difflib
+
+    rng, texts = random.Random(9), set()
+    while len(texts) < 280:
+        t = list("the quick brown fox jumps")
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice("xyz ")
+        texts.add("".join(t))
+    texts = sorted(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "cand long, text string")
+    got = dedup.fuzzy_matches(df, df.withColumnRenamed("cand", "ref"), mutual=True, once=True).withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, j): r for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and (r := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.85}
+    assert len(got) == len(want) and {(g.cand, g.ref): g.ratio for g in got} == want
+    assert len({g.task for g in got}) == 36
