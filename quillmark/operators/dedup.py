@@ -211,71 +211,6 @@ def matched(x, xo, y, yo, left):
     return alive[nx[alive] + ny[alive] - 2 * common <= left[alive]]
 
 
-class Ratio:
-    """difflib.SequenceMatcher(None, a, b).ratio(), the same number, found by searches for substrings; short pieces are remembered, as alike texts differ in the same ones."""
-
-    KEPT = 1 << 18
-
-    def __init__(self):
-        self.known: dict[tuple[str, str, str], int] = {}
-
-    def __call__(self, a: str, b: str) -> float:
-        if not a and not b:
-            return 1.0
-        w = b
-        if len(b) >= AUTOJUNK:
-            # no block starts from a popular character of b: they become one that a doesn't have
-            gone = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in a)
-            most = len(b) // 100 + 1
-            w = b.translate({ord(c): gone for c in set(b) if b.count(c) > most})
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        total, todo = 0, [(a, b, w)]
-        while todo:
-            x, y, w = todo.pop()
-            if len(x) + len(y) <= 64:
-                total += self._small(x, y, w)
-                continue
-            i, j, n = self._longest(x, y, w)
-            if n:
-                total += n
-                todo += [p for p in ((x[:i], y[:j], w[:j]), (x[i + n :], y[j + n :], w[j + n :])) if p[0] and p[1]]
-        return 2.0 * total / (len(a) + len(b))
-
-    def _small(self, x: str, y: str, w: str) -> int:
-        if not x or not y:
-            return 0
-        key = x, y, w
-        got = self.known.get(key)
-        if got is None:
-            i, j, n = self._longest(x, y, w)
-            got = self.known[key] = n and n + self._small(x[:i], y[:j], w[:j]) + self._small(x[i + n :], y[j + n :], w[j + n :])
-        return got
-
-    @staticmethod
-    def _longest(x: str, y: str, w: str) -> tuple[int, int, int]:
-        """The longest block, the first in x, then in y: found in w, which is y without its popular characters, and then extended in y."""
-        best = at = i = 0
-        size = len(x)
-        while i + best < size:
-            if x[i : i + best + 1] in w:
-                # from here the block grows in steps that double, then halve
-                best, step, at = best + 1, 1, i
-                while i + best + step <= size and x[i : i + best + step] in w:
-                    best, step = best + step, 2 * step
-                while step > 1:
-                    step //= 2
-                    if i + best + step <= size and x[i : i + best + step] in w:
-                        best += step
-            i += 1
-        i, j = (at, w.find(x[at : at + best])) if best else (0, 0)
-        while i and j and x[i - 1] == y[j - 1]:
-            i, j, best = i - 1, j - 1, best + 1
-        while i + best < size and j + best < len(y) and x[i + best] == y[j + best]:
-            best += 1
-        return i, j, best
-
-
 def near_texts(texts, others, least: float, mutual: bool = False, same: bool = False):
     """Yields arrays (i, j) of all texts[i] and others[j] (Arrow arrays) that can have a matching-blocks ratio of at least `least` (a superset); where both are the same texts, each pair once.
 
@@ -401,6 +336,8 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0
     sides = c.select("i", "j", F.lit(True).alias("left"), F.col("cand").cast("string").alias("id"), "text").unionByName(r.select("i", "j", F.lit(False).alias("left"), F.col("ref").cast("string").alias("id"), "text"))
 
     def meet(key, block):
+        import difflib
+
         import pyarrow as pa
 
         _, i, j = (k.as_py() for k in key)
@@ -408,12 +345,12 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, least: float = 0
         one = block.filter(block.column("left")).select(["id", "text"])
         other = one if itself else block.filter(pa.compute.invert(block.column("left"))).select(["id", "text"])
         (ka, a), (kb, b) = ([pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.string()) for x in t.columns] for t in (one, other))
-        out, ratio = [], Ratio()
+        out = []
         for x, y in near_texts(a, b, least, mutual, itself):
             for k, t, o, u in zip(ka.take(x).to_pylist(), a.take(x).to_pylist(), kb.take(y).to_pylist(), b.take(y).to_pylist()):
                 orders = [(k, o, t, u)] if not mutual else [(k, o, t, u), (o, k, u, t)]
                 for k, o, t, u in orders:
-                    if (not once or int(k) < int(o)) and (r := ratio(t, u)) >= least:
+                    if (not once or int(k) < int(o)) and (r := difflib.SequenceMatcher(None, t, u).ratio()) >= least:
                         out.append((k, o, r))
         return pa.table({"cand": pa.array([o[0] for o in out], pa.string()), "ref": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
 
